@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from clusterloom.llm import chat, mixing, secrets
+from clusterloom.llm import chat, mixing, packing, ppm, secrets, tokens
 
 
 def queries():
     return {
+        "op2_language_id": ppm.op2_language_id,
+        "op3_tokens": tokens.op3_tokens,
         "op4_secrets": secrets.op4_secrets,
+        "op8_packing": packing.op8_packing,
         "op9_mixing": mixing.op9_mixing,
         "op10_chat": chat.op10_chat,
     }
