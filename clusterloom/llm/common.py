@@ -1,60 +1,5 @@
 """Helpers shared by the training-data operators."""
 
-from __future__ import annotations
+from clusterloom.functions.scratch import cut, release, scratch_path, shared_dir, table
 
-import os
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_KEY = "spark.checkpoint.dir"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and every executor can reach.
-
-    The cluster names it in ``spark.checkpoint.dir``. Only where that setting is
-    missing (local tests) a temporary folder of this machine is used.
-    """
-    named = spark.conf.get(_KEY, None)
-    if not named:
-        named = "file://" + os.path.join(tempfile.gettempdir(), "clusterloom-checkpoints")
-        spark.conf.set(_KEY, named)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(named)
-    return named
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it again.
-
-    Lineage ends here, so that a lost executor costs a reread and not the whole
-    chain, and later uses do not compute ``df`` again.
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession, df: DataFrame) -> None:
-    """Delete the files of a table made by :func:`cut` that no later step reads."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    done = set()
-    for f in df.inputFiles():
-        parent = jvm.org.apache.hadoop.fs.Path(f).getParent()
-        if parent.toString() not in done:
-            done.add(parent.toString())
-            parent.getFileSystem(conf).delete(parent, True)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the input tables."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["cut", "release", "scratch_path", "shared_dir", "table"]

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from clusterloom.llm import chat, mixing, packing, ppm, secrets, tokens
+from clusterloom.llm import ann, chat, mixing, near_join, packing, ppm, secrets, tokens, webp
 
 
 def queries():
     return {
+        "op1_webp": webp.op1_webp,
         "op2_language_id": ppm.op2_language_id,
         "op3_tokens": tokens.op3_tokens,
         "op4_secrets": secrets.op4_secrets,
+        "op5_near_join": near_join.op5_near_join,
+        "op7_nearest": ann.op7_nearest,
         "op8_packing": packing.op8_packing,
         "op9_mixing": mixing.op9_mixing,
         "op10_chat": chat.op10_chat,
