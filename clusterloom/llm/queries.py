@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from clusterloom.llm import ann, chat, mixing, near_join, packing, ppm, secrets, tokens, webp
+from clusterloom.llm import ann, chat, mixing, near_join, packing, ppm, repeats, secrets, tokens, webp
 
 
 def queries():
@@ -12,6 +12,7 @@ def queries():
         "op3_tokens": tokens.op3_tokens,
         "op4_secrets": secrets.op4_secrets,
         "op5_near_join": near_join.op5_near_join,
+        "op6_repeats": repeats.op6_repeats,
         "op7_nearest": ann.op7_nearest,
         "op8_packing": packing.op8_packing,
         "op9_mixing": mixing.op9_mixing,
