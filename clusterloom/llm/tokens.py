@@ -17,6 +17,7 @@ Defined results
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 
@@ -31,7 +32,7 @@ from clusterloom.llm.common import scratch_path
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
 _SPACE = re.compile(r"[ \t\n\r]+")
-_REMEMBER, _LONGEST = 400_000, 48
+_REMEMBER, _LONGEST = 500_000, 48
 _state: dict = {}
 
 
@@ -42,39 +43,63 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 class Encoder:
-    """Ids of whole texts as little-endian 32-bit integers."""
+    """Ids of whole texts as little-endian 32-bit integers.
+
+    A piece is remembered once two batches have held it, up to ``_REMEMBER`` of them. The others
+    are encoded again in each batch, all in one call: they are joined by a sign that is one
+    token and that no piece among them holds.
+    """
+
+    SIGN = "\u2605"
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks share the machine; the library's own threads only wait for each other
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {"": b""}
-
-    def encode(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
+        self.met: set[str] = set()
+        ids = self.tokenizer.encode(self.SIGN, add_special_tokens=False).ids
+        self.sign = ids[0] if len(ids) == 1 else None
+
+    def encode(self, pieces: list[str]) -> dict[str, bytes]:
+        out: dict[str, bytes] = {}
+        plain = [p for p in pieces if self.SIGN not in p and "<" not in p] if self.sign is not None else []
+        for lo in range(0, len(plain), 20_000):
+            lot = plain[lo : lo + 20_000]
+            ids = np.array(self.tokenizer.encode_batch_fast([f" {self.SIGN} ".join(lot)], add_special_tokens=False)[0].ids, "<u4")
+            at = np.flatnonzero(ids == self.sign)
+            if len(at) == len(lot) - 1:
+                raw = ids.tobytes()
+                starts = [0, *(4 * at + 4).tolist()]
+                stops = [*(4 * at).tolist(), len(raw)]
+                out.update((p, raw[a:b]) for p, a, b in zip(lot, starts, stops, strict=True))
+        rest = [p for p in pieces if p not in out]
+        if rest:
+            out.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False), strict=True))
+        return out
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         known = self.known
-        if len(known) > _REMEMBER:
-            known.clear()
-            known[""] = b""
         split = [_SPACE.split(t) if ("\t" in t or "\r" in t) else t.replace("\n", " ").split(" ") for t in texts]
-        new: set[str] = set()
+        get, found, holes = known.get, [], []
         for pieces in split:
-            new.update(pieces)
-        new = [p for p in new if p not in known]
-        fresh = dict(zip(new, self.encode(new), strict=True))
+            ids = list(map(get, pieces))
+            found.append(ids)
+            holes.append([i for i, v in enumerate(ids) if v is None])
+        new = {pieces[i] for pieces, hole in zip(split, holes, strict=True) for i in hole}
+        fresh = self.encode(list(new))
         out = []
-        here = known | fresh if len(fresh) > _REMEMBER else None
-        if here is None:
-            known.update((p, v) for p, v in fresh.items() if len(p) <= _LONGEST)
-            long = {p: v for p, v in fresh.items() if len(p) > _LONGEST}
-            here = known if not long else None
-        if here is not None:
-            get = here.__getitem__
-            out = [b"".join(map(get, pieces)) for pieces in split]
-        else:
-            out = [b"".join([known[p] if p in known else long[p] for p in pieces]) for pieces in split]
+        for pieces, ids, hole in zip(split, found, holes, strict=True):
+            for i in hole:
+                ids[i] = fresh[pieces[i]]
+            out.append(b"".join(ids))
+        again = {p for p in new & self.met if len(p) <= _LONGEST} if len(known) < _REMEMBER else set()
+        known.update((p, fresh[p]) for p in again)
+        if len(self.met) > _REMEMBER:
+            self.met.clear()
+        self.met |= new
+        self.met -= again
         return out
 
 
