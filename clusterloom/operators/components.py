@@ -2,26 +2,54 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clusterloom.functions.scratch import cut
 
+#: Up to so many edges one task labels the graph; more edges are labelled by joins.
+LOCAL_EDGES = 50_000
 
-def connected_components(edges: DataFrame, nodes: DataFrame | None = None, *, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
-    """``id, component``: every node with the smallest node of its component.
+
+def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest index connected to each of n indices by the edges a-b."""
+    label = np.arange(n)
+    while len(a):
+        low = np.minimum(label[a], label[b])
+        np.minimum.at(label, label[a], low)
+        np.minimum.at(label, label[b], low)
+        while True:
+            up = label[label]
+            if (up == label).all():
+                break
+            label = up
+        apart = label[a] != label[b]
+        a, b = a[apart], b[apart]
+    return label
+
+
+def connected_components(edges: DataFrame, nodes: DataFrame | None = None, *, src: str = "src", dst: str = "dst", max_rounds: int = 60, local_edges: int = LOCAL_EDGES) -> DataFrame:
+    """``id, component``: every node with the smallest node of its component. Ids are integers.
 
     Each round links the roots of two different trees by an edge's smaller root, then
     shortens all trees by pointer jumping, so the number of rounds grows with the
     logarithm of the diameter. Edges inside one tree are dropped as they appear. Minima are
     taken by aggregation with map-side combining, so a hub with very many edges costs
-    one row per task. ``nodes`` (column ``id``) adds nodes that have no edge.
+    one row per task. ``nodes`` (column ``id``) adds nodes that have no edge. A graph of at
+    most ``local_edges`` edges is labelled in one task.
     """
     both = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null")
-    all_nodes = both.select(F.col("a").alias("id")).union(both.select(F.col("b").alias("id")))
+    live = cut(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cc-edges")
+    all_nodes = live.select(F.col("a").alias("id")).union(live.select(F.col("b").alias("id")))
     if nodes is not None:
         all_nodes = all_nodes.union(nodes.select("id"))
-    live = cut(both.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cc-edges")
+    all_nodes = all_nodes.distinct()
+    live = live.where("a <> b")
+    if live.limit(local_edges + 1).count() <= local_edges:
+        found = live.coalesce(1).mapInArrow(_label, "id long, component long")
+        return all_nodes.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
     # First labels: the smallest neighbour or the node itself.
     label = all_nodes.select("id", F.col("id").alias("c")).union(live.select(F.col("b").alias("id"), F.col("a").alias("c"))).groupBy("id").agg(F.min("c").alias("c"))
     label = cut(_jump(label), "cc-label")
@@ -39,6 +67,15 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None, *, sr
     return label.select("id", F.col("c").alias("component"))
 
 
+def _label(batches):
+    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    if parts:
+        a, b = (np.concatenate(x) for x in zip(*parts, strict=True))
+        ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        label = ids[roots(len(ids), at[: len(a)], at[len(a) :])]
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(label)], ["id", "component"])
+
+
 def _jump(label: DataFrame) -> DataFrame:
     """Point every node at its label's label, twice."""
     for _ in range(2):
