@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from clusterloom.llm.common import cut
 from clusterloom.llm.hashing import RangeHash, blocks, mix64
 from clusterloom.llm.ppm import utf8
-from clusterloom.operators.components import connected_components
+from clusterloom.operators.components import connected_components, roots
 
 SHINGLE, HASHES, ROWS, STEP = 5, 128, 4, 32
 THRESHOLD, TOLERANCE = 0.8, 1e-9
@@ -121,23 +121,6 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return ((mix64(packed + number * np.uint64(0x632BE59BD9B4E019)) & ~np.uint64(63)) | number).astype(np.int64)
 
 
-def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest index connected to each of n indices."""
-    label = np.arange(n)
-    while len(a):
-        low = np.minimum(label[a], label[b])
-        np.minimum.at(label, label[a], low)
-        np.minimum.at(label, label[b], low)
-        while True:
-            up = label[label]
-            if (up == label).all():
-                break
-            label = up
-        open_ = label[a] != label[b]
-        a, b = a[open_], b[open_]
-    return label
-
-
 def _prune(sig: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Which pairs stay after incremental comparison."""
     alive = np.arange(len(a))
@@ -268,7 +251,7 @@ def candidates(classes: DataFrame, block: int = 1024) -> DataFrame:
                 keep = _prune(sig, a, b)
                 a, b = a[keep], b[keep]
                 # A pair counts in the first bucket that it shares.
-                same = (sig[a] == sig[b]).reshape(len(a), -1, ROWS).all(2)
+                same = (sig[a] == sig[b]).reshape(len(a), HASHES // ROWS, ROWS).all(2)
                 mine = same.argmax(1) == (key[a] & 63)
                 found_a.append(a[mine])
                 found_b.append(b[mine])
@@ -292,9 +275,9 @@ def candidates(classes: DataFrame, block: int = 1024) -> DataFrame:
             if found_a:
                 a, b = np.concatenate(found_a), np.concatenate(found_b)
                 used, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-                root = _roots(len(used), at[: len(a)], at[len(a) :])
-                mine = root != np.arange(len(used))
-                src, dst = cid[used[root[mine]]], cid[used[mine]]
+                top = roots(len(used), at[: len(a)], at[len(a) :])
+                mine = top != np.arange(len(used))
+                src, dst = cid[used[top[mine]]], cid[used[mine]]
                 yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], ["src", "dst"])
 
     return rows.repartition("key", "s", "t").sortWithinPartitions("key", "s", "t").mapInArrow(compare, "src long, dst long").distinct()
@@ -362,7 +345,7 @@ def links(docs: DataFrame, classes: DataFrame, clusters: DataFrame, id_col="doc_
                 good = _exact(sets, size, a, b)
                 a, b = a[good], b[good]
                 n = np.bincount(a, copies[b], len(ok)) + np.bincount(b, copies[a], len(ok))
-                root = _roots(len(ok), a, b)
+                root = roots(len(ok), a, b)
                 m = n > 0
                 out.append((cid[m], cid[root[m]], n[m].astype(np.int64)))
             if out:
