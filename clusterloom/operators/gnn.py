@@ -168,7 +168,7 @@ def gcn_scores(nodes: DataFrame, edges: DataFrame, weights: dict, *, pool: str =
         x = {"mean": x.mean(0), "sum": x.sum(0), "max": x.max(0)}[pool]
         return pd.DataFrame({"proposal_id": [key[0]], "score": [float((x @ p["fc"] + p["fc_bias"])[0])]})
 
-    return nodes.groupBy("proposal_id").cogroup(edges.groupBy("proposal_id")).applyInPandas(run, schema)
+    return nodes.groupBy("proposal_id").cogroup(edges.toDF(*edges.columns).groupBy("proposal_id")).applyInPandas(run, schema)
 
 
 def sgc_scores(nodes: DataFrame, edges: DataFrame, weights: dict, *, degree: int = 1, pool: str = "mean") -> DataFrame:
@@ -260,7 +260,7 @@ def edge_scores(feats: DataFrame, adj: DataFrame, candidates: DataFrame, weights
         x = _stack(np.array(n["embedding"].tolist()), normalized(m), w.value)
         return pd.DataFrame({"id": n["id"], "nbr": n["nbr"], "dist": n["dist"], "prob": _edge_head(x, w.value)})
 
-    return nodes.groupBy("id").cogroup(inner.groupBy("id")).applyInPandas(run, "id long, nbr long, dist double, prob double")
+    return nodes.groupBy("id").cogroup(inner.toDF(*inner.columns).groupBy("id")).applyInPandas(run, "id long, nbr long, dist double, prob double")
 
 
 def select_edges(scored: DataFrame, direct: DataFrame, max_conn: int = 1, *, random_seed: int | None = None) -> DataFrame:
@@ -321,7 +321,7 @@ def linkage_scores(feats: DataFrame, nodes: DataFrame, edges: DataFrame, weights
         prob = _edge_head(_stack(z, normalized(m), w.value)[hop], w.value)
         return pd.DataFrame({"u": n["centre"][hop], "v": n["node"][hop], "score": prob})
 
-    return x.groupBy("centre").cogroup(edges.groupBy("centre")).applyInPandas(run, "u long, v long, score double")
+    return x.groupBy("centre").cogroup(edges.toDF(*edges.columns).groupBy("centre")).applyInPandas(run, "u long, v long, score double")
 
 
 MODELS = {"gcn": gcn_scores, "sgc": sgc_scores, "gcn_v": vertex_confidence, "gcn_e": edge_scores, "lgcn": linkage_scores}

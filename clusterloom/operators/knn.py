@@ -26,7 +26,7 @@ def _blocks(queries: DataFrame, rows: DataFrame, block: int):
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = queries.select(deal(nq).alias("qb"), each(nr).alias("rb"), "id", "embedding")
     right = rows.select(each(nq).alias("qb"), deal(nr).alias("rb"), "id", "embedding")
-    return left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb"))
+    return left.groupBy("qb", "rb").cogroup(right.toDF(*right.columns).groupBy("qb", "rb"))  # new column ids: both sides may be one table
 
 
 def _top(found: DataFrame, k: int) -> DataFrame:

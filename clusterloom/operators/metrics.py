@@ -41,10 +41,10 @@ def nmi(gt: DataFrame, pred: DataFrame) -> DataFrame:
     """Normalised mutual information, arithmetic mean; two one-cluster labelings score 1."""
     c = contingency(gt, pred)
     p, g = _sums(c)
-    total = c.agg(F.sum("n").alias("N"))
+    total = c.agg(F.sum("n").alias("total"))
     full = c.join(p, "p").join(g, "g").crossJoin(total)
-    mi = full.agg(F.sum(F.col("n") / F.col("N") * F.log(F.col("n") * F.col("N") / (F.col("pn") * F.col("gn")))).alias("mi"))
-    h = lambda t, k, name: t.crossJoin(total).agg(F.sum(-F.col(k) / F.col("N") * F.log(F.col(k) / F.col("N"))).alias(name))
+    mi = full.agg(F.sum(F.col("n") / F.col("total") * F.log(F.col("n") * F.col("total") / (F.col("pn") * F.col("gn")))).alias("mi"))
+    h = lambda t, k, name: t.crossJoin(total).agg(F.sum(-F.col(k) / F.col("total") * F.log(F.col(k) / F.col("total"))).alias(name))
     return mi.crossJoin(h(p, "pn", "hp")).crossJoin(h(g, "gn", "hg")).select(F.when(F.col("hp") + F.col("hg") > 0, 2 * F.col("mi") / (F.col("hp") + F.col("hg"))).otherwise(1.0).alias("nmi"))
 
 
