@@ -60,11 +60,9 @@ def water_fill(stats: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: flo
         .withColumn("_ratio", F.col("_cap") / F.col("weight"))
         .withColumn("_level", level)
     )
-    free = F.min(F.when(F.col("_ratio") > F.col("_level"), F.struct("_ratio", "_level"))).over(all_rows)
-    return out.withColumn("_free", free).select(
-        "source", "source_size", "weight",
-        F.when(F.col("_free").isNull() | (F.col("_ratio") < F.col("_free._ratio")), F.col("_cap")).otherwise(F.col("_free._level") * F.col("weight")).alias("target"),
-    )
+    # Among sources that are not capped the first has the largest level; it is the water level.
+    water = F.max(F.when(F.col("_ratio") > F.col("_level"), F.col("_level"))).over(all_rows)
+    return out.withColumn("_water", water).select("source", "source_size", "weight", F.least(F.col("_cap"), F.coalesce(F.col("_water") * F.col("weight"), F.col("_cap"))).alias("target"))
 
 
 def sainte_lague(parties: DataFrame, group: list[str], tie: list[str], weight: str, seats: str, out: str = "quota") -> DataFrame:
@@ -168,9 +166,8 @@ levels AS (
   SELECT *, cap / weight AS ratio,
     (total - coalesce(sum(cap) OVER (ORDER BY cap / weight, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE))
     / sum(weight) OVER (ORDER BY cap / weight, source ASC NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM caps),
-free AS (SELECT min(ratio) AS ratio, arg_min(level, ratio) AS level FROM levels WHERE ratio > level),
 targets AS (
-  SELECT l.source, l.source_size, CASE WHEN f.ratio IS NULL OR l.ratio < f.ratio THEN l.cap ELSE f.level * l.weight END AS target FROM levels l, free f),
+  SELECT source, source_size, least(cap, coalesce((SELECT max(level) FROM levels WHERE ratio > level) * weight, cap)) AS target FROM levels),
 seats AS (SELECT *, CAST(round((SELECT sum(target) FROM targets) / 32) AS BIGINT) AS m, (SELECT sum(target) FROM targets) AS t, (SELECT count(*) FROM targets) AS n FROM targets),
 lo AS (SELECT *, CAST(greatest(0.0, floor(target * (m - n / 2.0::DOUBLE) / t + 0.5)) AS BIGINT) AS lo, CAST(greatest(0.0, floor(target * (m + n / 2.0::DOUBLE) / t + 0.5)) AS BIGINT) AS hi FROM seats),
 ranked AS (
