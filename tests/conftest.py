@@ -2,12 +2,14 @@ import os
 import sys
 
 import duckdb
-import numpy as np
 import pytest
 from pyspark.sql import SparkSession
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-DATA = "/root/testdata/sf0.001"
+HERE = os.path.dirname(os.path.abspath(__file__))
+sys.path[:0] = [os.path.dirname(HERE), HERE]
+
+from helpers import DATA  # noqa: E402
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -30,14 +32,3 @@ def duck():
     for t in TABLES:
         con.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     return con
-
-
-def tidy(df):
-    """Rows in a comparable form."""
-    df = df[sorted(df.columns)].copy()
-    for c in df.columns:
-        if df[c].dtype == object:
-            df[c] = df[c].map(lambda v: repr(list(v)) if isinstance(v, (list, np.ndarray)) else None if v is None or v != v else str(v))
-        elif df[c].dtype.kind == "f":
-            df[c] = df[c].round(6) + 0.0
-    return sorted(map(tuple, df.astype(object).where(df.notna(), None).values.tolist()), key=repr)

@@ -2,7 +2,7 @@
 
 import numpy as np
 import pytest
-from conftest import DATA, tidy
+from helpers import DATA, tidy
 
 import __spark_entry__ as entry
 from clusterloom.operators import baselines, confidence, gnn, graph, knn, metrics, proposals, training, vectors
