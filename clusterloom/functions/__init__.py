@@ -1 +1 @@
-
+"""Helpers that several operators share."""

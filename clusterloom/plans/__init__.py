@@ -1 +1 @@
-
+"""Pipelines made of operators, and the registered queries."""
