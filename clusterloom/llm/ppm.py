@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UND = "und"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -84,7 +85,7 @@ def fit(texts: dict[str, list[str]], order: int = 4, max_nodes: int = 12_000, mi
     seen[10] = True
     for x in data.values():
         seen[np.unique(x)] = True
-    symbol = np.full(256, seen.sum(), np.int32)
+    symbol = np.full(256, seen.sum(), np.uint16)
     symbol[seen] = np.arange(seen.sum())
     width = int(seen.sum()) + 1
     syms = {k: symbol[x].astype(np.int64) for k, x in data.items()}
@@ -161,29 +162,40 @@ def utf8(col: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def identify(docs: DataFrame, model: Model, *, id_col="doc_id", text_col="text") -> DataFrame:
-    """``doc_id, lang_pred, score, bits_per_byte`` of every row."""
+_ROWS = 256
+
+
+def identify(docs: DataFrame, model: Model, *, text_col="text") -> DataFrame:
+    """All columns of ``docs``, and ``lang_pred, score, bits_per_byte`` of every row.
+
+    Columns of ``docs`` with these names are replaced.
+    """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    kind = docs.schema[id_col].dataType.simpleString()
+    new = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType())]
+    docs = docs.drop(*[f.name for f in new])
+    at = docs.columns.index(text_col)
+    names = [*docs.columns, *[f.name for f in new]]
 
     def score(batches):
         m = shared.value
-        for b in batches:
-            data, offsets = utf8(b.column(1))
-            known = np.array([t is not None and bool(m.langs) and _LETTER.search(t) is not None for t in b.column(1).to_pylist()], bool)
-            if m.langs:
-                bits = m.bits(data, offsets)
-                best = bits.argmin(1)
-                least = bits[np.arange(len(bits)), best]
-                share = 1 / np.exp2(-np.minimum(bits - least[:, None], 1000)).sum(1)
-            else:
-                best, least, share = np.zeros(b.num_rows, int), np.zeros(b.num_rows), np.zeros(b.num_rows)
-            names = [m.langs[i] if k else UND for i, k in zip(best, known, strict=True)]
-            rate = np.where(known, least / np.maximum(np.diff(offsets), 1), 0)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(np.where(known, share, 0.0)), pa.array(rate)], ["doc_id", "lang_pred", "score", "bits_per_byte"])
-
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(score, f"doc_id {kind}, lang_pred string, score double, bits_per_byte double")
+        for whole in batches:
+            for lo in range(0, whole.num_rows, _ROWS):
+                b = whole.slice(lo, _ROWS)
+                data, offsets = utf8(b.column(at))
+                known = np.array([t is not None and bool(m.langs) and _LETTER.search(t) is not None for t in b.column(at).to_pylist()], bool)
+                if m.langs:
+                    bits = m.bits(data, offsets)
+                    best = bits.argmin(1)
+                    least = bits[np.arange(len(bits)), best]
+                    share = 1 / np.exp2(-np.minimum(bits - least[:, None], 1000)).sum(1)
+                else:
+                    best, least, share = np.zeros(b.num_rows, int), np.zeros(b.num_rows), np.zeros(b.num_rows)
+                lang = [m.langs[i] if k else UND for i, k in zip(best, known, strict=True)]
+                rate = np.where(known, least / np.maximum(np.diff(offsets), 1), 0)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(np.where(known, share, 0.0)), pa.array(rate)], names)
+
+    return docs.mapInArrow(score, T.StructType([*docs.schema.fields, *new]))
 
 
 def op2_language_id(spark, sf_dir):
@@ -191,5 +203,5 @@ def op2_language_id(spark, sf_dir):
     from clusterloom.llm.common import table
 
     docs = table(spark, sf_dir, "documents")
-    out = identify(docs, train(docs))
+    out = identify(docs.select("doc_id", "text"), train(docs))
     return out.select("doc_id", F.coalesce(F.expr("crc32(cast(doc_id as string)) % 3 = 1"), F.lit(False)).alias("held_out"), "lang_pred", "score", "bits_per_byte")
