@@ -19,9 +19,10 @@ ORACLE_SQL = None
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without text in a known language go; a missing ``lang`` is filled in."""
-    found = ppm.identify(docs.select(F.struct(*docs.columns).alias("row"), "text"), ppm.train(docs), id_col="row", text_col="text")
-    kept = found.where(F.col("lang_pred") != ppm.UND)
-    return kept.select(*[F.coalesce(F.col("doc_id.lang"), F.col("lang_pred")).alias(c) if c == "lang" else F.col(f"doc_id.{c}").alias(c) for c in docs.columns])
+    names = docs.columns
+    plain = docs.toDF(*[f"_{i}" for i in range(len(names))])  # no column of the input has a name of the result
+    found = ppm.identify(plain, ppm.train(docs), text_col=plain.columns[names.index("text")]).where(F.col("lang_pred") != ppm.UND)
+    return found.select(*[(F.coalesce(c, "lang_pred") if name == "lang" else F.col(c)).alias(name) for c, name in zip(plain.columns, names, strict=True)])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
