@@ -93,7 +93,7 @@ def sainte_lague(parties: DataFrame, group: list[str], tie: list[str], weight: s
     return a.join(b, on).select("a.*", (F.col("a._lo") + F.col("b._won")).alias(out)).drop("_lo", "_hi", "_rest")
 
 
-def mix(docs: DataFrame, *, id_col="doc_id", text_col="text", source_col="source", weights=(5, 2, 1), share=1.5, cap=2.0, block_words=32, shard_words=4_000_000, seed=17) -> DataFrame:
+def mix(docs: DataFrame, *, id_col="doc_id", text_col="text", source_col="source", weights=(5, 2, 1), share=1.5, cap=2.0, block_words=32, shard_words=100_000, seed=17) -> DataFrame:
     """``doc_id, size, source_size, target, taken``: the words the mix takes of each row.
 
     A shard holds about ``shard_words`` words, so a source with a third of all rows
@@ -174,7 +174,7 @@ ranked AS (
   SELECT source, row_number() OVER (ORDER BY target / (2 * seat + 1) DESC, source ASC NULLS LAST, seat) AS rk, m - (SELECT sum(lo) FROM lo) AS rest
   FROM (SELECT *, unnest(range(lo, hi + 1)) AS seat FROM lo)),
 won AS (SELECT source, count(*) FILTER (WHERE rk <= rest) AS w FROM ranked GROUP BY source),
-src AS (SELECT l.source, l.source_size, l.target, l.lo + w.w AS q, greatest(1, CAST(ceil(l.source_size / 4000000.0) AS BIGINT)) AS n_shards FROM lo l JOIN won w ON l.source IS NOT DISTINCT FROM w.source),
+src AS (SELECT l.source, l.source_size, l.target, l.lo + w.w AS q, greatest(1, CAST(ceil(l.source_size / 100000.0) AS BIGINT)) AS n_shards FROM lo l JOIN won w ON l.source IS NOT DISTINCT FROM w.source),
 docs AS (
   SELECT z.*, s.source_size, s.target, s.q, ('0x' || substr(md5('17|' || doc_id), 1, 15))::BIGINT AS h, ('0x' || substr(md5('17|' || doc_id), 1, 15))::BIGINT % s.n_shards AS shard
   FROM sized z JOIN src s ON z.source IS NOT DISTINCT FROM s.source),
