@@ -32,7 +32,7 @@ from clusterloom.llm.common import scratch_path
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
 _SPACE = re.compile(r"[ \t\n\r]+")
-_REMEMBER, _LONGEST = 500_000, 48
+_REMEMBER, _LONGEST = 400_000, 48
 _state: dict = {}
 
 
@@ -96,7 +96,7 @@ class Encoder:
             out.append(b"".join(ids))
         again = {p for p in new & self.met if len(p) <= _LONGEST} if len(known) < _REMEMBER else set()
         known.update((p, fresh[p]) for p in again)
-        if len(self.met) > _REMEMBER:
+        if len(self.met) > _REMEMBER // 2:
             self.met.clear()
         self.met |= new
         self.met -= again
@@ -121,8 +121,8 @@ def write_tokens(docs: DataFrame, path: str, *, id_col="doc_id", text_col="text"
     def encode(batches):
         enc, part, start = encoder(vocabulary), TaskContext.get().partitionId(), 0
         for b in batches:
-            for lo in range(0, b.num_rows, 512):
-                rows = b.slice(lo, 512)
+            for lo in range(0, b.num_rows, 384):
+                rows = b.slice(lo, 384)
                 ids = [x + tail for x in enc([t or "" for t in rows.column(1).to_pylist()])]
                 sizes = np.array([len(x) // 4 for x in ids], np.int64)
                 ends = np.cumsum(sizes)
