@@ -5,8 +5,10 @@ inner-product search the residual parallel to the vector matters more than the r
 across it, so codebooks and codes minimise ``eta * |r_par|^2 + |r_orth|^2`` (eta from the
 score threshold of the search). Codes are chosen by coordinate descent on that loss.
 
-A query scans the codes with its 16-entry tables and the best ``rerank`` candidates of
-each block get their exact inner product, so a reported score is always exact.
+Equal vectors are coded and scanned once, for their k + 1 smallest ids: no query needs more
+of them. A query scans the codes with its 16-entry tables and the best ``rerank`` candidates
+of each block, with all that tie with the last of them, get their exact inner product, so a
+reported score is always exact and no choice depends on the order of rows.
 
 Rows are dealt into blocks of bounded size; each (query block, candidate block) pair is
 one task group. The codebooks come from a bounded sample (``sample`` rows); every row
@@ -130,6 +132,13 @@ def valid_vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return rows.join(F.broadcast(common), F.col("dim") == F.col("common")).withColumn("_n", F.row_number().over(first)).where("_n = 1").select("id", "v")
 
 
+def _groups(good: DataFrame, most: int) -> DataFrame:
+    """``id, ids, v``: each different vector with its smallest id, and its ``most`` smallest ids in order."""
+    first = Window.partitionBy("v").orderBy("id")  # limited before the shuffle, so a common vector is no large group
+    few = good.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= most)
+    return few.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).select(F.col("ids")[0].alias("id"), "ids", "v")
+
+
 def search(rows: DataFrame, is_query, *, id_col="vec_id", vec_col="embedding", k=20, rerank=400, sample=20_000, threshold=0.3, query_block=2048, row_block=32_768, seed=3) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k nearest of each query row among all other rows.
 
@@ -165,10 +174,10 @@ def search(rows: DataFrame, is_query, *, id_col="vec_id", vec_col="embedding", k
                 packed = (c[:, ::2] << 4) | c[:, 1::2]
                 yield pdf.assign(codes=[r.tobytes() for r in packed])
 
-    coded = good.mapInPandas(code, f"id {kind}, v array<double>, codes binary")
+    coded = _groups(good, k + 1).mapInPandas(code, f"id {kind}, ids array<{kind}>, v array<double>, codes binary")
     deal = lambda m: F.pmod(h, F.lit(m)).cast("int")
     left = good.where(is_query).select(deal(blocks_q).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(blocks_r - 1))).alias("rb"), "id", "v")
-    right = coded.select(F.explode(F.sequence(F.lit(0), F.lit(blocks_q - 1))).alias("qb"), deal(blocks_r).alias("rb"), "id", "v", "codes")
+    right = coded.select(F.explode(F.sequence(F.lit(0), F.lit(blocks_q - 1))).alias("qb"), deal(blocks_r).alias("rb"), "id", "ids", "v", "codes")
 
     def cell(key, qs: pd.DataFrame, rs: pd.DataFrame) -> pd.DataFrame:
         books, _, _ = shared.value
@@ -179,17 +188,20 @@ def search(rows: DataFrame, is_query, *, id_col="vec_id", vec_col="embedding", k
         codes = np.empty((len(rs), 2 * packed.shape[1]), np.uint8)
         codes[:, ::2], codes[:, 1::2] = packed >> 4, packed & 15
         codes = codes[:, : len(books)]
-        q_id, r_id = qs["id"].to_numpy(), rs["id"].to_numpy()
+        q_id, r_id, members = qs["id"].to_numpy(), rs["id"].to_numpy(), rs["ids"].to_numpy()
         out = []
         top = min(len(rs), rerank + 1)
         for lo in range(0, len(q), 64):
             approx = scan(q[lo : lo + 64], codes, books)
-            near = np.argpartition(-approx, top - 1, axis=1)[:, :top]
-            for i, cand in enumerate(near):
-                cand = cand[r_id[cand] != q_id[lo + i]]
+            least = np.partition(approx, len(rs) - top, axis=1)[:, len(rs) - top]
+            for i, near in enumerate(approx >= least[:, None]):
+                cand = np.flatnonzero(near)
                 s = exact(q[lo + i : lo + i + 1], x[cand])
-                best = np.lexsort((r_id[cand], -s))[:k]
-                out.append((np.full(len(best), q_id[lo + i]), r_id[cand[best]], s[best]))
+                best = np.lexsort((r_id[cand], -s))[: k + 1]  # one of them may be the query alone
+                ids, s = np.concatenate(members[cand[best]]), np.repeat(s[best], [len(m) for m in members[cand[best]]])
+                ids, s = ids[ids != q_id[lo + i]], s[ids != q_id[lo + i]]
+                best = np.lexsort((ids, -s))[:k]
+                out.append((np.full(len(best), q_id[lo + i]), ids[best], s[best]))
         a, b, c = (np.concatenate(z) for z in zip(*out, strict=True))
         return pd.DataFrame({"query_id": a, "vec_id": b, "score": c})
 

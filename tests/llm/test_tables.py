@@ -49,6 +49,21 @@ def test_blocks_of_rows_and_odd_dimension(spark):
     assert a == b and len(a) == 50
 
 
+def test_copies_beyond_the_candidates(spark):
+    """More equal vectors, and more of equal codes, than candidates are scored: the smallest ids, the best scores."""
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(2, 8))
+    x = np.concatenate([rng.normal(size=(300, 8)) / 4, np.repeat(base[:1], 1200, 0), base[1] * (1 + 1e-9 * rng.random((900, 1)))])
+    ids = rng.permutation(len(x))
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>").repartition(5)
+    asked = sorted([*ids[300:1500][::300].tolist(), *ids[1500:][::300].tolist(), int(ids[300:1500].min())])
+    got = ann.search(df, F.col("id").isin(asked)).toPandas()
+    for q in set(asked):
+        s = ann.exact(x[ids == q], x)
+        s[ids == q] = -np.inf
+        assert got[got["query_id"] == q].sort_values("rank")["vec_id"].tolist() == ids[np.lexsort((ids, -s))[:20]].tolist()
+
+
 def test_parallel_error_weighs_more():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(400, 16)).astype(np.float32)
