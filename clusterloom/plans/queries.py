@@ -233,7 +233,7 @@ def _(i):
 
 @query("k4_knn_ivf")
 def _(i):
-    return _knn_out(knn.knn_ivf(i.feats, K, n_cells=16, n_probe=8))
+    return _knn_out(knn.knn_ivf(i.feats, K, n_cells=16))
 
 
 @query("k5_approximate_reranked")

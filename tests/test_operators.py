@@ -71,6 +71,19 @@ def test_fresh_labels_for_missing_ids(spark):
     assert dict(map(tuple, got.collect())) == {0: 0, 1: 0, 2: 1, 3: 1, 4: 2, 5: 3}
 
 
+@pytest.mark.parametrize("name", ["k2_knn_lsh", "k4_knn_ivf", "k5_approximate_reranked"])
+def test_recall_of_approximate_search(spark, name):
+    data = DATA.replace("sf0.001", "sf0.1")
+    e = spark.read.parquet(f"{data}/embeddings.parquet").toPandas()
+    x, ids = np.array(e["embedding"].tolist(), np.float64), e["vec_id"].to_numpy()
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    sim = x @ x.T
+    np.fill_diagonal(sim, -np.inf)
+    want = {(ids[i], ids[j]) for i, row in enumerate(np.argsort(-sim, axis=1)[:, :10]) for j in row}
+    got = {(r["id"], r["nbr"]) for r in QUERIES[name](spark, data).select("id", "nbr").collect()}
+    assert len(want & got) >= 0.9 * len(want)
+
+
 def test_first_direction_counts(spark):
     k = spark.createDataFrame([(1, 2, 1, 0.1), (3, 4, 1, 0.2), (4, 3, 1, 0.3)], "id long, nbr long, rank int, dist double")
     assert sorted((r["u"], r["v"], round(r["score"], 6)) for r in knn.undirected_pairs(k, 0.5).collect()) == [(1, 2, 0.9), (3, 4, 0.8)]
