@@ -191,7 +191,7 @@ def _sig_matrix(col) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
-    """``doc_id, cid, sig``: set fingerprint and MinHash values of each text."""
+    """``doc_id, h, cid, sig``: hash of each text, its set fingerprint and MinHash values."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -204,9 +204,9 @@ def sketch(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
                 for i, s in zip(ids, sets, strict=True):
                     if i not in known:
                         known[i] = signature(s).tobytes()
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.int64()), pa.array([known[i] for i in ids], pa.binary())], ["doc_id", "cid", "sig"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(ids, pa.int64()), pa.array([known[i] for i in ids], pa.binary())], ["doc_id", "h", "cid", "sig"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, cid long, sig binary")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h")).mapInArrow(run, f"doc_id {kind}, h long, cid long, sig binary")
 
 
 def _deal(members: DataFrame, key: str, block: int, *more: str) -> DataFrame:
@@ -307,13 +307,17 @@ def _exact(sets: list[np.ndarray], sizes: np.ndarray, a: np.ndarray, b: np.ndarr
 def links(docs: DataFrame, classes: DataFrame, clusters: DataFrame, id_col="doc_id", text_col="text", block: int = 512) -> DataFrame:
     """``cid, root, n``: for each class and block pair, the rows it is linked to and the smallest class reached there.
 
-    ``classes`` has ``cid, rep, copies``; ``clusters`` has ``id, component``.
+    ``classes`` has ``cid, rep, copies``, and ``h`` (hash of the text under that id) where ids may be repeated; ``clusters`` has ``id, component``.
     """
     sizes = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     named = clusters.join(sizes, "component").select(F.col("component").alias("key"), F.col("id").alias("cid"), "n")
-    member = named.join(classes.select("cid", "rep", "copies"), "cid")
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    full = texts.join(member, texts["doc_id"].eqNullSafe(member["rep"])).select("key", "n", "cid", "copies", "text")
+    same = ["h"] if "h" in classes.columns else []
+    member = named.join(classes.select("cid", "rep", "copies", *same), "cid")
+    if same:
+        texts = texts.withColumn("h", F.xxhash64("text"))
+    on = [texts["doc_id"].eqNullSafe(member["rep"]), *[texts[c] == member[c] for c in same]]
+    full = texts.join(member, on).select("key", "n", "cid", "copies", "text")
     dealt = _deal(full, "key", block, "copies", "text")
 
     def verify(batches):
@@ -354,26 +358,34 @@ def links(docs: DataFrame, classes: DataFrame, clusters: DataFrame, id_col="doc_
     return dealt.repartition("key", "s", "t").sortWithinPartitions("key", "s", "t").mapInArrow(verify, "cid long, root long, n long")
 
 
-def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text") -> DataFrame:
-    """``doc_id, class_id, n_links`` of every row."""
+def _grouped(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The sketch of all rows, and ``cid, rep, h, copies, n, component`` of the different sets: the row that stands for each, and its group."""
     sketched = cut(sketch(docs, id_col, text_col), "near-sketch")
-    classes = cut(sketched.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig")), "near-classes")
+    classes = sketched.groupBy("cid").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"))
+    classes = cut(classes.select("cid", F.col("first.doc_id").alias("rep"), F.col("first.h").alias("h"), "copies", "sig"), "near-classes")
     clusters = connected_components(cut(candidates(classes), "near-candidates"))
     found = cut(links(docs, classes, clusters, id_col, text_col), "near-links")
     groups = connected_components(found.select(F.col("cid").alias("src"), F.col("root").alias("dst")))
     n = found.groupBy("cid").agg(F.sum("n").alias("n"))
-    named = classes.select("cid", "rep", "copies").join(n, "cid", "left").join(groups.select(F.col("id").alias("cid"), "component"), "cid", "left")
-    named = named.withColumn("component", F.coalesce("component", "cid"))
+    named = classes.select("cid", "rep", "h", "copies").join(n, "cid", "left").join(groups.select(F.col("id").alias("cid"), "component"), "cid", "left")
+    return sketched, named.withColumn("component", F.coalesce("component", "cid"))
+
+
+def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text") -> DataFrame:
+    """``doc_id, class_id, n_links`` of every row."""
+    sketched, named = _grouped(docs, id_col, text_col)
     head = named.groupBy("component").agg(F.min("rep").alias("class_id"))
     per_class = named.join(head, "component").select("cid", "class_id", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
     return sketched.select("doc_id", "cid").join(per_class, "cid").select("doc_id", "class_id", "n_links")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each class: the smallest id, and of rows with that id one; columns as in ``docs``."""
-    found = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(found, docs["doc_id"].eqNullSafe(found["__id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """One row of each group of near duplicates: of the smallest id (null is last), and of its texts there the one of the smallest hash; columns as in ``docs``."""
+    _, named = _grouped(docs, "doc_id", "text")
+    found = named.groupBy("component").agg(F.min(F.struct(F.col("rep").isNull(), "rep", "h")).alias("first")).select(F.col("first.rep").alias("__id"), F.col("first.h").alias("__h"))
+    hashed = docs.withColumn("__text", F.xxhash64("text"))
+    kept = hashed.join(found, hashed["doc_id"].eqNullSafe(found["__id"]) & (hashed["__text"] == found["__h"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "__text"]).drop("__text")
 
 
 def op5_near_join(spark, sf_dir):

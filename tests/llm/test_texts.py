@@ -186,6 +186,14 @@ def test_keep_one(make):
     assert sorted(r["doc_id"] for r in near_join.keep_one(docs).collect()) == [2, 9]
 
 
+def test_keep_one_with_null_and_repeated_ids(make):
+    texts = [" ".join(f"{k}w{i}" for i in range(30)) for k in range(6)]
+    near = texts[0] + " more"
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (4, near), (4, texts[2]), (4, texts[3]), (4, texts[3]), (5, texts[2]), (3, texts[4]), (8, texts[4]), (8, texts[5]), (9, None), (9, "")]
+    kept = [(r["doc_id"], r["text"] or "") for r in near_join.keep_one(make(rows)).collect()]
+    assert sorted(map(repr, kept)) == sorted(map(repr, [(None, texts[1]), (4, near), (4, texts[2]), (4, texts[3]), (3, texts[4]), (8, texts[5]), (9, "")]))
+
+
 # ---- repeated strings
 
 
