@@ -115,15 +115,18 @@ def _joined(row: np.ndarray, start: np.ndarray, size: np.ndarray):
     return row[i], start[i], reach[last] - row[i] * big - start[i]
 
 
-def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``doc, sub, text``: ids as numbers, and the place of a row among those that repeat its id."""
+def _numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """``doc, sub, text``: ids as numbers, and the place of a row among those that repeat its id; all rows, and one of those that are equal."""
     d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     twice = d.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc")
     if twice.isEmpty():
-        return d.select("doc", F.lit(0).cast("long").alias("sub"), "text")
+        rows = d.select("doc", F.lit(0).cast("long").alias("sub"), "text")
+        return rows, rows
     h = d.withColumn("h", F.xxhash64("text"))
-    rank = h.select("doc", "h").join(twice, "doc", "left_semi").distinct().withColumn("sub", (F.row_number().over(Window.partitionBy("doc").orderBy("h")) - 1).cast("long"))
-    return h.join(rank, ["doc", "h"], "left").select("doc", F.coalesce("sub", F.lit(0).cast("long")).alias("sub"), "text")
+    rank = h.select("doc", "h").join(twice, "doc", "left_semi").groupBy("doc", "h").agg(F.count(F.lit(1)).alias("m")).withColumn("sub", (F.row_number().over(Window.partitionBy("doc").orderBy("h")) - 1).cast("long"))
+    rows = h.join(rank, ["doc", "h"], "left").select("doc", F.coalesce("sub", F.lit(0).cast("long")).alias("sub"), "text", F.coalesce("m", F.lit(1)).alias("m"))
+    once = rows.where("m = 1").unionByName(rows.where("m > 1").dropDuplicates(["doc", "sub", "text"]))
+    return rows.drop("m"), once.drop("m")
 
 
 def _first_pass(rows: DataFrame) -> DataFrame:
@@ -326,8 +329,8 @@ def repeated_ranges(rows: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, *, id_col="doc_id", text_col="text", with_text: bool = False) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` (and ``spans, kept``: removed byte ranges and remaining bytes) of every row."""
-    rows = _numbered(docs, id_col, text_col)
-    gone = repeated_ranges(rows).groupBy("doc", "sub").agg(F.collect_list(F.struct("start", "size")).alias("gone"))
+    rows, once = _numbered(docs, id_col, text_col)
+    gone = repeated_ranges(once).groupBy("doc", "sub").agg(F.collect_list(F.struct("start", "size")).alias("gone"))
 
     def run(batches):
         for b in batches:

@@ -245,6 +245,14 @@ def test_repeats_of_ids_and_empty_tables(make):
     assert repeats.remove_repeats(make([(1, t)]).limit(0)).count() == 0
 
 
+def test_equal_rows_are_one_document(make):
+    rng = random.Random(8)
+    t, u = ("".join(rng.choice("abcdefgh") for _ in range(300)) for _ in range(2))
+    rows = [(7, t), (7, t), (None, u), (None, u), (None, u), (8, u), (9, "short"), (9, "short")]
+    got = repeats.remove_repeats(make(rows), with_text=True).collect()
+    assert sorted((repr(r["doc_id"]), r["n_removed"], bytes(r["kept"]).decode()) for r in got) == sorted([("7", 0, t)] * 2 + [("None", 0, u)] * 3 + [("8", 300, "")] + [("9", 0, "short")] * 2)
+
+
 def test_long_texts_in_overlapping_blocks(monkeypatch):
     monkeypatch.setattr(repeats, "_BLOCK", 300)
     data = np.frombuffer("".join(random.Random(3).choices("abcdefgh", k=5000)).encode(), np.uint8)
