@@ -1,22 +1,25 @@
-"""Lossless WebP columns: a reader for the whole lossless format, and a writer for byte samples.
+"""Lossless WebP columns: a reader and a writer for the whole lossless format.
 
 The reader inverts everything the lossless format has: prefix codes (simple, normal, and
 grouped by an entropy image), back-references with two-dimensional distances, the colour
 cache, and the predictor, cross-colour, subtract-green and palette transforms (with
-several pixels in one when the palette is small). It gives arrays of RGBA samples.
-
-A run of literal pixels is read without a loop over pixels: the code length at every bit
-position is looked up at once, four pixels are chained with three gathers, and only
-every fourth pixel's position is followed one after another. Images with
-back-references, a cache or several code groups are read pixel by pixel.
-
-The writer stores a byte string as grey samples: sorted palette, prefix-coded indices,
-literals only, so its files take the quick path. Its length goes into a chunk of its own
-(rows are padded to full width); strings over 64 MiB become several files in a row.
-
-Defined results (:func:`op1_webp`): null text is the empty text and still has one block
-of 64 zero bytes. Repeated rows and null ids are kept. Empty table: empty result. Extra
-columns are ignored. Long texts are stored whole. A damaged file raises ``ValueError``.
+several pixels in one when the palette is small). One loop over symbols serves all images;
+it copies references as slices and takes several symbols from one refill of the bit
+buffer. The predictor is inverted along diagonals, all pixels of one at a time.
+
+The writer prices several forms of an image by the entropy of their symbols and writes the
+cheapest: a palette, or subtract-green, predictor and cross-colour with their parameters
+chosen for each block, each with back-references and, where it pays, a colour cache.
+
+A byte string is stored as grey samples in rows of 64 or more. Its length goes into a chunk
+of its own (the last row is padded); a string over 1 MiB becomes several files in a row, so
+memory depends on the part's size and not on the string's.
+
+Defined results (:func:`encode_texts`, :func:`describe_media`)
+    * null text is the empty text and still has one block of 64 zero bytes.
+    * repeated rows and null ids are kept; equal texts have equal files.
+    * empty table: empty result. Extra columns are ignored, whatever their names.
+    * long texts are stored whole, in parts. A damaged file raises ``ValueError``.
 """
 
 from __future__ import annotations
@@ -26,11 +29,13 @@ import hashlib
 import heapq
 import struct
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from clusterloom.llm.common import cut
 from clusterloom.llm.ppm import utf8
 
 # Fixed values of the format.
@@ -45,7 +50,7 @@ NEAR = (
 )
 CACHE_FACTOR = 0x1E35A7BD
 GREEN, RED, BLUE, ALPHA, DISTANCE = range(5)
-SIDE = 16384
+SIDE, LONGEST, FARTHEST = 16384, 4096, (1 << 20) - 120
 
 
 class Bits:
@@ -61,27 +66,17 @@ class Bits:
             raise ValueError("the file ends early")
         return (int.from_bytes(self.data[p >> 3 : (p + n + 7) >> 3], "little") >> (p & 7)) & ((1 << n) - 1)
 
-    def peek(self, n: int) -> int:
-        p = self.pos
-        return (int.from_bytes(self.data[p >> 3 : (p + n + 7) >> 3], "little") >> (p & 7)) & ((1 << n) - 1)
-
 
 def reversed_codes(lengths) -> np.ndarray:
     """Canonical codes of the symbols, first bit lowest."""
-    return _codes(np.asarray(lengths, np.uint8).tobytes())
-
-
-@functools.lru_cache(64)
-def _codes(key: bytes) -> np.ndarray:
-    lengths = np.frombuffer(key, np.uint8)
+    lengths = np.asarray(lengths, np.uint8)
     codes = np.zeros(len(lengths), np.int64)
     used = np.flatnonzero(lengths)
     order = used[np.argsort(lengths[used], kind="stable")]
     if len(order):
         sized = lengths[order].astype(np.int64)
         # The code after a symbol, seen as a fraction of 2**15.
-        start = np.concatenate([[0], np.cumsum(1 << (15 - sized))[:-1]])
-        rev = start.copy()
+        rev = np.concatenate([[0], np.cumsum(1 << (15 - sized))[:-1]])
         rev = ((rev >> 1) & 0x5555) | ((rev & 0x5555) << 1)
         rev = ((rev >> 2) & 0x3333) | ((rev & 0x3333) << 2)
         rev = ((rev >> 4) & 0x0F0F) | ((rev & 0x0F0F) << 4)
@@ -91,45 +86,38 @@ def _codes(key: bytes) -> np.ndarray:
 
 
 class Code:
-    """A prefix code as a table over its longest code's bits."""
+    """A prefix code as a table over its longest code's bits: ``symbol << 4 | length``."""
 
-    __slots__ = ("bits", "even", "largest", "length", "pairs", "single", "symbol")
+    __slots__ = ("bits", "single", "table")
 
-    def __init__(self, lengths: np.ndarray):
+    def __init__(self, lengths):
         lengths = np.asarray(lengths)
         used = np.flatnonzero(lengths)
         if not len(used):
             raise ValueError("a prefix code has no symbol")
         self.single = int(used[0]) if len(used) == 1 else -1
-        self.largest = int(used[-1])
-        self.even = 0  # the length, if all symbols have the same
-        self.pairs = None
         if self.single >= 0:
-            self.bits = 0
+            self.bits, self.table = 0, [self.single << 4]
             return
         own = lengths[used].astype(np.int64)
         if int((1 << (15 - own)).sum()) != 1 << 15:
             raise ValueError("a prefix code is not complete")
         n = self.bits = int(own.max())
-        self.even = n if int(own.min()) == n else 0
         codes = reversed_codes(lengths)[used]
-        self.symbol, self.length = np.empty(1 << n, np.uint16), np.empty(1 << n, np.uint8)
-        for size in np.unique(own):
-            m = own == size
-            at = (codes[m][:, None] + (np.arange(1 << (n - size)) << size)[None, :]).ravel()
-            self.symbol[at] = np.repeat(used[m], 1 << (n - size))
-            self.length[at] = size
+        times = 1 << (n - own)  # table entries of each symbol, a step of 1 << length apart
+        ends = np.cumsum(times)
+        step = np.arange(1 << n) - np.repeat(ends - times, times)
+        table = np.empty(1 << n, np.int64)
+        table[np.repeat(codes, times) + (step << np.repeat(own, times))] = np.repeat(used << 4 | own, times)
+        self.table = table.tolist()
 
     def read(self, bits: Bits) -> int:
-        if self.single >= 0:
-            return self.single
-        if self.pairs is None:
-            self.pairs = list(zip(self.symbol.tolist(), self.length.tolist(), strict=True))
-        s, n = self.pairs[bits.peek(self.bits)]
-        bits.pos += n
+        p = bits.pos
+        e = self.table[(int.from_bytes(bits.data[p >> 3 : (p >> 3) + 3], "little") >> (p & 7)) & ((1 << self.bits) - 1)]
+        bits.pos = p + (e & 15)
         if bits.pos > 8 * len(bits.data):
             raise ValueError("the file ends early")
-        return s
+        return e >> 4
 
 
 @functools.lru_cache(64)
@@ -145,7 +133,6 @@ def _simple(marks: tuple[int, ...], alphabet: int) -> Code:
 
 
 def _read_code(bits: Bits, alphabet: int) -> Code:
-    lengths = np.zeros(alphabet, np.uint8)
     if bits.read(1):
         two, wide = bits.read(1), bits.read(1)
         marks = [bits.read(8 if wide else 1)] + ([bits.read(8)] if two else [])
@@ -158,116 +145,96 @@ def _read_code(bits: Bits, alphabet: int) -> Code:
     code, left = _code(own.tobytes()), alphabet
     if bits.read(1):
         left = 2 + bits.read(2 + 2 * bits.read(3))
-    at, last = 0, 8
-    if code.even and code.largest < 16:  # no repeats: all lengths at once
-        n, e = min(left, alphabet), code.even
-        raw = np.frombuffer(bits.read(n * e).to_bytes((n * e + 7) // 8, "little"), np.uint8)
-        index = np.unpackbits(raw, bitorder="little")[: n * e].reshape(n, e) @ (1 << np.arange(e))
-        lengths[:n] = code.symbol[index]
-        at = alphabet
-    while at < alphabet and left:
+    lengths, last = [], 8
+    read = code.read
+    while len(lengths) < alphabet and left:
         left -= 1
-        s = code.read(bits)
+        s = read(bits)
         if s < 16:
-            lengths[at] = s
-            at += 1
+            lengths.append(s)
             last = s or last
         else:
             n = 3 + bits.read(2) if s == 16 else 3 + bits.read(3) if s == 17 else 11 + bits.read(7)
-            if at + n > alphabet:
-                raise ValueError("code lengths run over")
-            lengths[at : at + n] = last if s == 16 else 0
-            at += n
-    return Code(lengths)
+            lengths += [last if s == 16 else 0] * n
+    if len(lengths) > alphabet:
+        raise ValueError("code lengths run over")
+    return Code(lengths + [0] * (alphabet - len(lengths)))
 
 
-def _quick(bits: Bits, codes: list[Code], n: int) -> np.ndarray:
-    """``n`` literal pixels [n, 4] in the order alpha, red, green, blue."""
-    out = np.empty((n, 4), np.uint8)
-    live = [(c, channel) for c, channel in zip(codes, (2, 1, 3, 0), strict=True)]
-    for c, channel in live:
-        if c.single >= 0:
-            out[:, channel] = c.single
-    live = [x for x in live if x[0].single < 0]
-    if not live:
-        return out
-    first = bits.pos >> 3
-    worst = (n * sum(c.bits for c, _ in live) >> 3) + 16
-    buf = np.frombuffer(bits.data, np.uint8)[first : first + worst]
-    size = len(buf)
-    x = np.zeros(size + 72, np.uint32)
-    x[:size] = buf
-    w = x[:-2] | (x[1:-1] << 8) | (x[2:] << 16)
-    top = max(c.bits for c, _ in live)
-    windows = ((w[:, None] >> np.arange(8, dtype=np.uint32)[None, :]) & np.uint32((1 << top) - 1)).ravel()
-    end = 8 * size
-    m = len(windows)
-    at = np.arange(m, dtype=np.int32)
-    hop, starts = at, []
-    limit = np.int32(m - 1)
-    step = None
-    for c, _ in live:  # bits of one pixel from each position
-        starts.append(step)
-        table = c.length if c.bits == top else np.tile(c.length, 1 << (top - c.bits))
-        own = table[windows] if step is None else table[windows[np.minimum(hop, limit)]]
-        step = own if step is None else step + own
-        hop = at + step
-    two = step + step[np.minimum(at + step, limit)].astype(np.uint8)
-    four = two.astype(np.uint8) + two[np.minimum(at + two, limit)] if len(live) == 1 else None
-    jump = four if four is not None else step
-    stride = 4 if four is not None else 1
-    raw, p, places = jump.tobytes(), bits.pos & 7, []
-    add = places.append
-    try:
-        for _ in range(-(-n // stride)):
-            add(p)
-            p += raw[p]
-    except IndexError:
-        raise ValueError("the file ends early") from None
-    places = np.array(places, np.int32)
-    if stride == 4:
-        full = np.empty((len(places), 4), np.int32)
-        full[:, 0] = places
-        for k in range(1, 4):
-            q = np.minimum(full[:, k - 1], limit)
-            full[:, k] = q + step[q]
-        places = full.ravel()[:n]
-    q = np.minimum(places, limit)
-    for (c, channel), offset in zip(live, starts, strict=True):
-        r = q if offset is None else np.minimum(q + offset[q], limit)
-        symbol = c.symbol[windows[r] & np.uint32((1 << c.bits) - 1)]
-        out[:, channel] = symbol
-    last = int(q[-1]) + int(step[q[-1]])
-    if last > end:
-        raise ValueError("the file ends early")
-    bits.pos = 8 * first + last
-    return out
-
-
-def _value(bits: Bits, prefix: int) -> int:
-    if prefix < 4:
-        return prefix + 1
-    extra = (prefix - 2) >> 1
-    return ((2 + (prefix & 1)) << extra) + bits.read(extra) + 1
-
-
-def _slow(bits: Bits, groups: list[list[Code]], pick, width: int, height: int, cache_bits: int) -> np.ndarray:
-    """Pixels with back-references, cache and code groups, one after another."""
+def _read_pixels(bits: Bits, groups: list[list[Code]], block: tuple | None, width: int, height: int, cache_bits: int) -> np.ndarray:
+    """Pixels [height, width, 4] in the order alpha, red, green, blue. ``block``: size and group numbers of the entropy image."""
     n = width * height
-    out = [0] * n
+    out = array("I")
+    add, extend = out.append, out.extend
     cache = [0] * (1 << cache_bits) if cache_bits else None
     shift = 32 - cache_bits
+    data, total = bits.data, 8 * len(bits.data)
+    at = bits.pos >> 3
+    acc, have = (data[at] >> (bits.pos & 7) if at < len(data) else 0), 8 - (bits.pos & 7)
+    at += 1
+    ready = []
+    for codes in groups:
+        rest = codes[RED], codes[BLUE], codes[ALPHA]
+        fixed = None
+        if all(c.single >= 0 for c in rest):
+            fixed = rest[2].single << 24 | rest[0].single << 16 | rest[1].single
+        ready.append((codes[GREEN].table, (1 << codes[GREEN].bits) - 1, fixed, *[x for c in (*rest, codes[DISTANCE]) for x in (c.table, (1 << c.bits) - 1)]))
+    green, green_mask, fixed, red, red_mask, blue, blue_mask, alpha, alpha_mask, far, far_mask = ready[0]
     i = 0
     while i < n:
-        codes = groups[pick(i % width, i // width)] if pick else groups[0]
-        s = codes[GREEN].read(bits)
+        if have < 64:  # one symbol and all that belongs to it take at most 63 bits
+            acc |= int.from_bytes(data[at : at + 16], "little") << have
+            have += 128
+            at += 16
+            if at > len(data) + 64:
+                raise ValueError("the file ends early")
+        if block:
+            size, numbers = block
+            green, green_mask, fixed, red, red_mask, blue, blue_mask, alpha, alpha_mask, far, far_mask = ready[numbers[i // width >> size][i % width >> size]]
+        e = green[acc & green_mask]
+        k = e & 15
+        acc >>= k
+        have -= k
+        s = e >> 4
         if s < 256:
-            r, b, a = codes[RED].read(bits), codes[BLUE].read(bits), codes[ALPHA].read(bits)
-            out[i] = a << 24 | r << 16 | s << 8 | b
-            done = i + 1
+            if fixed is None:
+                r = red[acc & red_mask]
+                k = r & 15
+                acc >>= k
+                b = blue[acc & blue_mask]
+                have -= k + (b & 15)
+                acc >>= b & 15
+                a = alpha[acc & alpha_mask]
+                acc >>= a & 15
+                have -= a & 15
+                v = (a >> 4) << 24 | (r >> 4) << 16 | s << 8 | b >> 4
+            else:
+                v = fixed | s << 8
+            add(v)
+            i += 1
+            if cache:
+                cache[(CACHE_FACTOR * v & 0xFFFFFFFF) >> shift] = v
         elif s < 280:
-            length = _value(bits, s - 256)
-            d = _value(bits, codes[DISTANCE].read(bits))
+            s -= 256
+            if s < 4:
+                length = s + 1
+            else:
+                k = (s - 2) >> 1
+                length = ((2 + (s & 1)) << k) + (acc & ((1 << k) - 1)) + 1
+                acc >>= k
+                have -= k
+            e = far[acc & far_mask]
+            k = e & 15
+            acc >>= k
+            have -= k
+            s = e >> 4
+            if s < 4:
+                d = s + 1
+            else:
+                k = (s - 2) >> 1
+                d = ((2 + (s & 1)) << k) + (acc & ((1 << k) - 1)) + 1
+                acc >>= k
+                have -= k
             if d > 120:
                 d -= 120
             else:
@@ -275,19 +242,23 @@ def _slow(bits: Bits, groups: list[list[Code]], pick, width: int, height: int, c
                 d = max(1, x + y * width)
             if d > i or i + length > n:
                 raise ValueError("a back-reference leaves the image")
-            for j in range(i, i + length):
-                out[j] = out[j - d]
-            done = i + length
+            piece = out[i - d : i - d + length] if d >= length else (out[i - d : i] * (length // d + 1))[:length]
+            extend(piece)
+            i += length
+            if cache:
+                for v in piece:
+                    cache[(CACHE_FACTOR * v & 0xFFFFFFFF) >> shift] = v
         else:
             if not cache or s - 280 >= len(cache):
                 raise ValueError("a cache entry is out of range")
-            out[i] = cache[s - 280]
-            done = i + 1
-        if cache:
-            for j in range(i, done):
-                cache[(CACHE_FACTOR * out[j] & 0xFFFFFFFF) >> shift] = out[j]
-        i = done
-    return np.array(out, ">u4").view(np.uint8).reshape(n, 4)
+            v = cache[s - 280]
+            add(v)
+            i += 1
+            cache[(CACHE_FACTOR * v & 0xFFFFFFFF) >> shift] = v
+    bits.pos = 8 * at - have
+    if bits.pos > total:
+        raise ValueError("the file ends early")
+    return np.frombuffer(out, np.uint32).astype(">u4").view(np.uint8).reshape(height, width, 4)
 
 
 def _read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
@@ -295,20 +266,15 @@ def _read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     cache_bits = bits.read(4) if bits.read(1) else 0
     if cache_bits > 11:
         raise ValueError("the colour cache is too large")
-    pick, count = None, 1
+    block, count = None, 1
     if main and bits.read(1):
         size = bits.read(3) + 2
         which = _read_image(bits, -(-width >> size), -(-height >> size), False)
         table = (which[:, :, 1].astype(int) << 8) | which[:, :, 2]
-        count, rows = int(table.max()) + 1, table.tolist()
-        pick = lambda x, y: rows[y >> size][x >> size]
+        count, block = int(table.max()) + 1, (size, table.tolist())
     sizes = (280 + ((1 << cache_bits) if cache_bits else 0), 256, 256, 256, 40)
     groups = [[_read_code(bits, n) for n in sizes] for _ in range(count)]
-    if count == 1 and not cache_bits and groups[0][GREEN].largest < 256:
-        flat = _quick(bits, groups[0][:4], width * height)
-    else:
-        flat = _slow(bits, groups, pick, width, height, cache_bits)
-    return flat.reshape(height, width, 4)
+    return _read_pixels(bits, groups, block, width, height, cache_bits)
 
 
 def _average(a, b):
@@ -351,46 +317,52 @@ def _predict(mode: int, left, up, up_left, up_right):
     return np.broadcast_to(np.array([255, 0, 0, 0], np.uint8), np.shape(up))
 
 
-#: Modes that need nothing of the row itself.
-_FROM_ABOVE = {0, 2, 3, 4, 8, 9, 14, 15}
-
-
 def invert_predictor(img: np.ndarray, modes: np.ndarray, size: int) -> np.ndarray:
-    """Add each block's prediction to its residuals."""
+    """Add each block's prediction to its residuals.
+
+    A pixel needs its left neighbour and three of the row above, so all pixels with one value of ``x + 2 y`` can be done at once.
+    """
     height, width, _ = img.shape
     out = img.copy()
     out[0, 0, 0] = (int(out[0, 0, 0]) + 255) & 255
     out[0] = np.cumsum(out[0], axis=0, dtype=np.uint8)
-    for y in range(1, height):
-        up = out[y - 1]
-        row = out[y]
-        row[0] = row[0] + up[0]
-        after = np.concatenate([up[1:], row[:1]])  # above right; the last one is the row's own first pixel
-        x = 1
-        while x < width:
-            mode = int(modes[y >> size, x >> size])
-            stop = min(width, ((x >> size) + 1) << size)
-            if mode in _FROM_ABOVE:
-                row[x:stop] += _predict(mode, None, up[x:stop], up[x - 1 : stop - 1], after[x:stop])
-            elif mode == 1:
-                row[x:stop] = np.cumsum(np.concatenate([row[x - 1 : x], row[x:stop]]), axis=0, dtype=np.uint8)[1:]
-            else:
-                for j in range(x, stop):
-                    row[j] += _predict(mode, row[j - 1], up[j], up[j - 1], after[j])
-            x = stop
+    out[:, 0] = np.cumsum(out[:, 0], axis=0, dtype=np.uint8)
+    for t in range(3, width + 2 * height - 2):
+        y = np.arange(max(1, (t - width + 2) // 2), min(height - 1, (t - 1) // 2) + 1)
+        if not len(y):
+            continue
+        x = t - 2 * y
+        # Above right of the last column is the row's own first pixel.
+        after = np.where((x + 1 < width)[:, None], out[y - 1, np.minimum(x + 1, width - 1)], out[y, 0])
+        left, up, up_left = out[y, x - 1], out[y - 1, x], out[y - 1, x - 1]
+        mode = modes[y >> size, x >> size]
+        first = int(mode[0])
+        if (mode == first).all():
+            out[y, x] += _predict(first, left, up, up_left, after)
+        else:
+            for m in np.unique(mode).tolist():
+                s = mode == m
+                out[y[s], x[s]] += _predict(m, left[s], up[s], up_left[s], after[s])
     return out
 
 
+def _delta(t: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return (t.view(np.int8).astype(np.int16) * c.view(np.int8).astype(np.int16)) >> 5
+
+
+def _spread(table: np.ndarray, size: int, height: int, width: int) -> np.ndarray:
+    return np.ascontiguousarray(table.repeat(1 << size, 0).repeat(1 << size, 1)[:height, :width])
+
+
 def invert_cross_colour(img: np.ndarray, table: np.ndarray, size: int) -> np.ndarray:
     """Undo the colour transform; ``table`` has one element for each block."""
-    height, width, _ = img.shape
-    e = table.repeat(1 << size, 0).repeat(1 << size, 1)[:height, :width].view(np.int8).astype(np.int16)
-    delta = lambda t, c: (t * c.view(np.int8).astype(np.int16)) >> 5
+    e = _spread(table, size, *img.shape[:2])
     out = img.copy()
     green = np.ascontiguousarray(img[:, :, 2])
-    red = ((img[:, :, 1] + delta(e[:, :, 3], green)) & 255).astype(np.uint8)
+    part = lambda k: np.ascontiguousarray(e[:, :, k])
+    red = ((img[:, :, 1] + _delta(part(3), green)) & 255).astype(np.uint8)
     out[:, :, 1] = red
-    out[:, :, 3] = (img[:, :, 3] + delta(e[:, :, 2], green) + delta(e[:, :, 1], red)) & 255
+    out[:, :, 3] = (img[:, :, 3] + _delta(part(2), green) + _delta(part(1), red)) & 255
     return out
 
 
@@ -406,6 +378,13 @@ def invert_palette(img: np.ndarray, table: np.ndarray, pack: int, width: int) ->
     return full[index]
 
 
+def _add_green(img: np.ndarray) -> np.ndarray:
+    out = img.copy()
+    out[:, :, 1] += img[:, :, 2]
+    out[:, :, 3] += img[:, :, 2]
+    return out
+
+
 def chunks(data: bytes):
     """Name and content of a file's chunks."""
     if data[:4] != b"RIFF" or data[8:12] != b"WEBP":
@@ -433,7 +412,7 @@ def _decode_argb(body: bytes) -> np.ndarray:
     width, height, _ = bits.read(14) + 1, bits.read(14) + 1, bits.read(1)
     if bits.read(3):
         raise ValueError("unknown version")
-    full, undo, seen = width, [], set()
+    undo, seen = [], set()
     while bits.read(1):
         kind = bits.read(2)
         if kind in seen:
@@ -454,15 +433,10 @@ def _decode_argb(body: bytes) -> np.ndarray:
     img = _read_image(bits, width, height, True)
     for f, args in reversed(undo):
         img = f(img, *args)
-    assert img.shape[1] == full
     return img
 
 
-def _add_green(img: np.ndarray) -> np.ndarray:
-    out = img.copy()
-    out[:, :, 1] += img[:, :, 2]
-    out[:, :, 3] += img[:, :, 2]
-    return out
+# ---- writing
 
 
 class Writer:
@@ -470,30 +444,39 @@ class Writer:
 
     def __init__(self):
         self.value, self.n = 0, 0
+        self.done: list[bytes] = []
 
     def put(self, value: int, n: int) -> None:
         self.value |= value << self.n
         self.n += n
 
-    def codes(self, values: np.ndarray, lengths: np.ndarray) -> bytes:
-        """The whole stream, ended by many codes of up to 15 bits."""
-        head = self.n >> 3
-        out = self.value.to_bytes(head + 1, "little")
-        ends = np.cumsum(lengths, dtype=np.int64) + (self.n & 7)
+    def put_all(self, values: np.ndarray, lengths: np.ndarray) -> None:
+        """Many values of up to 20 bits."""
+        head, odd = self.n >> 3, self.n & 7
+        self.done.append((self.value & ((1 << 8 * head) - 1)).to_bytes(head, "little"))
+        left = self.value >> 8 * head
+        ends = np.cumsum(lengths, dtype=np.int64) + odd
+        total = int(ends[-1]) if len(ends) else odd
         at = ends - lengths
-        total = int(ends[-1]) if len(ends) else self.n & 7
-        spread = np.bincount(at >> 3, weights=(values << (at & 7)).astype(np.float64), minlength=(total >> 3) + 3).astype(np.int64)
-        spread[0] |= out[-1]
-        flat = spread & 255
-        flat[1:] |= (spread[:-1] >> 8) & 255
-        flat[2:] |= spread[:-2] >> 16
-        return out[:-1] + flat[: (total + 7) >> 3].astype(np.uint8).tobytes()
+        wide = np.bincount(at >> 3, weights=values << (at & 7), minlength=(total >> 3) + 4).astype(np.int64)
+        wide[0] |= left
+        flat = wide & 255
+        for k in (1, 2, 3):  # values of different places never share a bit, so the sums have no carry
+            flat[k:] |= (wide[:-k] >> 8 * k) & 255
+        self.done.append(flat[: total >> 3].astype(np.uint8).tobytes())
+        self.value, self.n = int(flat[total >> 3]) & ((1 << (total & 7)) - 1), total & 7
+
+    def bytes(self) -> bytes:
+        return b"".join(self.done) + self.value.to_bytes((self.n + 7) >> 3, "little")
 
 
 def code_lengths(counts: list[int], most: int = 15) -> list[int]:
     """Lengths of an optimal prefix code, at most ``most`` bits; rare symbols are made less rare until it fits."""
     used = [i for i, c in enumerate(counts) if c]
     out = [0] * len(counts)
+    if not used:
+        out[0] = 1
+        return out
     floor = 1
     while True:
         heap = [(max(counts[s], floor), s) for s in used]
@@ -514,11 +497,13 @@ def code_lengths(counts: list[int], most: int = 15) -> list[int]:
         floor = max(2 * floor, sum(counts) >> (most + 2))
 
 
-_NIBBLE = [int(f"{i:04b}"[::-1], 2) for i in range(16)]
+#: Code of the code lengths: 4 bits for lengths up to 12, 5 for the others and for runs.
+_LENGTH_CODE = [4] * 13 + [5] * 6
+_LENGTH_BITS = reversed_codes(_LENGTH_CODE).tolist()
 
 
 def put_code(w: Writer, lengths: list[int]) -> None:
-    """Write a prefix code: simple for one or two symbols, else normal with four bits for each length."""
+    """Write a prefix code: simple for one or two symbols, else normal with runs of zeros."""
     used = [i for i, n in enumerate(lengths) if n]
     if len(used) <= 2 and used[-1] < 256:
         w.put(1 | (len(used) - 1) << 1 | 1 << 2, 3)
@@ -528,15 +513,31 @@ def put_code(w: Writer, lengths: list[int]) -> None:
     w.put(0, 1)
     w.put(15, 4)
     for s in LENGTH_ORDER:
-        w.put(4 if s < 16 else 0, 3)
-    n = used[-1] + 1
+        w.put(_LENGTH_CODE[s], 3)
+    body, at, marks, gap = 0, 0, 0, 0
+    for i in range(used[-1] + 1):
+        if not lengths[i]:
+            gap += 1
+            continue
+        while gap:  # runs of 3 to 10 and of 11 to 138 zeros
+            if gap < 3:
+                s, n, extra, bits = 0, 1, 0, 0
+            elif gap < 11:
+                s, n, extra, bits = 17, gap, gap - 3, 3
+            else:
+                n = min(gap, 138)
+                s, extra, bits = 18, n - 11, 7
+            body |= (_LENGTH_BITS[s] | extra << _LENGTH_CODE[s]) << at
+            at += _LENGTH_CODE[s] + bits
+            marks += 1
+            gap -= n
+        body |= _LENGTH_BITS[lengths[i]] << at
+        at += _LENGTH_CODE[lengths[i]]
+        marks += 1
     w.put(1, 1)
     w.put(4, 3)
-    w.put(n - 2, 10)
-    body = 0
-    for i, size in enumerate(lengths[:n]):
-        body |= _NIBBLE[size] << (4 * i)
-    w.put(body, 4 * n)
+    w.put(marks - 2, 10)
+    w.put(body, at)
 
 
 def container(body: bytes, extra: bytes = b"") -> bytes:
@@ -545,63 +546,310 @@ def container(body: bytes, extra: bytes = b"") -> bytes:
     return b"RIFF" + struct.pack("<I", 4 + len(body)) + b"WEBP" + body
 
 
+def _prefix(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Prefix symbol, number of extra bits and their value of numbers from 1."""
+    v = v - 1
+    h = np.frexp(np.maximum(v, 1).astype(np.float64))[1] - 1
+    extra = np.where(v < 4, 0, h - 1)
+    return np.where(v < 4, v, 2 * h + ((v >> np.maximum(h - 1, 0)) & 1)), extra, np.where(v < 4, 0, v & ((1 << extra) - 1))
+
+
+@functools.lru_cache(16)
+def _near_codes(width: int) -> np.ndarray:
+    """The code of each distance up to nine rows."""
+    out = np.arange(9 * width + 9) + 120
+    for c in range(len(NEAR), 0, -1):
+        x, y = NEAR[c - 1]
+        out[max(1, x + y * width)] = c
+    return out
+
+
+def references(px: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, length and distance of back-references, in order, without overlap.
+
+    A pixel's candidate is the nearest earlier place of the ``least`` pixels that begin there; pixels
+    in a row with one distance make one reference.
+    """
+    n = len(px)
+    none = np.zeros(0, np.int64)
+    m = n - least + 1
+    if m < 2:
+        return none, none, none
+    key = np.zeros(m, np.uint64)
+    for k in range(least):
+        key = key * np.uint64(0x9E3779B97F4A7C15) + px[k : k + m]
+    order = np.argsort(key, kind="stable")
+    same = key[order[1:]] == key[order[:-1]]
+    here, back = order[1:][same], order[:-1][same]
+    for k in range(least):  # equal keys may hide different pixels
+        ok = px[here + k] == px[back + k]
+        here, back = here[ok], back[ok]
+    far = here - back <= FARTHEST
+    gap = np.zeros(m + 1, np.int64)
+    gap[here[far]] = (here - back)[far]
+    turn = np.flatnonzero(gap[1:] != gap[:-1]) + 1
+    start = np.concatenate([[0], turn])
+    start = start[start < m]
+    distance = gap[start]
+    stop = np.concatenate([start[1:], [m]]) + least - 1  # the run's last place still holds ``least`` equal pixels
+    live = distance > 0
+    out, at = [], 0
+    for a, z, d in zip(start[live].tolist(), stop[live].tolist(), distance[live].tolist(), strict=True):
+        if a < at:
+            a = at
+        while z - a >= least:
+            k = min(LONGEST, z - a)
+            out.append((a, k, d))
+            a += k
+        at = max(at, out[-1][0] + out[-1][1]) if out else 0
+    return tuple(np.array(c, np.int64) for c in zip(*out, strict=True)) if out else (none, none, none)
+
+
+class Parsed:
+    """An image's symbols: literals, references and cache hits, with their counts."""
+
+    def __init__(self, px: np.ndarray, width: int, refs, cache_bits: int):
+        self.px, self.cache_bits = px, cache_bits
+        at, size, gap = refs
+        n = len(px)
+        mark = np.zeros(n + 1, np.int8)
+        if len(at):
+            mark[at] += 1
+            np.add.at(mark, at + size, -1)
+        single = np.flatnonzero(np.cumsum(mark[:-1], dtype=np.int8) == 0)
+        hit = np.zeros(len(single), bool)
+        if cache_bits:
+            slot = ((px.astype(np.uint64) * np.uint64(CACHE_FACTOR) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - cache_bits)).astype(np.int64)
+            order = np.argsort(slot, kind="stable")
+            known = np.zeros(n, bool)  # the last pixel of this slot is the same
+            known[order[1:]] = (slot[order[1:]] == slot[order[:-1]]) & (px[order[1:]] == px[order[:-1]])
+            hit = known[single]
+            self.slots = slot[single[hit]]
+        self.hit_at, self.lit = single[hit], px[single[~hit]]
+        self.lit_at, self.ref_at = single[~hit], at
+        self.length = _prefix(size)
+        near = _near_codes(width)
+        self.distance = _prefix(np.where(gap < len(near), near[np.minimum(gap, len(near) - 1)], gap + 120))
+        alphabet = 280 + ((1 << cache_bits) if cache_bits else 0)
+        green = np.bincount((self.lit >> 8) & 255, minlength=alphabet) + np.bincount(256 + self.length[0], minlength=alphabet)
+        if cache_bits:
+            green += np.bincount(280 + self.slots, minlength=alphabet)
+        other = [np.bincount((self.lit >> s) & 255, minlength=256) for s in (16, 0, 24)]
+        self.counts = [green, *other, np.bincount(self.distance[0], minlength=40)]
+
+    def cost(self) -> float:
+        """About how many bits it takes."""
+        bits = float(self.length[1].sum() + self.distance[1].sum())
+        for c in self.counts:
+            c = c[c > 0].astype(np.float64)
+            if len(c) > 1:
+                bits += float((c * np.log2(c.sum() / c)).sum()) + 5 * len(c)
+        return bits
+
+    def write(self, w: Writer, main: bool) -> None:
+        w.put(1 if self.cache_bits else 0, 1)
+        if self.cache_bits:
+            w.put(self.cache_bits, 4)
+        if main:
+            w.put(0, 1)  # one code group
+        codes, sizes = [], []
+        for c in self.counts:
+            lengths = code_lengths(c.tolist())
+            put_code(w, lengths)
+            own = np.array(lengths, np.int64)
+            if (own > 0).sum() == 1:
+                own[:] = 0
+            codes.append(reversed_codes(own))
+            sizes.append(own)
+        at = np.concatenate([self.lit_at, self.hit_at, self.ref_at])
+        several = any(s.any() for s in sizes[1:4])
+        per = np.concatenate([np.full(len(self.lit_at), 4 if several else 1), np.ones(len(self.hit_at), np.int64), np.full(len(self.ref_at), 4)])
+        order = np.argsort(at, kind="stable")
+        place = np.empty(len(at), np.int64)
+        place[order] = np.cumsum(per[order]) - per[order]
+        values, lengths = np.zeros(int(per.sum()), np.int64), np.zeros(int(per.sum()), np.int64)
+
+        def put(p, symbol, k):
+            values[p], lengths[p] = codes[k][symbol], sizes[k][symbol]
+
+        lit, hit, ref = np.split(place, [len(self.lit_at), len(self.lit_at) + len(self.hit_at)])
+        put(lit, (self.lit >> 8) & 255, GREEN)
+        if several:
+            for k, s in ((RED, 16), (BLUE, 0), (ALPHA, 24)):
+                put(lit + k, (self.lit >> s) & 255, k)
+        if len(hit):
+            put(hit, 280 + self.slots, GREEN)
+        put(ref, 256 + self.length[0], GREEN)
+        values[ref + 1], lengths[ref + 1] = self.length[2], self.length[1]
+        put(ref + 2, self.distance[0], DISTANCE)
+        values[ref + 3], lengths[ref + 3] = self.distance[2], self.distance[1]
+        w.put_all(values, lengths)
+
+
+def _pixels(argb: np.ndarray) -> np.ndarray:
+    """[..., 4] samples as numbers alpha << 24 | red << 16 | green << 8 | blue."""
+    return np.ascontiguousarray(argb).view(">u4").astype(np.uint32).ravel()
+
+
+def parse(px: np.ndarray, width: int, cache_sizes=(0, 5, 9)) -> Parsed:
+    """Symbols of an image with the cheapest of the cache sizes; where only green varies a cache hit costs what a literal does, and none is tried."""
+    flat = len(px) and not ((px ^ px[0]) & np.uint32(0xFFFF00FF)).any()
+    refs = references(px, 4 if flat else 3)
+    found = [Parsed(px, width, refs, b) for b in ((0,) if flat else cache_sizes)]
+    return min(found, key=Parsed.cost) if len(found) > 1 else found[0]
+
+
+def _put_small(w: Writer, argb: np.ndarray) -> None:
+    """An image of transform parameters or palette steps."""
+    Parsed(_pixels(argb), argb.shape[1], (np.zeros(0, np.int64),) * 3, 0).write(w, False)
+
+
+def _palette_form(argb: np.ndarray, colours: np.ndarray, index: np.ndarray):
+    """Transform header and pixels when colours go by number; ``colours`` ascend."""
+    height, width = argb.shape[:2]
+    k = len(colours)
+    pack = 3 if k <= 2 else 2 if k <= 4 else 1 if k <= 16 else 0
+    index = index.reshape(height, width).astype(np.uint8)
+    if pack:
+        per = 8 >> pack
+        short = -width % (1 << pack)
+        index = np.pad(index, ((0, 0), (0, short))).reshape(height, -1, 1 << pack)
+        index = np.bitwise_or.reduce(index << (np.arange(1 << pack, dtype=np.uint8) * per), axis=2).astype(np.uint8)
+    samples = colours.astype(">u4").view(np.uint8).reshape(k, 4)
+    steps = np.diff(samples, axis=0, prepend=np.zeros((1, 4), np.uint8)).astype(np.uint8)
+
+    def head(w):
+        w.put(1 | 3 << 1, 3)
+        w.put(k - 1, 8)
+        _put_small(w, steps[None])
+
+    return head, index.ravel().astype(np.uint32) << np.uint32(8) | np.uint32(0xFF000000), index.shape[1]
+
+
+def forward_predictor(argb: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Residuals, and for each block the mode of the smallest residuals."""
+    height, width, _ = argb.shape
+    left, up, up_left, up_right = (np.zeros_like(argb) for _ in range(4))
+    left[:, 1:] = argb[:, :-1]
+    up[1:] = argb[:-1]
+    up_left[1:, 1:] = argb[:-1, :-1]
+    up_right[1:, :-1] = argb[:-1, 1:]
+    up_right[1:, -1] = argb[1:, 0]
+    high, wide = -(-height >> size), -(-width >> size)
+    best, modes, out = np.full((high, wide), np.iinfo(np.int64).max), np.zeros((high, wide), np.uint8), argb.copy()
+    for mode in range(14):
+        rest = argb - _predict(mode, left, up, up_left, up_right)
+        weight = np.abs(rest.view(np.int8).astype(np.int64)).sum(2)
+        weight = np.pad(weight, ((0, (high << size) - height), (0, (wide << size) - width))).reshape(high, 1 << size, wide, 1 << size).sum((1, 3))
+        better = weight < best
+        best, modes = np.where(better, weight, best), np.where(better, mode, modes).astype(np.uint8)
+        out = np.where(_spread(better, size, height, width)[..., None], rest, out)
+    out[0, 1:] = argb[0, 1:] - argb[0, :-1]
+    out[1:, 0] = argb[1:, 0] - argb[:-1, 0]
+    out[0, 0] = argb[0, 0] - np.array([255, 0, 0, 0], np.uint8)
+    return out, modes
+
+
+def forward_cross_colour(argb: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Residuals, and for each block the factors of least squares [blocks, (255, red to blue, green to blue, green to red)]."""
+    height, width, _ = argb.shape
+    high, wide = -(-height >> size), -(-width >> size)
+    table = np.zeros((high, wide, 4), np.uint8)
+    table[..., 0] = 255
+    signed = argb.view(np.int8).astype(np.float64)
+    for y in range(high):
+        for x in range(wide):
+            b = signed[y << size : (y + 1) << size, x << size : (x + 1) << size]
+            red, green, blue = (b[..., k].ravel() for k in (1, 2, 3))
+            square = max(float(green @ green), 1.0)
+            rounded = lambda v: np.uint8(int(np.clip(np.round(32 * v), -128, 127)) & 255)
+            table[y, x, 3], table[y, x, 2] = rounded(float(green @ red) / square), rounded(float(green @ blue) / square)
+            rest = blue - float(green @ blue) / square * green
+            table[y, x, 1] = rounded(float(red @ rest) / max(float(red @ red), 1.0))
+    e = _spread(table, size, height, width)
+    part = lambda a, k: np.ascontiguousarray(a[:, :, k])
+    green, red = part(argb, 2), part(argb, 1)
+    out = argb.copy()
+    out[:, :, 1] = (argb[:, :, 1] - _delta(part(e, 3), green)) & 255
+    out[:, :, 3] = (argb[:, :, 3] - _delta(part(e, 2), green) - _delta(part(e, 1), red)) & 255
+    return out, table
+
+
+def _forms(argb: np.ndarray, block: int = 4):
+    """Ways to write an image: (header writer, pixels, width of a row)."""
+    height, width = argb.shape[:2]
+    px = _pixels(argb)
+    colours, index = np.unique(px, return_inverse=True)
+    if len(colours) <= 256:
+        yield _palette_form(argb, colours, index)
+        return
+    yield (lambda w: None), px, width
+    less = argb.copy()
+    less[:, :, 1] -= argb[:, :, 2]
+    less[:, :, 3] -= argb[:, :, 2]
+    yield (lambda w: w.put(1 | 2 << 1, 3)), _pixels(less), width
+
+    def blocks(w, kind, table):
+        w.put(1 | kind << 1, 3)
+        w.put(block - 2, 3)
+        _put_small(w, table)
+
+    rest, modes = forward_predictor(argb, block)
+    image = np.zeros((*modes.shape, 4), np.uint8)
+    image[..., 0], image[..., 2] = 255, modes
+    yield (lambda w: blocks(w, 0, image)), _pixels(rest), width
+    crossed, table = forward_cross_colour(rest, block)
+    yield (lambda w: (blocks(w, 0, image), blocks(w, 1, table))), _pixels(crossed), width
+
+
+def encode_argb(argb: np.ndarray) -> bytes:
+    """The bit stream of an image [height, width, 4], in the cheapest of its forms."""
+    height, width = argb.shape[:2]
+    if not (0 < height <= SIDE and 0 < width <= SIDE):
+        raise ValueError("an image has 1 to 16384 rows and columns")
+    forms = [(head, parse(px, row)) for head, px, row in _forms(argb)]
+    head, parsed = min(forms, key=lambda f: f[1].cost()) if len(forms) > 1 else forms[0]
+    w = Writer()
+    w.put(0x2F, 8)
+    w.put(width - 1, 14)
+    w.put(height - 1, 14)
+    w.put(1 if (argb[:, :, 0] != 255).any() else 0, 4)
+    head(w)
+    w.put(0, 1)
+    parsed.write(w, True)
+    return w.bytes()
+
+
+def encode(rgba: np.ndarray) -> bytes:
+    """A lossless file of RGBA samples [height, width, 4]."""
+    return container(encode_argb(np.ascontiguousarray(np.asarray(rgba, np.uint8)[:, :, [3, 0, 1, 2]])))
+
+
 def _encode_part(part: np.ndarray) -> bytes:
+    """Grey samples: their values in the palette of a subtract-green image, their numbers with back-references."""
     n = len(part)
     width = 64 * max(1, -(-n // (64 * SIDE)))
     height = -(-n // width)
     if width * height > n:
         part = np.concatenate([part, np.zeros(width * height - n, np.uint8)])
-    counts = np.bincount(part, minlength=256)
-    values = np.flatnonzero(counts)
-    k = len(values)
+    values = np.flatnonzero(np.bincount(part, minlength=256))
+    number = np.zeros(256, np.uint8)
+    number[values] = np.arange(len(values))
+    # After subtract-green a grey pixel has green only.
+    head, px, row = _palette_form(np.empty((height, width, 0)), values.astype(np.uint32) << np.uint32(8) | np.uint32(0xFF000000), number[part])
     w = Writer()
     w.put(0x2F, 8)
     w.put(width - 1, 14)
     w.put(height - 1, 14)
     w.put(0, 4)
-    w.put(1 | 2 << 1, 3)  # subtract-green: a grey pixel has green only
-    w.put(1 | 3 << 1, 3)  # palette transform
-    w.put(k - 1, 8)
-    w.put(0, 1)  # no cache
-    deltas = np.diff(values, prepend=0).tolist()
-    tally = [0] * 256
-    for d in deltas:
-        tally[d] += 1
-    grey, alpha = code_lengths(tally), [0] * 256
-    alpha[255], alpha[0] = 1, int(k > 1)
-    for x in (grey, [1], [1], alpha, [1]):
-        put_code(w, x)
-    single = sum(1 for x in grey if x) == 1
-    code = reversed_codes(grey).tolist()
-    for i, d in enumerate(deltas):
-        if not single:
-            w.put(code[d], grey[d])
-        if k > 1:
-            w.put(int(i == 0), 1)
-    w.put(0, 1)  # no more transforms
-    w.put(0, 2)  # no cache, one code group
-    index = np.zeros(256, np.uint8)
-    index[values] = np.arange(k)
-    pixels = index[part]
-    pack = 3 if k <= 2 else 2 if k <= 4 else 1 if k <= 16 else 0
-    if pack:
-        per = 8 >> pack
-        pixels = pixels.reshape(-1, 1 << pack)  # the width is a multiple of 64
-        pixels = np.bitwise_or.reduce(pixels << (np.arange(1 << pack, dtype=np.uint8) * per), axis=1).astype(np.uint8)
-        tally = np.bincount(pixels, minlength=256).tolist()
-    else:
-        tally = counts[values].tolist()
-    lengths = code_lengths(tally)
-    for x in (lengths, [1], [1], [0] * 255 + [1], [1]):
-        put_code(w, x)
-    own = np.array(lengths, np.int64)
-    if (own > 0).sum() == 1:
-        own[:] = 0
-    body = w.codes(reversed_codes(own)[pixels], own[pixels])
-    return container(body, b"SIZE" + struct.pack("<IQ", 8, n))
+    w.put(1 | 2 << 1, 3)
+    head(w)
+    w.put(0, 1)
+    parse(px, row).write(w, True)
+    return container(w.bytes(), b"SIZE" + struct.pack("<IQ", 8, n))
 
 
-_PART = 1 << 26
+_PART = 1 << 20
 
 
 def encode_bytes(payload: bytes) -> bytes:
@@ -610,15 +858,37 @@ def encode_bytes(payload: bytes) -> bytes:
     return b"".join(_encode_part(x[lo : lo + _PART]) for lo in range(0, len(x), _PART))
 
 
-def decode_bytes(media: bytes) -> np.ndarray:
-    """The byte samples that :func:`encode_bytes` stored."""
-    at, parts = 0, []
+def decode_parts(media: bytes):
+    """The byte samples that :func:`encode_bytes` stored, part by part."""
+    at = 0
     while at < len(media):
         end = at + 8 + int.from_bytes(media[at + 4 : at + 8], "little")
-        found = dict(chunks(media[at:end] if at or end < len(media) else media))
-        parts.append(_decode_argb(found[b"VP8L"])[:, :, 2].ravel()[: int.from_bytes(found[b"SIZE"], "little")])
+        found = dict(chunks(media[at:end]))
+        if not {b"VP8L", b"SIZE"} <= set(found):
+            raise ValueError("a part lacks its image or its size")
+        yield np.ascontiguousarray(_decode_argb(found[b"VP8L"])[:, :, 2]).ravel()[: int.from_bytes(found[b"SIZE"], "little")]
         at = end
-    return parts[0] if len(parts) == 1 else np.concatenate(parts)
+
+
+def decode_bytes(media: bytes) -> np.ndarray:
+    """All byte samples that :func:`encode_bytes` stored."""
+    return np.concatenate(list(decode_parts(media)))
+
+
+# ---- columns
+
+
+def encode_column(df: DataFrame, id_col: str = "id", width_col: str = "width", height_col: str = "height", pixels_col: str = "pixels") -> DataFrame:
+    """``id, media``: lossless files of RGBA pixel rows; null pixels stay null."""
+    kind = df.schema[id_col].dataType.simpleString()
+
+    def write(batches):
+        for b in batches:
+            for i, w, h, p in zip(*[b.column(k).to_pylist() for k in range(4)], strict=True):
+                media = None if p is None else encode(np.frombuffer(p, np.uint8).reshape(h, w, 4))
+                yield pa.RecordBatch.from_arrays([pa.array([i], b.schema.field(0).type), pa.array([media], pa.binary())], ["id", "media"])
+
+    return df.select(df[id_col].alias("id"), df[width_col].cast("int"), df[height_col].cast("int"), df[pixels_col]).mapInArrow(write, f"id {kind}, media binary")
 
 
 def decode_column(df: DataFrame, media_col: str = "media", id_col: str = "id") -> DataFrame:
@@ -627,8 +897,7 @@ def decode_column(df: DataFrame, media_col: str = "media", id_col: str = "id") -
 
     def read(batches):
         for b in batches:
-            ids, media = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for i, m in zip(ids, media, strict=True):
+            for i, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 img = None if m is None else decode(m)
                 rows = [[i], *([[None]] * 3 if img is None else [[img.shape[1]], [img.shape[0]], [img.tobytes()]])]
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows, (b.schema.field(0).type, pa.int32(), pa.int32(), pa.binary()), strict=True)], ["id", "width", "height", "pixels"])
@@ -636,46 +905,87 @@ def decode_column(df: DataFrame, media_col: str = "media", id_col: str = "id") -
     return df.select(df[id_col].alias("id"), df[media_col].alias("media")).mapInArrow(read, f"id {kind}, width int, height int, pixels binary")
 
 
-def feature(samples: np.ndarray) -> str:
-    """Sum, distinct values, most frequent value, and sum of horizontal steps in rows of 64."""
-    counts = np.bincount(samples, minlength=256)
-    rows = samples.reshape(-1, 64).astype(np.int16)
-    step = int(np.abs(np.diff(rows, axis=1)).sum(dtype=np.int64))
-    return f"sum={int((counts * np.arange(256)).sum())};distinct={int((counts > 0).sum())};mode={int(counts.argmax())};step={step}"
+def padded(text: bytes) -> bytes:
+    """The payload of a text: bytes 0 up to a positive multiple of 64."""
+    return text + b"\0" * (-len(text) % 64 or (0 if text else 64))
 
 
-_FIELDS = (("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()))
+def encode_texts(docs: DataFrame, *, id_col="doc_id", text_col="text") -> DataFrame:
+    """``doc_id, n_bytes, media``: every whole text as lossless files."""
+    kind = docs.schema[id_col].dataType.simpleString()
 
+    def run(batches):
+        for b in batches:
+            for lo in range(0, b.num_rows, 256):
+                part = b.slice(lo, 256)
+                data, offsets = utf8(part.column(1))
+                done: dict[bytes, bytes] = {}  # copies within a lot are written once
+                sizes, media = [], []
+                for a, z in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                    text = data[a:z].tobytes()
+                    if text not in done:
+                        done[text] = encode_bytes(padded(text))
+                    sizes.append(z - a)
+                    media.append(done[text])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
-def store_and_read(text: bytes) -> tuple:
-    """The row of one text: stored, read back, described."""
-    payload = text + b"\0" * (-len(text) % 64 or (0 if text else 64))
-    media = encode_bytes(payload)
-    back = decode_bytes(media)
-    raw = back.tobytes()
-    return len(text), len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(back)
+    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, f"doc_id {kind}, n_bytes long, media binary")
 
 
-def store_texts(docs: DataFrame, *, id_col="doc_id", text_col="text") -> DataFrame:
-    """Every whole text stored as a lossless image, read back and described."""
-    kind = docs.schema[id_col].dataType.simpleString()
+class Summary:
+    """Digests and features of samples that come part by part (all but the last in whole rows of 64)."""
+
+    def __init__(self):
+        self.sha, self.n, self.tail, self.step, self.counts = hashlib.sha256(), 0, b"", 0, np.zeros(256, np.int64)
+
+    def add(self, samples: np.ndarray) -> None:
+        raw = samples.tobytes()
+        self.sha.update(raw)
+        self.n += len(raw)
+        self.tail = raw[-64:]
+        self.counts += np.bincount(samples, minlength=256)
+        self.step += int(np.abs(np.diff(samples.reshape(-1, 64).astype(np.int16), axis=1)).sum(dtype=np.int64))
+
+    def feature(self) -> str:
+        """Sum, distinct values, most frequent value, and sum of horizontal steps in rows of 64."""
+        return f"sum={int((self.counts * np.arange(256)).sum())};distinct={int((self.counts > 0).sum())};mode={int(self.counts.argmax())};step={self.step}"
+
+
+_FIELDS = (("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()))
+
+
+def describe(media: bytes) -> tuple:
+    """What a stored text's files hold, read back."""
+    s = Summary()
+    for part in decode_parts(media):
+        s.add(part)
+    return s.n, s.sha.hexdigest(), zlib.crc32(s.tail), len(media), hashlib.sha256(media).hexdigest(), s.feature()
+
+
+def describe_media(stored: DataFrame) -> DataFrame:
+    """``doc_id, n_bytes`` of a column of stored texts with digests and features of the bytes read back."""
+    kind = stored.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for b in batches:
-            data, offsets = utf8(b.column(1))
-            done: dict[bytes, tuple] = {}  # copies within a batch are stored once
-            raw = data.tobytes()
+            done: dict[bytes, tuple] = {}
             rows = []
-            for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                text = raw[lo:hi]
-                if text not in done:
-                    done[text] = store_and_read(text)
-                rows.append(done[text])
+            for m in b.column(2):
+                m = m.as_py()
+                key = hashlib.sha256(m).digest()
+                if key not in done:
+                    done[key] = describe(m)
+                rows.append(done[key])
             columns = zip(*rows, strict=True) if rows else [[] for _ in _FIELDS]
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, t) for c, (_, t) in zip(columns, _FIELDS, strict=True)]], ["doc_id", *[n for n, _ in _FIELDS]])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(c, t) for c, (_, t) in zip(columns, _FIELDS, strict=True)]], ["doc_id", "n_bytes", *[n for n, _ in _FIELDS]])
 
     schema = f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, schema)
+    return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
+
+
+def store_texts(docs: DataFrame, *, id_col="doc_id", text_col="text") -> DataFrame:
+    """Every whole text written to a media table in the shared folder, read back and described."""
+    return describe_media(cut(encode_texts(docs, id_col=id_col, text_col=text_col), "media"))
 
 
 def op1_webp(spark, sf_dir):

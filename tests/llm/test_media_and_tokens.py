@@ -8,11 +8,10 @@ import pytest
 from clusterloom.llm import tokens, webp
 
 
-def padded(b):
-    return b + b"\0" * (-len(b) % 64 or (0 if b else 64))
+padded = webp.padded
 
 
-@pytest.mark.parametrize("text", [b"", b"a", b"ab" * 99, bytes(range(256)) * 3, b"abc d" * 40, "日本語".encode() * 90, random.Random(1).randbytes(5000), b"z" * 64 * 16384 + b"y"])
+@pytest.mark.parametrize("text", [b"", b"a", b"ab" * 99, bytes(range(256)) * 3, b"abc d" * 40, "日本語".encode() * 90, random.Random(1).randbytes(5000), b"z" * 64 * 16384 + b"y", random.Random(2).randbytes(70_000) * 20])
 def test_bytes_round_trip(text):
     p = padded(text)
     m = webp.encode_bytes(p)
@@ -188,6 +187,108 @@ def test_predictors(mode):
     assert (webp.decode(finish(w)) == rgba(p, width)).all()
 
 
+def test_code_groups():
+    """An entropy image with three groups, each with codes of its own."""
+    width, height = 21, 10
+    p = picture(width, height, 5)
+    size = 3
+    numbers = [0, 2, 1, 1, 0, 2]  # 3 x 2 blocks of 8
+    group = [numbers[(i // width >> size) * 3 + (i % width >> size)] for i in range(len(p))]
+    w = start(width, height)
+    for v, n in ((0, 1), (0, 1), (1, 1), (size - 2, 3)):  # no transform, no cache, an entropy image
+        w.put(v, n)
+    put_image(w, [(255, 0, g, 0) for g in numbers], main=False)
+    put = []
+    for g in range(3):
+        own = [x for x, k in zip(p, group, strict=True) if k == g]
+        put.append([put_flat(w, 280 if k == 2 else 256, sorted({x[k] for x in own})) for k in (2, 1, 3, 0)])
+        put_flat(w, 40, [0])
+    for (a, r, g, b), k in zip(p, group, strict=True):
+        for f, v in zip(put[k], (g, r, b, a), strict=True):
+            f(w, v)
+    assert (webp.decode(finish(w)) == rgba(p, width)).all()
+
+
+def images():
+    rng = np.random.default_rng(0)
+    y, x = np.mgrid[0:70, 0:90]
+    wave = np.sin(x / 9) + rng.normal(0, 0.2, x.shape)
+    yield "ramps", np.stack([x * 2 + y, x + y, y * 3, 255 + 0 * x], 2), {0}
+    yield "noise", rng.integers(0, 256, (50, 40, 4)), set()
+    yield "few colours", rng.integers(0, 256, (40, 4))[rng.integers(0, 40, (33, 47))], {3}
+    yield "colours come back", rng.integers(0, 256, (600, 4))[rng.zipf(1.3, (64, 64)) % 600], {"cache"}
+    yield "channels that go together", np.stack([128 + 28 * wave, 120 + 60 * wave, 100 - 40 * wave, 255 + 0 * x], 2), {0, 1}
+    yield "grey", (100 + 30 * wave + np.cumsum(rng.integers(0, 300, x.shape), 1))[..., None] % 256 * [1, 1, 1, 0] + [0, 0, 0, 255], {3}
+    yield "two colours", (rng.integers(0, 2, (9, 13)) * 255)[..., None].repeat(4, 2), {3}
+    yield "one pixel", np.array([[[1, 2, 3, 4]]]), {3}
+    yield "one row", rng.integers(0, 256, (1, 500, 4)), set()
+    yield "one column", rng.integers(0, 256, (500, 1, 4)), set()
+
+
+@pytest.mark.parametrize("name,img,wanted", list(images()))
+def test_images_round_trip(monkeypatch, name, img, wanted):
+    """The cheapest form is read back, and so is every other form; forms that should pay are chosen."""
+    img = np.asarray(img).astype(np.uint8)
+    undone, caches = set(), []
+    for kind, f in ((0, "invert_predictor"), (1, "invert_cross_colour"), (3, "invert_palette")):
+        inner = getattr(webp, f)
+        monkeypatch.setattr(webp, f, lambda *a, kind=kind, inner=inner: undone.add(kind) or inner(*a))
+    read = webp._read_pixels
+    monkeypatch.setattr(webp, "_read_pixels", lambda *a: caches.append(a[5]) or read(*a))
+    media = webp.encode(img)
+    assert (webp.decode(media) == img).all()
+    assert wanted - {"cache"} <= undone and ("cache" not in wanted or caches[-1])
+    argb = np.ascontiguousarray(img[:, :, [3, 0, 1, 2]])
+    forms = list(webp._forms(argb))
+    for i in range(len(forms)):
+        for cache in (0, 3, 11):
+            monkeypatch.setattr(webp, "_forms", lambda _, i=i: [forms[i]])
+            monkeypatch.setattr(webp, "parse", lambda px, width, cache=cache: webp.Parsed(px, width, webp.references(px, 3), cache))
+            assert (webp.decode(webp.encode(img)) == img).all()
+
+
+def test_stored_texts_hold_references():
+    text = padded(b"to be or not to be, that is the question; to be or not to be " * 3)
+    px = np.frombuffer(text, np.uint8).astype(np.uint32) << 8
+    assert len(webp.references(px, 4)[0]) >= 3
+    starts, sizes, gaps = webp.references(px, 4)
+    for a, n, d in zip(starts, sizes, gaps, strict=True):
+        assert all(px[a + k] == px[a + k - d] for k in range(n))
+    assert len(webp.encode_bytes(text * 30)) < 0.1 * 30 * len(text)
+
+
+def test_features():
+    samples = np.array([3] * 70 + [250] * 58, np.uint8)
+    s = webp.Summary()
+    s.add(samples)
+    assert s.feature() == f"sum={3 * 70 + 250 * 58};distinct=2;mode=3;step=247"
+    text = "wörter " * 200
+    row = webp.describe(webp.encode_bytes(padded(text.encode())))
+    whole = webp.Summary()
+    whole.add(np.frombuffer(padded(text.encode()), np.uint8))
+    media = webp.encode_bytes(padded(text.encode()))
+    assert row == (len(padded(text.encode())), hashlib.sha256(padded(text.encode())).hexdigest(), zlib.crc32(padded(text.encode())[-64:]), len(media), hashlib.sha256(media).hexdigest(), whole.feature())
+
+
+def test_memory_of_a_long_text():
+    """Parts bound the memory: a text of 32 MB is stored and read below 400 MB."""
+    import subprocess
+    import sys
+
+    code = (
+        "import resource, random\nfrom clusterloom.llm import webp\n"
+        "base = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss\n"
+        "t = webp.padded(random.Random(1).randbytes(1 << 18).hex().encode() * 64)\n"
+        "m = webp.encode_bytes(t)\nassert webp.describe(m)[0] == len(t) == 1 << 25\n"
+        "print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - base) // 1024)"
+    )
+    import os
+
+    repo = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=repo, check=True)
+    assert int(out.stdout) < 400
+
+
 def test_damaged_files():
     m = webp.encode_bytes(padded(b"hello world " * 20))
     for bad in (m[:60], b"RIFX" + m[4:], m[:21] + b"\xff" * 20 + m[41:]):
@@ -205,10 +306,15 @@ def test_op1_rows(make):
     assert webp.store_texts(make(texts).limit(0)).count() == 0
 
 
-def test_decode_column(spark):
+def test_columns(spark):
     m = webp.encode_bytes(padded(b"abc"))
     rows = webp.decode_column(spark.createDataFrame([(1, bytearray(m)), (2, None)], "id long, media binary")).collect()
     assert {r["id"]: (r["width"], r["height"]) for r in rows} == {1: (64, 1), 2: (None, None)}
+    pixels = bytes(range(240))
+    df = spark.createDataFrame([(1, 6, 10, bytearray(pixels), "x"), (1, 6, 10, bytearray(pixels), "y"), (2, None, None, None, "z")], "id long, width int, height int, pixels binary, media string")
+    back = webp.decode_column(webp.encode_column(df)).collect()
+    assert sorted((r["id"], r["width"], r["height"], r["pixels"] and bytes(r["pixels"])) for r in back) == [(1, 6, 10, pixels), (1, 6, 10, pixels), (2, None, None, None)]
+    assert webp.encode_column(df.limit(0)).count() == 0
 
 
 def test_op3_files(spark, make, tmp_path):
