@@ -567,8 +567,8 @@ def _near_codes(width: int) -> np.ndarray:
 def references(px: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, length and distance of back-references, in order, without overlap.
 
-    A pixel's candidate is the nearest earlier place of the ``least`` pixels that begin there; pixels
-    in a row with one distance make one reference.
+    A pixel's candidate is the nearest earlier place of the ``least`` pixels that begin there; a
+    reference goes on as long as its own place does.
     """
     n = len(px)
     none = np.zeros(0, np.int64)
@@ -593,15 +593,19 @@ def references(px: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.n
     distance = gap[start]
     stop = np.concatenate([start[1:], [m]]) + least - 1  # the run's last place still holds ``least`` equal pixels
     live = distance > 0
-    out, at = [], 0
+    out, at, raw = [], 0, px.tobytes()
     for a, z, d in zip(start[live].tolist(), stop[live].tolist(), distance[live].tolist(), strict=True):
-        if a < at:
-            a = at
-        while z - a >= least:
-            k = min(LONGEST, z - a)
-            out.append((a, k, d))
-            a += k
-        at = max(at, out[-1][0] + out[-1][1]) if out else 0
+        a = max(a, at)
+        if z - a < least:
+            continue
+        while z + 8 <= n and raw[4 * z : 4 * z + 32] == raw[4 * (z - d) : 4 * (z - d) + 32]:  # a nearer place ended the run, not the match
+            z += 8
+        while z < n and raw[4 * z : 4 * z + 4] == raw[4 * (z - d) : 4 * (z - d) + 4]:
+            z += 1
+        for at in range(a, z, LONGEST):
+            if z - at >= least:
+                out.append((at, min(LONGEST, z - at), d))
+        at = out[-1][0] + out[-1][1]
     return tuple(np.array(c, np.int64) for c in zip(*out, strict=True)) if out else (none, none, none)
 
 
