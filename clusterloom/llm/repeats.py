@@ -32,7 +32,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from clusterloom.functions.scratch import free_shuffles
 from clusterloom.llm.common import cut
 from clusterloom.llm.hashing import RangeHash, blocks, mix64
 from clusterloom.llm.near_join import _edges_of, _groups
@@ -318,13 +317,10 @@ def _resolve(pieces: DataFrame) -> DataFrame:
 
 def repeated_ranges(rows: DataFrame) -> DataFrame:
     """``doc, sub, start, size``: ranges (they may overlap) whose bytes go."""
-    spark = rows.sparkSession
     passed = cut(_second_pass(_first_pass(rows)), "repeat-ranges")
-    free_shuffles(spark)
     sure = passed.where("crowd < 0").select("doc", "sub", "start", "size")
-    found = cut(_resolve(_fetch(rows, passed.where("crowd > 0"))), "repeat-found")
-    free_shuffles(spark)
-    return sure.unionByName(found)
+    # Not cut: in one plan with what follows, the texts are shuffled once for both joins.
+    return sure.unionByName(_resolve(_fetch(rows, passed.where("crowd > 0"))))
 
 
 def remove_repeats(docs: DataFrame, *, id_col="doc_id", text_col="text", with_text: bool = False) -> DataFrame:
