@@ -1,7 +1,8 @@
 """Language identification by prediction by partial matching.
 
 For every language a tree of byte contexts (orders 0 to ``order``) holds frozen counts
-from a training sample. The code length of a byte in its longest known context is
+from a training sample; it has the contexts that this language's sample meets often enough,
+so a language's code lengths do not depend on which others there are. The code length of a byte in its longest known context is
 ``-log2 n/(T+D)`` if the context has met it, else ``-log2 D/(T+D)`` (escape: T symbols
 seen, D of them distinct) plus its length one order lower; below order 0 all 256 bytes
 are equally likely. A text's language is the one with the shortest code for all its
@@ -9,12 +10,14 @@ bytes; ``score`` is that language's share of ``2**-bits`` over the languages.
 
 With frozen counts a code length depends on the last ``order`` bytes only, so the
 trees of all languages are laid out as one table [context, byte, language], and whole
-Arrow batches are scored with array lookups: no step depends on the one before.
+Arrow batches are scored with array lookups: no step depends on the one before. The
+table is sent to the workers; its size is bounded by the sample and checked.
 
 Defined results
-    * null text or no letter: ``und`` with score 0. Equal code lengths: the smaller language name.
+    * null text or no letter (a character of a letter category): ``und`` with score 0. Equal code lengths: the smaller language name.
     * null id: scored, never learned from. No language to learn: every text is ``und``.
-    * empty table: empty result. Extra columns are ignored. Texts are scored whole.
+    * repeated rows are scored one by one, with equal results, and learned from like any other rows.
+    * empty table: empty result. Extra columns are kept by :func:`identify`. Texts are scored whole, however long.
 """
 
 from __future__ import annotations
@@ -29,10 +32,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 UND = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_ASCII_LETTER = re.compile("[A-Za-z]")
 _BLOCK = 1 << 19
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether a character of a letter category occurs."""
+    return bool(text) and (_ASCII_LETTER.search(text) is not None or (not text.isascii() and any(map(str.isalpha, text))))
+
+
+def lettered(text):
+    """:func:`has_letter` as a column expression."""
+    return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
+
+
 @dataclass
 class Model:
     """Frozen statistics. Node 0 is 'no such context', node 1 the empty context; deeper nodes have larger numbers."""
@@ -76,8 +89,11 @@ class Model:
         return out
 
 
-def fit(texts: dict[str, list[str]], order: int = 4, max_nodes: int = 12_000, min_count: int = 8) -> Model:
-    """A model of the given texts. Contexts met fewer than ``min_count`` times are left out; the limit is raised until at most ``max_nodes`` stay."""
+def fit(texts: dict[str, list[str]], order: int = 4, min_count: int = 8, max_bytes: int = 1 << 29) -> Model:
+    """A model of the given texts. A language's contexts are those that its own texts meet at least ``min_count`` times.
+
+    A table of more than ``max_bytes`` raises ``ValueError``.
+    """
     langs = sorted(texts)
     pad = b"\n" * order
     data = {k: np.frombuffer(pad + pad.join(t.encode() for t in sorted(texts[k])) + pad, np.uint8) for k in langs}
@@ -96,14 +112,14 @@ def fit(texts: dict[str, list[str]], order: int = 4, max_nodes: int = 12_000, mi
             key = key * width + x[order - j : len(x) - j]
         return key
 
-    tallies = []
-    for k in range(1, order + 1):
-        keys, counts = np.unique(np.concatenate([contexts(x, k) for x in syms.values()] or [np.zeros(0, np.int64)]), return_counts=True)
-        tallies.append((keys, counts))
-    while sum(int((c >= min_count).sum()) for _, c in tallies) > max_nodes:
-        min_count = min_count * 5 // 4 + 1
-    kept = [keys[c >= min_count] for keys, c in tallies]
+    def frequent(x, k):
+        keys, counts = np.unique(contexts(x, k), return_counts=True)
+        return keys[counts >= min_count]
+
+    kept = [np.unique(np.concatenate([frequent(x, k) for x in syms.values()] or [np.zeros(0, np.int64)])) for k in range(1, order + 1)]
     nodes = 2 + sum(map(len, kept))
+    if nodes * width * (len(langs) + 1) * 4 > max_bytes:
+        raise ValueError(f"a model of {nodes} contexts, {width} bytes and {len(langs)} languages exceeds {max_bytes} bytes: learn from fewer rows or raise min_count")
     child = np.zeros((nodes, width), np.int32)
     parent = np.ones(nodes, np.int32)
     at, last = 2, (np.zeros(1, np.int64), np.ones(1, np.int32))
@@ -133,7 +149,8 @@ def fit(texts: dict[str, list[str]], order: int = 4, max_nodes: int = 12_000, mi
         table = np.empty((nodes, width))
         for node in range(nodes):
             low = base if node < 2 else table[parent[node]]
-            table[node] = low if not total[node] else np.where(full[node] > 0, hit[node], escape[node] + low)
+            own = total[node] >= min_count if node > 1 else total[node] > 0
+            table[node] = low if not own else np.where(full[node] > 0, hit[node], escape[node] + low)
         cost[:, :, i] = table
     return Model(langs, order, symbol, child, cost.reshape(nodes * width, len(langs)))
 
@@ -183,7 +200,7 @@ def identify(docs: DataFrame, model: Model, *, text_col="text") -> DataFrame:
             for lo in range(0, whole.num_rows, _ROWS):
                 b = whole.slice(lo, _ROWS)
                 data, offsets = utf8(b.column(at))
-                known = np.array([t is not None and bool(m.langs) and _LETTER.search(t) is not None for t in b.column(at).to_pylist()], bool)
+                known = np.array([bool(m.langs) and has_letter(t) for t in b.column(at).to_pylist()], bool)
                 if m.langs:
                     bits = m.bits(data, offsets)
                     best = bits.argmin(1)
