@@ -4,7 +4,7 @@ Two texts are linked if their sets of five-word shingles have Jaccard similarity
 least 0.8. Words are runs of characters other than ASCII white space; a text of fewer
 than five words has one shingle, all its words.
 
-1. Texts with equal sets form a class, found by a set fingerprint; one text stands for it.
+1. Texts with equal sets form a class, found by a set fingerprint of 128 bits; one text stands for it.
 2. Each class has ``HASHES`` MinHash values. Bands of four make buckets (a pair at 0.8
    shares none of the 32 with probability 5e-8).
 3. Within a bucket MinHash values of all pairs are compared ``STEP`` at a time. With a
@@ -13,15 +13,15 @@ than five words has one shingle, all its words.
 4. Within a cluster the same pruning is followed by exact intersections of the shingle
    sets, so no link rests on an estimate.
 
-Buckets and clusters of any size are dealt in blocks of bounded size, and a block pair
-gives counts and a spanning forest, not a row for each link: a group of n near copies
-costs about n * n / block rows. Copies are counted through their class and never expanded.
+Buckets and clusters of any size are dealt in blocks of bounded rows and bytes, and a block
+pair gives counts and a spanning forest, not a row for each link: a group of n near
+copies costs about n * n / block rows. Copies are counted through their class and never expanded.
 
 Defined results (:func:`near_duplicates`)
     * null, empty or blank text: the empty set. Empty sets are copies of each other and like nothing else.
     * ``class_id`` is the smallest id reached by links; ``n_links`` counts other rows with similarity of 0.8 or more, copies included.
     * null ids take part (a group's smallest non-null id names it). Repeated rows are copies.
-    * empty table: empty result. Extra columns are ignored. Texts are read whole.
+    * empty table: empty result. Extra columns are ignored. Texts are read whole, however long.
 """
 
 from __future__ import annotations
@@ -39,10 +39,12 @@ from clusterloom.llm.ppm import utf8
 from clusterloom.operators.components import connected_components, roots
 
 SHINGLE, HASHES, ROWS, STEP = 5, 128, 4, 32
+_BLOCK_BYTES = 1 << 24
 THRESHOLD, TOLERANCE = 0.8, 1e-9
 _BASE = 0x2545F4914F6CDD1D
 _FACTORS = mix64(np.arange(1000, 1000 + HASHES, dtype=np.uint64)) | np.uint64(1)
 _PLACE = mix64(np.arange(1, SHINGLE + 1, dtype=np.uint64)) | np.uint64(1)
+_MARKS = (np.uint64(1), np.uint64(0xD6E8FEB86659FD93))
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -100,9 +102,11 @@ def shingles(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def fingerprint(s: np.ndarray) -> int:
-    """64-bit fingerprint of a set as a signed number; 0 for the empty set."""
-    return int((mix64(s + np.uint64(77)).sum(dtype=np.uint64)).astype(np.int64)) if len(s) else 0
+def fingerprint(s: np.ndarray) -> tuple[int, int]:
+    """128-bit fingerprint of a set as two signed numbers; 0 and 0 for the empty set."""
+    if not len(s):
+        return 0, 0
+    return tuple(int(mix64(s * m + np.uint64(77)).sum(dtype=np.uint64).astype(np.int64)) for m in _MARKS)
 
 
 def signature(s: np.ndarray) -> np.ndarray:
@@ -191,27 +195,45 @@ def _sig_matrix(col) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
-    """``doc_id, h, cid, sig``: hash of each text, its set fingerprint and MinHash values."""
+    """``doc_id, h, cid, cid2, bytes, sig``: hash of each text, its set's fingerprint, size and MinHash values."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         for b in batches:
             for lo in range(0, b.num_rows, 1000):
                 part = b.slice(lo, 1000)
-                sets = shingles(*utf8(part.column(1)))
-                known: dict[int, bytes] = {}
+                data, offsets = utf8(part.column(1))
+                known: dict[tuple[int, int], bytes] = {}
+                sets = shingles(data, offsets)
                 ids = [fingerprint(s) for s in sets]
                 for i, s in zip(ids, sets, strict=True):
                     if i not in known:
                         known[i] = signature(s).tobytes()
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(ids, pa.int64()), pa.array([known[i] for i in ids], pa.binary())], ["doc_id", "h", "cid", "sig"])
+                one, two = np.array(ids, np.int64).reshape(-1, 2).T
+                columns = [part.column(0), part.column(2), pa.array(one), pa.array(two), pa.array(np.diff(offsets)), pa.array([known[i] for i in ids], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "h", "cid", "cid2", "bytes", "sig"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h")).mapInArrow(run, f"doc_id {kind}, h long, cid long, sig binary")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h")).mapInArrow(run, f"doc_id {kind}, h long, cid long, cid2 long, bytes long, sig binary")
+
+
+def told_apart(sketched: DataFrame) -> DataFrame:
+    """``sketched`` with a ``cid`` that differs wherever the whole fingerprint does.
+
+    Half of the fingerprint names a set; the few sets that share it get names of their own.
+    """
+    shared = sketched.groupBy("cid").agg(F.min("cid2").alias("lo"), F.max("cid2").alias("hi")).where("lo <> hi").select("cid")
+    shared = cut(sketched.join(shared, "cid", "left_semi").select("cid", "cid2").distinct(), "near-shared")
+    if shared.isEmpty():
+        return sketched
+    new = shared.select("cid", "cid2", F.xxhash64("cid", "cid2").alias("new"))
+    return sketched.join(new, ["cid", "cid2"], "left").withColumn("cid", F.coalesce("new", "cid")).drop("new")
 
 
 def _deal(members: DataFrame, key: str, block: int, *more: str) -> DataFrame:
-    """Rows ``key, s, t, side, cid`` (and ``more``) of block pairs; ``members`` has ``key, cid, n`` (rows of the key)."""
+    """Rows ``key, s, t, side, cid`` (and ``more``) of block pairs; ``members`` has ``key, cid, n`` (rows of the key) and perhaps ``volume`` (their bytes)."""
     nb = F.ceil(F.col("n") / block).cast("int")
+    if "volume" in members.columns:
+        nb = F.greatest(nb, F.ceil(F.col("volume") / _BLOCK_BYTES).cast("int"))
     own = F.pmod(F.xxhash64("cid"), F.col("nb")).cast("int")
     other = F.when(F.col("nb") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("nb") - 1))
     return (
@@ -307,18 +329,19 @@ def _exact(sets: list[np.ndarray], sizes: np.ndarray, a: np.ndarray, b: np.ndarr
 def links(docs: DataFrame, classes: DataFrame, clusters: DataFrame, id_col="doc_id", text_col="text", block: int = 512) -> DataFrame:
     """``cid, root, n``: for each class and block pair, the rows it is linked to and the smallest class reached there.
 
-    ``classes`` has ``cid, rep, copies``, and ``h`` (hash of the text under that id) where ids may be repeated; ``clusters`` has ``id, component``.
+    ``classes`` has ``cid, rep, copies``, and ``cid2, bytes, h`` (hash of the text under that id) where ids may be repeated; ``clusters`` has ``id, component``.
     """
-    sizes = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    named = clusters.join(sizes, "component").select(F.col("component").alias("key"), F.col("id").alias("cid"), "n")
+    full_name = "cid2" in classes.columns
+    named = clusters.select(F.col("component").alias("key"), F.col("id").alias("cid")).join(classes, "cid")
+    sizes = named.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *([F.sum("bytes").alias("volume")] if full_name else []))
+    extra = ["h", "cid2"] if full_name else []
+    member = named.select("key", "cid", "rep", "copies", *extra).join(sizes, "key")
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    same = ["h"] if "h" in classes.columns else []
-    member = named.join(classes.select("cid", "rep", "copies", *same), "cid")
-    if same:
+    if full_name:
         texts = texts.withColumn("h", F.xxhash64("text"))
-    on = [texts["doc_id"].eqNullSafe(member["rep"]), *[texts[c] == member[c] for c in same]]
-    full = texts.join(member, on).select("key", "n", "cid", "copies", "text")
-    dealt = _deal(full, "key", block, "copies", "text")
+    on = [texts["doc_id"].eqNullSafe(member["rep"]), *([texts["h"] == member["h"]] if full_name else [])]
+    full = texts.join(member, on).select("key", *[c for c in ("n", "volume") if c in sizes.columns], "cid", "copies", "text", (F.col("cid2") if full_name else F.lit(None).cast("long")).alias("mark"))
+    dealt = _deal(full, "key", block, "copies", "text", "mark")
 
     def verify(batches):
         for t in _groups(batches, 3):
@@ -328,9 +351,10 @@ def links(docs: DataFrame, classes: DataFrame, clusters: DataFrame, id_col="doc_
                 g = t.slice(start, stop - start)
                 cid, side, copies = g.column(4).to_numpy(), g.column(3).to_numpy(), g.column(5).to_numpy()
                 sets = shingles(*utf8(g.column(6)))
-                # An id may be repeated with another text; the fingerprint tells.
+                mark = g.column(7)
+                # An id may be repeated, with the same text or another one; the fingerprint tells.
                 _, once = np.unique(cid, return_index=True)
-                ok = [i for i in once.tolist() if fingerprint(sets[i]) == cid[i]]
+                ok = [i for i in once.tolist() if fingerprint(sets[i])[1] == mark[i].as_py() or not mark[i].is_valid]
                 cid, side, copies, sets = cid[ok], side[ok], copies[ok], [sets[i] for i in ok]
                 if len(ok) < 2:
                     continue
@@ -360,9 +384,10 @@ def links(docs: DataFrame, classes: DataFrame, clusters: DataFrame, id_col="doc_
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """The sketch of all rows, and ``cid, rep, h, copies, n, component`` of the different sets: the row that stands for each, and its group."""
-    sketched = cut(sketch(docs, id_col, text_col), "near-sketch")
-    classes = sketched.groupBy("cid").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"))
-    classes = cut(classes.select("cid", F.col("first.doc_id").alias("rep"), F.col("first.h").alias("h"), "copies", "sig"), "near-classes")
+    sketched = told_apart(cut(sketch(docs, id_col, text_col), "near-sketch"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("first")
+    classes = sketched.groupBy("cid").agg(first, F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"), F.first("cid2").alias("cid2"), F.max("bytes").alias("bytes"))
+    classes = cut(classes.select("cid", "cid2", F.col("first.doc_id").alias("rep"), F.col("first.h").alias("h"), "copies", "bytes", "sig"), "near-classes")
     clusters = connected_components(cut(candidates(classes), "near-candidates"))
     found = cut(links(docs, classes, clusters, id_col, text_col), "near-links")
     groups = connected_components(found.select(F.col("cid").alias("src"), F.col("root").alias("dst")))
@@ -380,12 +405,19 @@ def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text") -> Dat
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each group of near duplicates: of the smallest id (null is last), and of its texts there the one of the smallest hash; columns as in ``docs``."""
+    """One row of each group of near duplicates: of the smallest id (null is last), and of its texts there the one of the smallest hash.
+
+    Columns as in ``docs``, whatever their names. Rows equal in id and text are copies: one of them stays.
+    Null, empty and blank texts are one group.
+    """
+    names = docs.columns
     _, named = _grouped(docs, "doc_id", "text")
     found = named.groupBy("component").agg(F.min(F.struct(F.col("rep").isNull(), "rep", "h")).alias("first")).select(F.col("first.rep").alias("__id"), F.col("first.h").alias("__h"))
-    hashed = docs.withColumn("__text", F.xxhash64("text"))
-    kept = hashed.join(found, hashed["doc_id"].eqNullSafe(found["__id"]) & (hashed["__text"] == found["__h"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__text"]).drop("__text")
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    key = F.col(f"c{names.index('doc_id')}")
+    hashed = plain.withColumn("hash", F.xxhash64(f"c{names.index('text')}"))
+    kept = hashed.join(found, key.eqNullSafe(found["__id"]) & (hashed["hash"] == found["__h"]), "left_semi")
+    return kept.dropDuplicates([f"c{names.index('doc_id')}", "hash"]).drop("hash").toDF(*names)
 
 
 def op5_near_join(spark, sf_dir):
