@@ -7,12 +7,14 @@ least expected cost per word, given the words of the pieces still to come that c
 fill it. At the end each bin shrinks to the smallest permitted length that holds it.
 
 Pieces are dealt by hash into shards of about ``shard_pieces``, each packed on its own,
-so work and memory of a task are bounded and shards run side by side.
+so work and memory of a task are bounded and shards run side by side. A shard of more
+than twice as many (rows that repeat an id) is dealt again by row.
 
 Defined results
     * null or blank text: one row with length 0 and no bin.
-    * equal lengths go by id, then piece. Repeated rows are packed one by one.
-    * empty table: empty result. Extra columns are ignored.
+    * equal lengths go by id, then piece. Repeated rows and null ids are packed one by one.
+    * a very long text is cut into pieces of the largest length, which may lie in different shards.
+    * empty table: empty result. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -91,6 +93,9 @@ def pack_documents(docs: DataFrame, *, id_col="doc_id", text_col="text", lengths
         .withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)))
         .select("shard", "doc_id", "piece", "start", "length")
     )
+    crowded = pieces.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2 * shard_pieces).select("shard", F.ceil(F.col("n") / shard_pieces).cast("long").alias("parts"))
+    part = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.coalesce("parts", F.lit(1).cast("long")))
+    pieces = pieces.join(crowded, "shard", "left").withColumn("shard", F.col("shard") + F.lit(shards) * part).drop("parts")
     permitted = tuple(lengths)
 
     def place(pdf: pd.DataFrame) -> pd.DataFrame:
