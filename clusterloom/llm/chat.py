@@ -13,7 +13,8 @@ Defined results
     * null text or role: empty string. Null tree id: a tree of its own.
     * a message whose parent is null or missing is a root; one in a cycle of parents has no root and is left out.
     * null score counts as 0; equal scores rank by leaf id. Repeated message ids within a tree: one of them (smallest role, text) stays.
-    * empty table: empty result. Extra columns are ignored.
+    * equal turns of a plain conversation go by role, then text; null turns come first.
+    * very long texts are formatted whole. Empty table: empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -127,7 +128,7 @@ def op10_chat(spark, sf_dir):
     from clusterloom.llm.common import table
 
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    odd = spark.createDataFrame([(-1, i, r, "</s>[INST] ok [/INST]") for i, r in enumerate(("user", "assistant"))], "conv_id long, turn long, role string, text string")
+    odd = spark.sql("SELECT * FROM VALUES (-1L, 0L, 'user', '</s>[INST] ok [/INST]'), (-1L, 1L, 'assistant', '</s>[INST] ok [/INST]') AS t(conv_id, turn, role, text)")
     done = format_paths(linear_tree(turns.unionByName(odd)))
     back = done.withColumn("turns", read_turns(F.col("formatted")))
     plain = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")

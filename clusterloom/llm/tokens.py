@@ -13,6 +13,7 @@ distinct piece is encoded by the tokenizers library once per worker and remember
 Defined results
     * null text: empty text, so the end id alone. Null ids sort first; equal ids by text.
     * repeated rows are encoded one by one. Empty table: empty result. Extra columns are ignored.
+    * a very long text is one row, encoded whole.
 """
 
 from __future__ import annotations
