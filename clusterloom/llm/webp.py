@@ -3,9 +3,10 @@
 The reader inverts everything the lossless format has: prefix codes (simple, normal, and
 grouped by an entropy image), back-references with two-dimensional distances, the colour
 cache, and the predictor, cross-colour, subtract-green and palette transforms (with
-several pixels in one when the palette is small). One loop over symbols serves all images;
-it copies references as slices and takes several symbols from one refill of the bit
-buffer. The predictor is inverted along diagonals, all pixels of one at a time.
+several pixels in one when the palette is small). Symbols are looked up for all bits of a
+window at once, and only the places of real ones are followed one by one; images with a
+cache or several code groups, whose symbols depend on pixels before, are read symbol by
+symbol. The predictor is inverted along diagonals, all pixels of one at a time.
 
 The writer prices several forms of an image by the entropy of their symbols and writes the
 cheapest: a palette, or subtract-green, predictor and cross-colour with their parameters
@@ -26,7 +27,6 @@ from __future__ import annotations
 
 import functools
 import hashlib
-import heapq
 import struct
 import zlib
 from array import array
@@ -67,57 +67,51 @@ class Bits:
         return (int.from_bytes(self.data[p >> 3 : (p + n + 7) >> 3], "little") >> (p & 7)) & ((1 << n) - 1)
 
 
+@functools.lru_cache(16)
+def _mirrored(n: int) -> np.ndarray:
+    """The numbers below 2**n with their n bits turned round."""
+    out = np.zeros(1, np.int32)
+    for k in range(n):
+        out = np.concatenate([2 * out, 2 * out + 1])
+    return out
+
+
 def reversed_codes(lengths) -> np.ndarray:
     """Canonical codes of the symbols, first bit lowest."""
     lengths = np.asarray(lengths, np.uint8)
     codes = np.zeros(len(lengths), np.int64)
-    used = np.flatnonzero(lengths)
-    order = used[np.argsort(lengths[used], kind="stable")]
-    if len(order):
-        sized = lengths[order].astype(np.int64)
-        # The code after a symbol, seen as a fraction of 2**15.
-        rev = np.concatenate([[0], np.cumsum(1 << (15 - sized))[:-1]])
-        rev = ((rev >> 1) & 0x5555) | ((rev & 0x5555) << 1)
-        rev = ((rev >> 2) & 0x3333) | ((rev & 0x3333) << 2)
-        rev = ((rev >> 4) & 0x0F0F) | ((rev & 0x0F0F) << 4)
-        rev = ((rev >> 8) | (rev << 8)) & 0xFFFF
-        codes[order] = rev >> 1  # 15 bits reversed
+    order = np.argsort(lengths, kind="stable")
+    order = order[len(lengths) - np.count_nonzero(lengths) :]
+    share = 1 << (15 - lengths[order].astype(np.int32))
+    codes[order] = _mirrored(15)[np.cumsum(share) - share]  # a code, seen as a fraction of 2**15
     return codes
 
 
 class Code:
     """A prefix code as a table over its longest code's bits: ``symbol << 4 | length``."""
 
-    __slots__ = ("bits", "single", "table")
-
     def __init__(self, lengths):
-        lengths = np.asarray(lengths)
-        used = np.flatnonzero(lengths)
-        if not len(used):
+        lengths = np.asarray(lengths, np.uint8)
+        order = np.argsort(lengths, kind="stable")
+        order = order[len(lengths) - np.count_nonzero(lengths) :]
+        if not len(order):
             raise ValueError("a prefix code has no symbol")
-        self.single = int(used[0]) if len(used) == 1 else -1
+        self.single = int(order[0]) if len(order) == 1 else -1
         if self.single >= 0:
-            self.bits, self.table = 0, [self.single << 4]
+            self.bits, self.array = 0, np.array([self.single << 4], np.int32)
             return
-        own = lengths[used].astype(np.int64)
-        if int((1 << (15 - own)).sum()) != 1 << 15:
+        own = lengths[order].astype(np.int32)
+        n = self.bits = int(own[-1])
+        if n > 15:
+            raise ValueError("a code is too long")
+        table = np.repeat(order.astype(np.int32) << 4 | own, 1 << (n - own))
+        if len(table) != 1 << n:
             raise ValueError("a prefix code is not complete")
-        n = self.bits = int(own.max())
-        codes = reversed_codes(lengths)[used]
-        times = 1 << (n - own)  # table entries of each symbol, a step of 1 << length apart
-        ends = np.cumsum(times)
-        step = np.arange(1 << n) - np.repeat(ends - times, times)
-        table = np.empty(1 << n, np.int64)
-        table[np.repeat(codes, times) + (step << np.repeat(own, times))] = np.repeat(used << 4 | own, times)
-        self.table = table.tolist()
-
-    def read(self, bits: Bits) -> int:
-        p = bits.pos
-        e = self.table[(int.from_bytes(bits.data[p >> 3 : (p >> 3) + 3], "little") >> (p & 7)) & ((1 << self.bits) - 1)]
-        bits.pos = p + (e & 15)
-        if bits.pos > 8 * len(bits.data):
-            raise ValueError("the file ends early")
-        return e >> 4
+        self.array = table[_mirrored(n)]
+
+    @functools.cached_property
+    def table(self) -> list[int]:
+        return self.array.tolist()
 
 
 @functools.lru_cache(64)
@@ -139,26 +133,163 @@ def _read_code(bits: Bits, alphabet: int) -> Code:
         if max(marks) >= alphabet:
             raise ValueError("a symbol is out of range")
         return _simple(tuple(marks), alphabet)
-    own = np.zeros(19, np.uint8)
-    for i in range(4 + bits.read(4)):
-        own[LENGTH_ORDER[i]] = bits.read(3)
-    code, left = _code(own.tobytes()), alphabet
+    n = 4 + bits.read(4)
+    marks, own = bits.read(3 * n), bytearray(19)
+    for s in LENGTH_ORDER[:n]:
+        own[s] = marks & 7
+        marks >>= 3
+    code, left = _code(bytes(own)), alphabet
     if bits.read(1):
         left = 2 + bits.read(2 + 2 * bits.read(3))
-    lengths, last = [], 8
-    read = code.read
-    while len(lengths) < alphabet and left:
+    if 0 <= code.single < 16:  # all lengths are the same
+        return _code(bytes([code.single]) * min(left, alphabet) + bytes(max(0, alphabet - left)))
+    lengths, last, table, mask, p = bytearray(), 8, code.table, (1 << code.bits) - 1, bits.pos
+    acc = int.from_bytes(bits.data[p >> 3 : (p >> 3) + 2 * min(left, alphabet) + 8], "little") >> (p & 7)
+    add = lengths.append
+    while left and len(lengths) < alphabet:
         left -= 1
-        s = read(bits)
+        e = table[acc & mask]
+        acc >>= e & 15
+        p += e & 15
+        s = e >> 4
         if s < 16:
-            lengths.append(s)
+            add(s)
             last = s or last
         else:
-            n = 3 + bits.read(2) if s == 16 else 3 + bits.read(3) if s == 17 else 11 + bits.read(7)
-            lengths += [last if s == 16 else 0] * n
+            k = 2 if s == 16 else 3 if s == 17 else 7
+            lengths += bytes([last if s == 16 else 0]) * ((acc & ((1 << k) - 1)) + (11 if s == 18 else 3))
+            acc >>= k
+            p += k
+    bits.pos = p
+    if p > 8 * len(bits.data):
+        raise ValueError("the file ends early")
     if len(lengths) > alphabet:
         raise ValueError("code lengths run over")
-    return Code(lengths + [0] * (alphabet - len(lengths)))
+    return Code(np.frombuffer(lengths + bytes(alphabet - len(lengths)), np.uint8))
+
+
+_WINDOW = 1 << 15
+#: Below so many pixels the loop is done before the arrays are set up.
+_FEW = 512
+
+
+def _extra(symbol: np.ndarray) -> np.ndarray:
+    """Extra bits after a prefix symbol."""
+    return np.where(symbol < 4, 0, (symbol - 2) >> 1)
+
+
+def _amount(symbol: np.ndarray, at: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number that a prefix symbol and the extra bits at ``at`` stand for, and the place after these."""
+    extra = _extra(symbol)
+    more = windows[at] & ((np.uint32(1) << extra.astype(np.uint32)) - np.uint32(1))
+    return np.where(symbol < 4, symbol, ((2 + (symbol & 1)) << extra) + more) + 1, at + extra
+
+
+def _read_arrays(bits: Bits, codes: list[Code], width: int, height: int) -> np.ndarray | None:
+    """Pixels of an image with one code group and no cache; None if a symbol may take no bits.
+
+    The symbol that would begin at each bit of a window is looked up at once, and where it ends.
+    Only the places of real symbols are then followed one by one, and references copied.
+    """
+    n = width * height
+    rest = [(c, shift) for c, shift in zip((codes[RED], codes[BLUE], codes[ALPHA]), (16, 0, 24), strict=True)]
+    fixed = sum(c.single << shift for c, shift in rest if c.single >= 0)
+    rest = [x for x in rest if x[0].single < 0]
+    unit, kind = (4, np.uint32) if rest else (1, np.uint8)
+    out = bytearray(n * unit)
+    pixels = np.frombuffer(out, kind)
+    data, done, position = np.frombuffer(bits.data, np.uint8), 0, bits.pos
+    green, distance = codes[GREEN], codes[DISTANCE]
+    symbol = green.array >> 4
+    is_ref = symbol >= 256
+    hop = ((green.array & 15) + np.where(is_ref, _extra(symbol - 256), 0) + 128 * is_ref).astype(np.uint8)  # bits of a symbol and its extra ones; 128 marks a reference
+    far_hop = ((distance.array & 15) + _extra(distance.array >> 4)).astype(np.uint8)
+    green_mask, far_mask = np.uint32((1 << green.bits) - 1), np.uint32((1 << distance.bits) - 1)
+    while done < n:
+        first = position >> 3
+        part = data[first : first + min(_WINDOW, 8 * (n - done) + 1)]  # a pixel takes at most 60 bits
+        if not len(part):
+            raise ValueError("the file ends early")
+        x = np.zeros(len(part) + 19, np.uint32)
+        tail = data[first : first + len(x)]
+        x[: len(tail)] = tail
+        words = x[:-3] | (x[1:-2] << np.uint32(8)) | (x[2:-1] << np.uint32(16)) | (x[3:] << np.uint32(24))
+        windows = (words[:, None] >> _EIGHT).ravel()
+        m = 8 * len(part)  # symbols begin in the part; their last bits may lie in the 16 bytes after it
+        index = windows[:m] & green_mask
+        step = hop[index]
+        ref = np.flatnonzero(step > 127)
+        if rest:
+            ends = np.arange(m) + (step & 127)
+            for code, _ in rest:
+                ends += code.array[windows[ends] & np.uint32((1 << code.bits) - 1)] & 15
+            literal = step < 128
+            step[literal] = (ends - np.arange(m))[literal]
+        if len(ref):
+            half = step[ref] & 127
+            step[ref] = half + far_hop[windows[ref + half] & far_mask]
+        if not step.all():
+            return None
+        raw, p, places = step.tobytes(), position & 7, []
+        add = places.append
+        while p < m:
+            add(p)
+            p += raw[p]
+        places = np.array(places)
+        e = green.array[index[places]]
+        symbol, at = e >> 4, places + (e & 15)
+        size, gap = np.ones(len(places), np.int64), np.zeros(len(places), np.int64)
+        ref = np.flatnonzero(symbol >= 256)
+        if len(ref):
+            size[ref], far = _amount(symbol[ref] - 256, at[ref], windows)
+            e = distance.array[windows[far] & far_mask]
+            gap[ref], _ = _amount(e >> 4, far + (e & 15), windows)
+        ends = done + np.cumsum(size)
+        last = int(np.searchsorted(ends, n))
+        if last < len(places):  # what follows the image's last symbol are other bits
+            p = int(places[last]) + raw[places[last]]
+            symbol, at, size, gap, ends = (v[: last + 1] for v in (symbol, at, size, gap, ends))
+            ref = ref[: np.searchsorted(ref, last + 1)]
+            if ends[-1] > n:
+                raise ValueError("a back-reference leaves the image")
+        if 8 * first + p > 8 * len(data):
+            raise ValueError("the file ends early")
+        literal = np.flatnonzero(gap == 0)
+        value = symbol[literal]
+        if rest:
+            at, value = at[literal], value.astype(np.int64) << 8 | fixed
+            for code, shift in rest:
+                e = code.array[windows[at] & np.uint32((1 << code.bits) - 1)]
+                value |= (e >> 4).astype(np.int64) << shift
+                at = at + (e & 15)
+        pixels[ends[literal] - 1] = value.astype(kind)
+        gap, size = gap[ref], size[ref]
+        start = ends[ref] - size
+        gap = np.where(gap > 120, gap - 120, _near_gaps(width)[np.minimum(gap, 120)])
+        if (gap > start).any():
+            raise ValueError("a back-reference leaves the image")
+        if unit > 1:
+            gap, size, start = gap * unit, size * unit, start * unit
+        for i, k, d in zip(start.tolist(), size.tolist(), gap.tolist(), strict=True):
+            if d >= k:
+                out[i : i + k] = out[i - d : i - d + k]
+            else:
+                out[i : i + k] = (out[i - d : i] * (k // d + 1))[:k]
+        done, position = int(ends[-1]), 8 * first + p
+    bits.pos = position
+    if rest:
+        return pixels.astype(">u4").view(np.uint8).reshape(height, width, 4)
+    # In memory: alpha, red, green, blue.
+    return (pixels.astype("<u4") << 16 | (fixed >> 24 | (fixed >> 16 & 255) << 8 | (fixed & 255) << 24)).astype("<u4").view(np.uint8).reshape(height, width, 4)
+
+
+_EIGHT = np.arange(8, dtype=np.uint32)[None, :]
+
+
+@functools.lru_cache(16)
+def _near_gaps(width: int) -> np.ndarray:
+    """The distance of each near code; code 0 is none."""
+    return np.array([0, *(max(1, x + y * width) for x, y in NEAR)])
 
 
 def _read_pixels(bits: Bits, groups: list[list[Code]], block: tuple | None, width: int, height: int, cache_bits: int) -> np.ndarray:
@@ -274,6 +405,10 @@ def _read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
         count, block = int(table.max()) + 1, (size, table.tolist())
     sizes = (280 + ((1 << cache_bits) if cache_bits else 0), 256, 256, 256, 40)
     groups = [[_read_code(bits, n) for n in sizes] for _ in range(count)]
+    if count == 1 and not cache_bits and width * height >= _FEW:
+        img = _read_arrays(bits, groups[0], width, height)
+        if img is not None:
+            return img
     return _read_pixels(bits, groups, block, width, height, cache_bits)
 
 
@@ -375,7 +510,7 @@ def invert_palette(img: np.ndarray, table: np.ndarray, pack: int, width: int) ->
         index = ((index[:, :, None] >> shifts) & ((1 << per) - 1)).reshape(len(index), -1)[:, :width]
     full = np.zeros((256, 4), np.uint8)
     full[: len(table)] = table
-    return full[index]
+    return full.view(np.uint32).ravel()[index].view(np.uint8).reshape(*index.shape, 4)
 
 
 def _add_green(img: np.ndarray) -> np.ndarray:
@@ -472,27 +607,34 @@ class Writer:
 
 def code_lengths(counts: list[int], most: int = 15) -> list[int]:
     """Lengths of an optimal prefix code, at most ``most`` bits; rare symbols are made less rare until it fits."""
-    used = [i for i, c in enumerate(counts) if c]
+    used = sorted((c, s) for s, c in enumerate(counts) if c)
     out = [0] * len(counts)
-    if not used:
-        out[0] = 1
+    if len(used) < 2:
+        out[used[0][1] if used else 0] = 1
         return out
-    floor = 1
+    floor, n = 1, len(used)
     while True:
-        heap = [(max(counts[s], floor), s) for s in used]
-        heapq.heapify(heap)
-        parent, at = {}, len(counts)
-        while len(heap) > 1:
-            a, b = heapq.heappop(heap), heap[0]
-            parent[a[1]] = parent[b[1]] = at
-            heapq.heapreplace(heap, (a[0] + b[0], at))
-            at += 1
-        depth = {at - 1: 0} if len(used) > 1 else {used[0]: 1}
-        for s in sorted(parent, reverse=True):
-            depth[s] = depth[parent[s]] + 1
-        if max(depth[s] for s in used) <= most:
-            for s in used:
-                out[s] = depth[s]
+        # Symbols in ascending order, and trees, which come in ascending order: the two smallest make a tree.
+        weight = [max(c, floor) for c, _ in used] + [1 << 62]
+        trees, parent, i, j = [], [0] * (2 * n - 1), 0, 0
+        for at in range(n, 2 * n - 1):
+            both = 0
+            for _ in (0, 1):
+                if j < len(trees) and trees[j] < weight[i]:
+                    both += trees[j]
+                    parent[n + j] = at
+                    j += 1
+                else:
+                    both += weight[i]
+                    parent[i] = at
+                    i += 1
+            trees.append(both)
+        depth = [0] * (2 * n - 1)
+        for k in range(2 * n - 3, -1, -1):
+            depth[k] = depth[parent[k]] + 1
+        if depth[0] <= most:
+            for (_, s), d in zip(used, depth, strict=False):
+                out[s] = d
             return out
         floor = max(2 * floor, sum(counts) >> (most + 2))
 
@@ -546,14 +688,23 @@ def container(body: bytes, extra: bytes = b"") -> bytes:
     return b"RIFF" + struct.pack("<I", 4 + len(body)) + b"WEBP" + body
 
 
-def _prefix(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Prefix symbol, number of extra bits and their value of numbers from 1."""
+def _prefixes(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     v = v - 1
     h = np.frexp(np.maximum(v, 1).astype(np.float64))[1] - 1
     extra = np.where(v < 4, 0, h - 1)
     return np.where(v < 4, v, 2 * h + ((v >> np.maximum(h - 1, 0)) & 1)), extra, np.where(v < 4, 0, v & ((1 << extra) - 1))
 
 
+_KNOWN = tuple(x.astype(np.int32) for x in _prefixes(np.arange(1 << 13)))
+
+
+def _prefix(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Prefix symbol, number of extra bits and their value of numbers from 1."""
+    if not len(v) or v.max() < 1 << 13:
+        return tuple(x[v] for x in _KNOWN)
+    return _prefixes(v)
+
+
 @functools.lru_cache(16)
 def _near_codes(width: int) -> np.ndarray:
     """The code of each distance up to nine rows."""
@@ -564,55 +715,101 @@ def _near_codes(width: int) -> np.ndarray:
     return out
 
 
-def references(px: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def references(px: np.ndarray, least: int, flat: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, length and distance of back-references, in order, without overlap.
 
     A pixel's candidate is the nearest earlier place of the ``least`` pixels that begin there; a
-    reference goes on as long as its own place does.
+    reference goes on a little where its own place does and a nearer one begins. ``flat``: only green varies.
     """
     n = len(px)
     none = np.zeros(0, np.int64)
     m = n - least + 1
     if m < 2:
         return none, none, none
-    key = np.zeros(m, np.uint64)
-    for k in range(least):
-        key = key * np.uint64(0x9E3779B97F4A7C15) + px[k : k + m]
-    order = np.argsort(key, kind="stable")
-    same = key[order[1:]] == key[order[:-1]]
+    if flat:  # eight bytes from each place, so that the key is exact
+        raw = np.zeros(n + 8, np.uint8)
+        raw[:n] = px >> np.uint32(8)
+        eight = np.ndarray(n + 1, "<u8", raw.data, 0, (1,))
+        key = eight[:m] & np.uint64((1 << 8 * least) - 1)
+        mixed = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
+    else:
+        mixed = px[:m].astype(np.uint32)
+        for k in range(1, least):
+            mixed = mixed * np.uint32(0x9E3779B1) + px[k : k + m]
+        key = mixed = mixed * np.uint32(0x85EBCA6B)
+    high = (mixed >> np.uint32(16)).astype(np.uint16)
+    if n < 1 << 14:
+        order = np.argsort(high, kind="stable")
+    else:
+        order = np.argsort(mixed.astype(np.uint16), kind="stable")
+        order = order[np.argsort(high[order], kind="stable")]
+    sorted_key = key[order]
+    same = sorted_key[1:] == sorted_key[:-1]
     here, back = order[1:][same], order[:-1][same]
-    for k in range(least):  # equal keys may hide different pixels
-        ok = px[here + k] == px[back + k]
+    if not flat:  # equal keys may hide different pixels
+        ok = np.ones(len(here), bool)
+        for k in range(least):
+            ok &= px[here + k] == px[back + k]
+        here, back = here[ok], back[ok]
+    if n > FARTHEST:
+        ok = here - back <= FARTHEST
         here, back = here[ok], back[ok]
-    far = here - back <= FARTHEST
-    gap = np.zeros(m + 1, np.int64)
-    gap[here[far]] = (here - back)[far]
+    if not len(here):
+        return none, none, none
+    gap = np.zeros(m + 1, np.int32)
+    gap[here] = here - back
     turn = np.flatnonzero(gap[1:] != gap[:-1]) + 1
     start = np.concatenate([[0], turn])
-    start = start[start < m]
+    live = gap[start] > 0
+    start, stop = start[live], (np.concatenate([turn, [m]]) + (least - 1))[live]  # a run's last place still holds ``least`` equal pixels
     distance = gap[start]
-    stop = np.concatenate([start[1:], [m]]) + least - 1  # the run's last place still holds ``least`` equal pixels
-    live = distance > 0
-    out, at, raw = [], 0, px.tobytes()
-    for a, z, d in zip(start[live].tolist(), stop[live].tolist(), distance[live].tolist(), strict=True):
-        a = max(a, at)
-        if z - a < least:
-            continue
-        while z + 8 <= n and raw[4 * z : 4 * z + 32] == raw[4 * (z - d) : 4 * (z - d) + 32]:  # a nearer place ended the run, not the match
-            z += 8
-        while z < n and raw[4 * z : 4 * z + 4] == raw[4 * (z - d) : 4 * (z - d) + 4]:
-            z += 1
-        for at in range(a, z, LONGEST):
-            if z - at >= least:
-                out.append((at, min(LONGEST, z - at), d))
-        at = out[-1][0] + out[-1][1]
-    return tuple(np.array(c, np.int64) for c in zip(*out, strict=True)) if out else (none, none, none)
+    grow = np.arange(len(start))
+    for _ in range(_REACH):  # a nearer place may have ended the run, but not the match
+        grow = grow[stop[grow] < n]
+        if not len(grow):
+            break
+        z, d = stop[grow], distance[grow]
+        if flat:
+            apart = eight[z] ^ eight[z - d]
+            lowest = (apart & (~apart + np.uint64(1))).astype(np.float64)  # its lowest bit
+            more = np.where(apart == 0, 8, (np.frexp(lowest)[1] - 1) >> 3)
+            stop[grow] = np.minimum(z + more, n)
+            grow = grow[more == 8]
+        else:
+            grow = grow[px[z] == px[z - d]]
+            stop[grow] += 1
+    # Greedy: from each place the first run that still has ``least`` pixels to give.
+    begin, end, out, at = start.tolist(), stop.tolist(), [], 0
+    add = out.append
+    for r, z in enumerate(end):
+        if z - at >= least:
+            a = begin[r]
+            if a < at:
+                a = at
+            if z - a >= least:
+                add((a, z, r))
+                at = z
+    a, z, r = np.array(out, np.int64).T
+    times = -(-(z - a) // LONGEST)
+    if times.max() > 1:  # longer ones in pieces
+        piece = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+        a, z, r = np.repeat(a, times) + piece * LONGEST, np.repeat(z, times), np.repeat(r, times)
+        z = np.minimum(z, a + LONGEST)
+    return a, z - a, distance[r].astype(np.int64)
+
+
+_REACH = 4
+#: Where only green varies a shorter reference costs more bits than its literals.
+_LEAST = 6
+
+
+_NOTHING = np.zeros(256, np.int64)
 
 
 class Parsed:
-    """An image's symbols: literals, references and cache hits, with their counts."""
+    """An image's symbols: literals, references and cache hits, with their counts. ``flat``: only green varies."""
 
-    def __init__(self, px: np.ndarray, width: int, refs, cache_bits: int):
+    def __init__(self, px: np.ndarray, width: int, refs, cache_bits: int, flat: bool = False):
         self.px, self.cache_bits = px, cache_bits
         at, size, gap = refs
         n = len(px)
@@ -635,10 +832,13 @@ class Parsed:
         near = _near_codes(width)
         self.distance = _prefix(np.where(gap < len(near), near[np.minimum(gap, len(near) - 1)], gap + 120))
         alphabet = 280 + ((1 << cache_bits) if cache_bits else 0)
-        green = np.bincount((self.lit >> 8) & 255, minlength=alphabet) + np.bincount(256 + self.length[0], minlength=alphabet)
-        if cache_bits:
-            green += np.bincount(280 + self.slots, minlength=alphabet)
-        other = [np.bincount((self.lit >> s) & 255, minlength=256) for s in (16, 0, 24)]
+        symbols = [(self.lit >> np.uint32(8)) & np.uint32(255), 256 + self.length[0]] + ([280 + self.slots] if cache_bits else [])
+        green = np.bincount(np.concatenate(symbols), minlength=alphabet)
+        self.flat = flat and len(self.lit) > 0
+        if self.flat:
+            other = [np.array([len(self.lit)])] * 3  # no bits are spent on them
+        else:
+            other = [np.bincount((self.lit >> np.uint32(s)) & np.uint32(255), minlength=256) for s in (16, 0, 24)]
         self.counts = [green, *other, np.bincount(self.distance[0], minlength=40)]
 
     def cost(self) -> float:
@@ -657,12 +857,16 @@ class Parsed:
         if main:
             w.put(0, 1)  # one code group
         codes, sizes = [], []
-        for c in self.counts:
-            lengths = code_lengths(c.tolist())
-            put_code(w, lengths)
-            own = np.array(lengths, np.int64)
-            if (own > 0).sum() == 1:
-                own[:] = 0
+        for k, c in enumerate(self.counts):
+            if self.flat and k in (RED, BLUE, ALPHA):
+                w.put(1 | 1 << 2 | (int(self.lit[0]) >> (16, 0, 24)[k - 1] & 255) << 3, 11)
+                own = _NOTHING
+            else:
+                lengths = code_lengths(c.tolist())
+                put_code(w, lengths)
+                own = np.array(lengths, np.int64)
+                if np.count_nonzero(own) == 1:
+                    own = np.zeros_like(own)
             codes.append(reversed_codes(own))
             sizes.append(own)
         at = np.concatenate([self.lit_at, self.hit_at, self.ref_at])
@@ -698,14 +902,31 @@ def _pixels(argb: np.ndarray) -> np.ndarray:
 def parse(px: np.ndarray, width: int, cache_sizes=(0, 5, 9)) -> Parsed:
     """Symbols of an image with the cheapest of the cache sizes; where only green varies a cache hit costs what a literal does, and none is tried."""
     flat = len(px) and not ((px ^ px[0]) & np.uint32(0xFFFF00FF)).any()
-    refs = references(px, 4 if flat else 3)
-    found = [Parsed(px, width, refs, b) for b in ((0,) if flat else cache_sizes)]
+    refs = references(px, _LEAST if flat else 3, bool(flat))
+    found = [Parsed(px, width, refs, b, flat) for b in ((0,) if flat else cache_sizes)]
     return min(found, key=Parsed.cost) if len(found) > 1 else found[0]
 
 
 def _put_small(w: Writer, argb: np.ndarray) -> None:
-    """An image of transform parameters or palette steps."""
-    Parsed(_pixels(argb), argb.shape[1], (np.zeros(0, np.int64),) * 3, 0).write(w, False)
+    """An image of transform parameters or palette steps: channels that vary are written as bytes of 8 bits."""
+    w.put(0, 1)  # no cache
+    flat = argb.reshape(-1, 4)
+    live = [(flat[:, k] != flat[0, k]).any() for k in (2, 1, 3, 0)]
+    for k, varies in zip((2, 1, 3, 0), live, strict=True):
+        if varies:  # 256 codes of 8 bits, so that the code of the lengths has one symbol and takes no bits
+            w.put(0, 1)
+            w.put(15, 4)
+            for s in LENGTH_ORDER:
+                w.put(int(s == 8), 3)
+            w.put(1 | 3 << 1 | 254 << 4, 12)
+        else:
+            w.put(1 | 1 << 2 | int(flat[0, k]) << 3, 11)
+    w.put(1 | 1 << 2, 11)
+    body = _REVERSED[flat[:, [k for k, varies in zip((2, 1, 3, 0), live, strict=True) if varies]]].tobytes()
+    w.put(int.from_bytes(body, "little"), 8 * len(body))
+
+
+_REVERSED = np.array([int(f"{i:08b}"[::-1], 2) for i in range(256)], np.uint8)
 
 
 def _palette_form(argb: np.ndarray, colours: np.ndarray, index: np.ndarray):
