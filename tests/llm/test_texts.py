@@ -24,13 +24,12 @@ def naive_bits(train, text, order, min_count, langs, lang):
     streams = {k: (pad + pad.join(sorted(v)) + pad).encode() for k, v in train.items()}
     total = Counter()
     own = defaultdict(Counter)
-    for k, s in streams.items():
-        for i in range(order, len(s)):
-            for o in range(order + 1):
-                c = s[i - o : i]
-                total[c] += o > 0
-                if k == lang:
-                    own[c][s[i]] += 1
+    s = streams[lang]
+    for i in range(order, len(s)):
+        for o in range(order + 1):
+            c = s[i - o : i]
+            total[c] += o > 0
+            own[c][s[i]] += 1
     kept = {c for c, n in total.items() if n >= min_count} | {b""}
     data, bits = (pad + text).encode(), 0.0
     for i in range(order, len(data)):
@@ -59,6 +58,23 @@ def test_code_lengths():
             assert abs(got[i] - naive_bits(train, text, 3, 2, m.langs, lang)) < 1e-3
 
 
+def test_a_language_does_not_depend_on_others():
+    """Code lengths of a language stay when others are learned beside it; a model beyond its bound is refused."""
+    train = {k: [" ".join(random.Random(n).choices([f"{k}{i:x}" for i in range(60)], k=400))] for n, k in enumerate("abcdefgh")}
+    some, every = ppm.fit({k: train[k] for k in "ab"}, min_count=3), ppm.fit(train, min_count=3)
+    for text in ("a3 b7 a1f", train["a"][0], "b b b b0 1"):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        one, two = (m.bits(raw, np.array([0, len(raw)]))[0][:2] for m in (some, every))
+        assert np.allclose(one, two, atol=1e-3)
+    with pytest.raises(ValueError):
+        ppm.fit(train, min_count=1, max_bytes=1000)
+
+
+def test_letters():
+    assert all(map(ppm.has_letter, ("a", "1é", "日", "ª", "ß2")))
+    assert not any(map(ppm.has_letter, (None, "", "½²①", "123 !?_", "٣", "😀")))
+
+
 def test_language_held_out(spark):
     out = ppm.op2_language_id(spark, DATA).join(spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "lang"), "doc_id").toPandas()
     assert (out["lang"] == out["lang_pred"])[out["held_out"]].mean() > 0.95
@@ -81,17 +97,17 @@ def test_language_odd_rows(make):
 # ---- secrets
 
 
-def naive_spans(text):
-    kinds = [("assign", 2, 6), ("access", 0, 20), ("hex", 0, 24)]
+def naive_spans(text, n_rules=3):
+    kinds = [("assign", 2, 6), ("access", 0, 20), ("hex", 0, 24), ("pem", 0, 1), ("jwt", 0, 30), ("forge", 0, 40)]
     out = []
-    for n, (kind, group, least) in enumerate(kinds):
-        for m in re.finditer(secrets.RULES[n].pattern, text):
+    for n, (kind, group, least) in enumerate(kinds[:n_rules]):
+        for m in re.finditer(secrets.ALL_RULES[n].pattern, text):
             if len(m.group(group)) >= least:
                 out.append((m.start(), n, m.end(), kind))
     return sorted(out)
 
 
-SECRETS = ['é password = "abcdef" x', "secret:abc token=longenough1", "API_KEY:'k_9.=-/+zz'", "AKIA" + "A" * 16 + " AKIA" + "B" * 15, "0123456789abcdef01234567 " * 3, "secret:\"token\"=abcdefgh", "passwd:" + "f" * 30, "日本 apikey=" + "9" * 25, "no", ""]
+SECRETS = ['é password = "abcdef" x', "secret:abc token=longenough1", "API_KEY:'k_9.=-/+zz'", "AKIA" + "A" * 16 + " AKIA" + "B" * 15, "0123456789abcdef01234567 " * 3, "secret:\"token\"=abcdefgh", "passwd:" + "f" * 30, "日本 apikey=" + "9" * 25, "no", "", "-----BEGIN RSA PRIVATE KEY-----\nx token=ghp_" + "a1" * 20, "é eyJhbGciOi.eyJzdWIiOiIx.c2lnbmF0dXJl, eyJa.b.c"]
 
 
 def test_secrets_against_brute_force(make):
@@ -116,10 +132,39 @@ def test_ledger_scans_only_what_is_new(spark, make, tmp_path):
     assert secrets.attach(first, ledger).where(F.size("findings") > 0).count() == 3
 
 
+def test_deliveries(spark, make, tmp_path, monkeypatch):
+    """Each (blob, rule version) is scanned once over all deliveries; later ones skip what former ones held."""
+    rows = [(i, SECRETS[i % len(SECRETS)]) for i in range(60)] + [(100, None), (None, SECRETS[0]), (3, SECRETS[5]), (3, SECRETS[5])]
+    scanned = []
+    scan = secrets.scan_unseen
+
+    def counted(*a, **k):
+        out = scan(*a, **k).cache()
+        scanned.append(out.count())
+        return out
+
+    monkeypatch.setattr(secrets, "scan_unseen", counted)
+    got = secrets.deliver(make(rows), str(tmp_path / "ledger"), deliveries=3).collect()
+    want = sorted((repr(i), naive_spans(t or "", 6)) for i, t in rows)
+    assert sorted((repr(r["path"]), [(f["start"], f["rank"], f["end"], f["kind"]) for f in r["findings"]]) for r in got) == want
+    blobs = len({t or "" for _, t in rows})
+    assert len(scanned) == 3 and sum(scanned) == 6 * blobs and 0 < scanned[0] and scanned[2] < scanned[0]
+    secrets.deliver(make(rows), str(tmp_path / "ledger"), deliveries=1)
+    assert scanned[3:] == [0]
+    assert secrets.deliver(make(rows).limit(0), str(tmp_path / "empty")).count() == 0
+
+
 def test_redaction(make):
-    docs = make([(1, SECRETS[0]), (2, None), (3, "plain"), (4, "passwd:" + "f" * 30)])
-    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in secrets.redact(docs).collect()}
-    assert got[1] == ('é [secret]" x', 13) and got[2] == (None, None) and got[3] == ("plain", 5) and got[4] == ("[secret]", 8)
+    docs = make([(1, SECRETS[0]), (2, None), (3, "plain"), (4, "passwd:" + "f" * 30), (1, SECRETS[0]), (None, "token=abcdef AKIA" + "B" * 16)])
+    for c in ("__blob", "__b", "findings", "clean", "c0", "h"):
+        docs = docs.withColumn(c, F.lit(c))
+    out = secrets.redact(docs)
+    assert out.columns == docs.columns and out.schema["n_chars"] == docs.schema["n_chars"]
+    got = out.collect()
+    assert len(got) == 6 and all(r[c] == c for r in got for c in ("__blob", "__b", "findings", "clean", "c0", "h"))
+    by = {r["doc_id"]: (r["text"], r["n_chars"]) for r in got}
+    assert by[1] == ('é [secret]" x', 13) and by[2] == (None, None) and by[3] == ("plain", 5) and by[4] == ("[secret]", 8) and by[None] == ("[secret] [secret]", 17)
+    assert secrets.redact(docs.limit(0)).count() == 0
 
 
 # ---- near duplicates
@@ -170,6 +215,24 @@ def test_blocks_give_the_same_links(spark, make):
     assert n[0] == n[1] and len(n[0]) > 30
 
 
+def test_sets_that_share_half_a_fingerprint(make, monkeypatch):
+    """Sets whose names collide are told apart by the other half."""
+    whole = near_join.fingerprint
+    monkeypatch.setattr(near_join, "fingerprint", lambda s: (whole(s)[0] % 3, whole(s)[1]))
+    rng = random.Random(9)
+    rows = [(i, t) for i, t in enumerate(variants(rng, [f"w{i}" for i in range(90)], 8, 1) + [" ".join(f"{k}y{i}" for i in range(9)) for k in range(12)] * 2 + ["", None])]
+    got = near_join.near_duplicates(make(rows, 1)).collect()
+    assert sorted((repr(r["doc_id"]), repr(r["class_id"]), r["n_links"]) for r in got) == naive_groups(rows)
+
+
+def test_blocks_are_bounded_in_bytes(make, monkeypatch):
+    rng = random.Random(10)
+    rows = [(i, t) for i, t in enumerate(variants(rng, [f"w{i}" for i in range(300)], 30, 2))]
+    want = sorted((repr(r["doc_id"]), r["n_links"]) for r in near_join.near_duplicates(make(rows)).collect())
+    monkeypatch.setattr(near_join, "_BLOCK_BYTES", 4000)
+    assert sorted((repr(r["doc_id"]), r["n_links"]) for r in near_join.near_duplicates(make(rows)).collect()) == want
+
+
 def test_pruning_keeps_what_can_reach_the_threshold():
     least = near_join.least_matches()
     assert list(least) == sorted(least) and least[-1] < 0.8 * near_join.HASHES
@@ -183,6 +246,9 @@ def test_pruning_keeps_what_can_reach_the_threshold():
 
 def test_keep_one(make):
     docs = make([(5, "a b c d e f"), (2, "a b c d e f"), (2, "a b c d e f"), (9, "other words here and more of them")])
+    for c in ("__id", "__h", "__text", "hash", "c0", "h", "sig"):
+        docs = docs.withColumn(c, F.lit(c))
+    assert near_join.keep_one(docs).columns == docs.columns and near_join.keep_one(docs.limit(0)).count() == 0
     assert sorted(r["doc_id"] for r in near_join.keep_one(docs).collect()) == [2, 9]
 
 
