@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
 import uuid
@@ -16,11 +15,13 @@ _written: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and every executor can reach.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that setting is
-    missing (local tests) a temporary folder of this machine is used.
+    The cluster names it in ``spark.checkpoint.dir``. A local master may leave that setting
+    out; then a temporary folder of this machine is used.
     """
     named = spark.conf.get(_KEY, None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"{_KEY} must name a folder that the driver and all executors share")
         named = "file://" + os.path.join(tempfile.gettempdir(), "clusterloom-checkpoints")
         spark.conf.set(_KEY, named)
     if not spark.sparkContext.getCheckpointDir():
@@ -44,19 +45,23 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
 
 
-def release(spark: SparkSession, df: DataFrame) -> None:
-    """Delete the files of a table made by :func:`cut` that no later step reads."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    done = set()
-    for f in df.inputFiles():
-        parent = jvm.org.apache.hadoop.fs.Path(f).getParent()
-        if parent.toString() not in done:
-            done.add(parent.toString())
-            parent.getFileSystem(conf).delete(parent, True)
+def release(*tables: DataFrame) -> None:
+    """Delete the files of tables made by :func:`cut` that no later step reads; other tables are left alone."""
+    for t in tables:
+        path = getattr(t, "_scratch_path", None)
+        if path in _written:
+            _written.remove(path)
+            _delete(t.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,15 +69,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files of finished plans now, not when the driver happens to collect its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def clear(spark: SparkSession) -> None:
     """Delete every scratch table that this process wrote; for when its results have been read."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     while _written:
-        p = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        p.getFileSystem(conf).delete(p, True)
+        _delete(spark, _written.pop())

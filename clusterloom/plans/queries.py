@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from clusterloom.functions.scratch import cut, scratch_path, table
 from clusterloom.operators import baselines, confidence, gnn, graph, knn, metrics, proposals, training, vectors
-from clusterloom.operators.components import connected_components
+from clusterloom.operators.components import connected_components, linked
 from clusterloom.plans import pipelines
 from clusterloom.sources import io
 
@@ -312,7 +312,8 @@ def _(i):
 
 @query("g4_components_by_joins", "SELECT id, component FROM cc", PRED)
 def _(i):
-    return connected_components(i.pairs(0.35), i.feats.select("id"), src="u", dst="v", local_edges=0)
+    own = i.feats.select(F.col("id").alias("a"), F.col("id").alias("b"))
+    return linked(i.pairs(0.35).select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(own))
 
 
 @query("g5_constrained_components", "SELECT id, component, count(*) OVER (PARTITION BY component) <= 20 AS fits FROM cc", GROUPS)

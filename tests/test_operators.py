@@ -5,7 +5,8 @@ import pytest
 from helpers import DATA, tidy
 
 import __spark_entry__ as entry
-from clusterloom.operators import baselines, confidence, gnn, graph, knn, metrics, proposals, training, vectors
+from clusterloom.functions import scratch
+from clusterloom.operators import baselines, components, confidence, gnn, graph, knn, metrics, proposals, training, vectors
 from clusterloom.operators.components import connected_components
 from clusterloom.plans.queries import ORACLES, QUERIES
 from clusterloom.sources import io
@@ -58,12 +59,40 @@ def test_empty_graph(spark):
     assert graph.dynamic_threshold_clusters(spark.createDataFrame([], PAIRS), 3, 0.05).count() == 0
 
 
-def test_components_by_joins_and_in_one_task(spark):
+@pytest.mark.parametrize("coalesce", ["true", "false"])
+def test_components_of_scattered_edges(spark, monkeypatch, coalesce):
+    """Stars of one task and of several, hubs, chains, loops, nulls, repeated edges."""
+    monkeypatch.setattr(components, "_HELD", 50)
     rng = np.random.default_rng(1)
-    rows = [(int(a), int(b)) for a, b in rng.integers(0, 300, (260, 2))] + [(i, i + 1) for i in range(1000, 1060)]
-    df = spark.createDataFrame(rows, "src long, dst long")
-    a, b = (sorted(map(tuple, connected_components(df, local_edges=n).collect())) for n in (0, 10**6))
-    assert a == b and (1060, 1000) in a
+    rows = [(int(a), int(b)) for a, b in rng.integers(0, 300, (260, 2))] + [(i, i + 1) for i in range(1000, 1060)] + [(2000, i) for i in range(2001, 2100)] * 2 + [(7, None), (5000, 5000)]
+    df = spark.createDataFrame(rows, "src long, dst long").repartition(9)
+    nodes = spark.createDataFrame([(1,), (9000,), (None,)], "id long")
+    label = {x: x for r in rows if None not in r for x in r} | {1: 1, 9000: 9000}
+    moved = True
+    while moved:
+        moved = False
+        for a, b in rows:
+            if b is not None and label[a] != label[b]:
+                label[a] = label[b] = min(label[a], label[b])
+                moved = True
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+    try:
+        got = connected_components(df, nodes).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert dict(map(tuple, got)) == label and len(got) == len(label)
+    assert connected_components(df.limit(0)).count() == 0
+
+
+def test_shared_folder_is_required_off_one_machine(spark):
+    class Context:
+        master = "spark://host:7077"
+
+    class Session:
+        conf, sparkContext = {}, Context()
+
+    with pytest.raises(RuntimeError):
+        scratch.shared_dir(Session())
 
 
 def test_fresh_labels_for_missing_ids(spark):
