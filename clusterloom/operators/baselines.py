@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import BisectingKMeans, KMeans, PowerIterationClustering
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from clusterloom.functions.scratch import cut
+from clusterloom.functions.scratch import cut, release
 from clusterloom.operators.components import connected_components
-from clusterloom.operators.knn import knn_exact, similar_pairs
-from clusterloom.operators.vectors import weighted_sum
+from clusterloom.operators.knn import close_pairs, filter_by_similarity, knn_exact, similar_pairs
+from clusterloom.operators.vectors import matrix, weighted_sum
 
 
 def _vec(feats: DataFrame) -> DataFrame:
@@ -28,37 +30,49 @@ def kmeans(feats: DataFrame, k: int, seed: int = 0, max_iter: int = 20) -> DataF
     return _predicted(KMeans(k=k, seed=seed, maxIter=max_iter).fit(_vec(feats)), feats)
 
 
-def mini_batch_kmeans(feats: DataFrame, k: int, share: float = 0.3, rounds: int = 5, seed: int = 0) -> DataFrame:
-    """Centres learn from a new sample in each round, starting where the last one ended; rows are assigned at the end."""
-    centres = None
-    for i in range(rounds):
-        part = feats.sample(min(1.0, share), seed + i)
-        model = KMeans(k=k, seed=seed, maxIter=2).fit(_vec(part if part.count() >= k else feats))
-        new = np.stack(model.clusterCenters())
-        if centres is not None:
-            near = np.argmin(((new[:, None] - centres[None]) ** 2).sum(2), axis=1)
-            for a, b in enumerate(near):
-                centres[b] += (new[a] - centres[b]) / (i + 1)
-        else:
-            centres = new
+def assign(feats: DataFrame, centres: np.ndarray) -> DataFrame:
+    """``id, embedding, label``: the nearest of a bounded number of centres, ties to the first."""
     shared = feats.sparkSession.sparkContext.broadcast(centres)  # k vectors
 
-    def assign(batches):
-        for pdf in batches:
-            if len(pdf):
-                d = ((np.array(pdf["embedding"].tolist())[:, None] - shared.value[None]) ** 2).sum(2)
-                yield pd.DataFrame({"id": pdf["id"], "label": d.argmin(1)})
+    def run(batches):
+        c = shared.value
+        half = (c * c).sum(1) / 2
+        for b in batches:
+            if b.num_rows:
+                near = np.concatenate([(matrix(b.column(1).slice(lo, 4096)) @ c.T - half).argmax(1) for lo in range(0, b.num_rows, 4096)])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(near)], ["id", "embedding", "label"])
+
+    return feats.select("id", "embedding").mapInArrow(run, "id long, embedding array<double>, label long")
 
-    return feats.mapInPandas(assign, "id long, label long")
+
+def mini_batch_kmeans(feats: DataFrame, k: int, share: float = 0.3, rounds: int = 5, seed: int = 0) -> DataFrame:
+    """Centres start at k rows drawn by a seeded hash. Each round draws another ``share`` of the rows, assigns them and moves
+    every centre towards its rows' mean by their share of all rows it has met so far; rows are assigned at the end."""
+    drawn = lambda i: F.pmod(F.xxhash64("id", F.lit(seed), F.lit(i)), F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30))
+    first = feats.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(k).toPandas()
+    centres = np.array(first["embedding"].tolist())
+    met = np.zeros(len(centres))
+    for i in range(rounds):
+        rows = cut(assign(feats.where(drawn(i)), centres).withColumn("w", F.lit(1.0)), "mini-batch")
+        sums = weighted_sum(rows, "label").join(rows.groupBy(F.col("label").alias("l")).count(), F.col("label") == F.col("l")).select("label", "embedding", "count")
+        for r in sums.collect():  # k rows
+            met[r["label"]] += r["count"]
+            centres[r["label"]] += (np.array(r["embedding"]) - r["count"] * centres[r["label"]]) / met[r["label"]]
+        release(rows)
+    return assign(feats, centres).select("id", "label")
 
 
-def spectral(knn: DataFrame, k: int, max_iter: int = 20, gamma: float | None = None) -> DataFrame:
-    """Power iteration on the neighbour graph (an approximation of spectral clustering); ``gamma`` takes rbf weights."""
+def spectral(knn: DataFrame, k: int, max_iter: int = 20, gamma: float | None = None, nodes: DataFrame | None = None) -> DataFrame:
+    """Power iteration on the neighbour graph (an approximation of spectral clustering); ``gamma`` takes rbf weights.
+
+    Ids without an edge of positive weight are clusters of their own, labelled ``k + id``.
+    """
     sim = 1 - F.col("dist")
     w = F.exp(-gamma * 2 * F.col("dist")) if gamma is not None else F.greatest(sim, F.lit(0.0))
     edges = knn.where("id <> nbr").groupBy(F.least("id", "nbr").alias("src"), F.greatest("id", "nbr").alias("dst")).agg(F.max(w).alias("w")).where("w > 0")
-    out = PowerIterationClustering(k=k, maxIter=max_iter, weightCol="w").assignClusters(edges)
-    return out.select("id", F.col("cluster").cast("long").alias("label"))
+    nodes = knn.select("id") if nodes is None else nodes.select("id")
+    out = PowerIterationClustering(k=k, maxIter=max_iter, weightCol="w").assignClusters(cut(edges, "spectral-edges"))
+    return nodes.distinct().join(out, "id", "left").select("id", F.coalesce(F.col("cluster").cast("long"), k + F.col("id")).alias("label"))
 
 
 def hierarchy(feats: DataFrame, k: int, seed: int = 0) -> DataFrame:
@@ -96,53 +110,96 @@ def knn_dbscan(knn: DataFrame, nodes: DataFrame, eps: float, min_samples: int, t
 
 
 def hdbscan(feats: DataFrame, min_samples: int = 5, min_size: int = 5, k: int = 30, levels: int = 12) -> DataFrame:
-    """Density hierarchy over mutual reachability distances of the k-neighbour graph.
+    """Density hierarchy over mutual reachability distances of the k-neighbour graph, taken at ``levels`` distance quantiles.
 
-    Components are taken at ``levels`` distance quantiles; of nested clusters of at least
-    ``min_size`` those of larger summed persistence stay.
+    From sparse to dense, a component of at least ``min_size`` goes on as the same cluster while it
+    is the only such part of its parent, and a parent with several such parts ends in new
+    clusters. A cluster's stability is the sum over its levels of members times the gain
+    in density. From the leaves up, a cluster is chosen if it is at least as stable as the
+    best choice among its descendants; the outermost chosen ones are the result. The root is no choice unless nothing splits.
     """
     knn = cut(knn_exact(feats, max(k, min_samples)), "hdb-knn")
     core = knn.where(F.col("rank") == min_samples).select("id", F.col("dist").alias("c"))
     a, b = core.select("id", F.col("c").alias("ca")), core.select(F.col("id").alias("nbr"), F.col("c").alias("cb"))
     reach = cut(knn.join(a, "id").join(b, "nbr").select("id", "nbr", F.greatest("dist", "ca", "cb").alias("d")), "hdb-reach")
-    cuts = sorted(set(reach.approxQuantile("d", [(i + 1) / (levels + 1) for i in range(levels)], 0.001)))
-    out = None
-    for i, d in enumerate(cuts):  # from dense to sparse
+    nodes = feats.select("id")
+    cuts = sorted(set(reach.approxQuantile("d", [(i + 1) / levels for i in range(levels)], 0.0)), reverse=True)  # from sparse to dense
+    density = [1 / max(d, 1e-9) for d in cuts]
+    members, parts = [], []  # per level: ids with their cluster, and clusters with parent and gain
+    before = None
+    for i, d in enumerate(cuts):
         comp = connected_components(reach.where(F.col("d") <= d), src="id", dst="nbr")
         size = comp.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_size)
-        wide = 1 / max(d, 1e-9) - 1 / max(cuts[min(i + 1, len(cuts) - 1)], 1e-9)
-        level = comp.join(size, "component").select("id", F.col("component").alias("cluster"), F.lit(i).alias("level"), (F.col("n") * max(wide, 0.0)).alias("gain"))
-        out = level if out is None else out.unionByName(level)
-    nodes = feats.select("id")
-    if out is None:
+        comp = cut(comp.join(size, "component"), "hdb-level")
+        part = comp.select("component", "n").distinct()
+        own = F.col("component") * levels + i  # a name that tells birth level and component
+        if before is None:
+            part = part.withColumn("cluster", own).withColumn("parent", F.lit(None).cast("long"))
+        else:
+            up = before.select(F.col("id").alias("component"), F.col("cluster").alias("up"))
+            part = part.join(up, "component")  # a component has the name of a member
+            part = part.withColumn("twins", F.count(F.lit(1)).over(Window.partitionBy("up")))
+            part = part.withColumn("cluster", F.when(F.col("twins") > 1, own).otherwise(F.col("up"))).withColumn("parent", F.when(F.col("twins") > 1, F.col("up")))
+        gain = density[i] - (density[i - 1] if i else 0.0)
+        part = cut(part.select("component", "cluster", "parent", (F.col("n") * gain).alias("gain"), F.lit(i).alias("level")), "hdb-part")
+        before = cut(comp.join(part, "component").select("id", "cluster"), "hdb-members")
+        members.append(before)
+        parts.append(part)
+        if before.isEmpty():
+            break
+    if not parts:
         return nodes.select("id", F.col("id").alias("label"))
-    # A cluster lives over the levels at which it has the same smallest member and no more members than double.
-    life = cut(out, "hdb-levels")
-    gain = life.groupBy("cluster", "level").agg(F.first("gain").alias("g")).groupBy("cluster").agg(F.sum("g").alias("g"))
-    best = life.select("id", "cluster").distinct().join(gain, "cluster").groupBy("id").agg(F.max_by("cluster", F.struct("g", -F.col("cluster"))).alias("label"))
-    return nodes.join(best, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
-
-
-def mean_shift(feats: DataFrame, bandwidth: float, rounds: int = 5, merge: float | None = None) -> DataFrame:
-    """Every point moves to the mean of the original points within ``bandwidth``; points that end up together are a cluster."""
+    every = functools.reduce(DataFrame.unionByName, parts)
+    tree = cut(every.groupBy("cluster").agg(F.max("parent").alias("parent"), F.min("level").alias("born"), F.sum("gain").alias("stable")), "hdb-tree")
+    best = None  # cluster, parent, best, chosen of all clusters born at a level or later
+    for i in range(len(parts) - 1, -1, -1):
+        now = tree.where(F.col("born") == i)
+        if best is None:
+            done = now.select("cluster", "parent", F.col("stable").alias("best"), F.lit(True).alias("chosen"))
+        else:
+            below = best.where("parent is not null").groupBy(F.col("parent").alias("cluster")).agg(F.sum("best").alias("below"))
+            done = now.join(below, "cluster", "left").select("cluster", "parent", F.greatest("stable", F.coalesce("below", F.lit(0.0))).alias("best"), (F.col("below").isNull() | (F.col("stable") >= F.col("below"))).alias("chosen"))
+        best = cut(done if best is None else best.unionByName(done), "hdb-best")
+    if best.where("parent is null").count() == 1:  # one root that holds all
+        split = best.where("parent is not null").select("parent").distinct().withColumnRenamed("parent", "cluster")
+        best = best.join(split.withColumn("splits", F.lit(True)), "cluster", "left").withColumn("chosen", F.col("chosen") & (F.col("parent").isNotNull() | F.col("splits").isNull()))
+    picked = best.where("chosen").select("cluster").join(tree.select("cluster", "born"), "cluster")
+    chain = functools.reduce(DataFrame.unionByName, members).distinct().join(picked, "cluster")
+    label = chain.groupBy("id").agg(F.min_by("cluster", "born").alias("c"))
+    heads = label.groupBy("c").agg(F.min("id").alias("label"))
+    return nodes.join(label.join(heads, "c").select("id", "label"), "id", "left").select("id", F.coalesce("label", "id").alias("label"))
+
+
+def mean_shift(feats: DataFrame, bandwidth: float, max_rounds: int = 100, merge: float | None = None, tolerance: float = 1e-3) -> DataFrame:
+    """Every point moves to the mean of the original points within ``bandwidth`` until it moves less than ``tolerance`` of that; points that end up together are a cluster.
+
+    Points that have come to rest leave the rounds. More than ``max_rounds`` rounds raise ``RuntimeError``.
+    """
     start = cut(feats.select("id", "embedding"), "shift-start")
-    now = start
     half = bandwidth * bandwidth / 2
     # |a - b|^2 <= h^2 is a.b - |a|^2/2 - |b|^2/2 >= -h^2/2: one inner product with two more components.
     norm = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x) / 2
-    fixed = start.select((F.col("id") * 2 + 1).alias("id"), F.concat("embedding", F.array(-norm, F.lit(1.0))).alias("embedding"), F.col("embedding").alias("_e"))
-    for _ in range(rounds):
-        moving = now.select((F.col("id") * 2).alias("id"), F.concat("embedding", F.array(F.lit(1.0), -norm)).alias("embedding"))
-        pairs = similar_pairs(moving.unionByName(fixed.select("id", "embedding")), -half - 1e-12)
-        near = pairs.where("(u % 2) <> (v % 2)").select(F.floor(F.when(F.col("u") % 2 == 0, F.col("u")).otherwise(F.col("v")) / 2).cast("long").alias("id"), F.when(F.col("u") % 2 == 1, F.col("u")).otherwise(F.col("v")).alias("f"))
-        n = near.groupBy("id").count()
-        moved = weighted_sum(near.join(fixed.select(F.col("id").alias("f"), F.col("_e").alias("embedding")), "f").withColumn("w", F.lit(1.0)), "id")
-        now = cut(moved.join(n, "id").select("id", F.transform("embedding", lambda x: x / F.col("count")).alias("embedding")), "shift")
+    asking, asked = F.concat("embedding", F.array(F.lit(1.0), -norm)), F.concat("embedding", F.array(-norm, F.lit(1.0)))
+    fixed, moving, done = start.select("id", asked.alias("embedding")), start, None
+    for _ in range(max_rounds):
+        near = close_pairs(moving.select("id", asking.alias("embedding")), fixed, -half - 1e-12)
+        rows = near.select("id", "nbr").join(start.select(F.col("id").alias("nbr"), "embedding"), "nbr").withColumn("w", F.lit(1.0))
+        moved = weighted_sum(rows.withColumn("embedding", F.concat("embedding", F.array("w"))), "id")  # the last component counts
+        mean = F.transform(F.slice("embedding", 1, F.size("embedding") - 1), lambda x: x / F.element_at("embedding", -1))
+        step = F.sqrt(F.aggregate(F.zip_with("embedding", "old", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+        now = moved.select("id", mean.alias("embedding")).join(moving.select("id", F.col("embedding").alias("old")), "id").select("id", "embedding", (step < tolerance * bandwidth).alias("rests"))
+        now = cut(now, "shift")
+        rested = now.where("rests").select("id", "embedding")
+        done = rested if done is None else done.unionByName(rested)
+        moving = now.where("not rests").select("id", "embedding")
+        if moving.isEmpty():
+            break
+    else:
+        raise RuntimeError("mean shift did not settle")
     merge = bandwidth / 2 if merge is None else merge
-    last = now.select("id", F.concat("embedding", F.array(-norm, F.lit(1.0))).alias("a"), F.concat("embedding", F.array(F.lit(1.0), -norm)).alias("b"))
-    two = last.select((F.col("id") * 2).alias("id"), F.col("b").alias("embedding")).unionByName(last.select((F.col("id") * 2 + 1).alias("id"), F.col("a").alias("embedding")))
-    close = similar_pairs(two, -merge * merge / 2).where("(u % 2) <> (v % 2)").select(F.floor(F.col("u") / 2).cast("long").alias("src"), F.floor(F.col("v") / 2).cast("long").alias("dst"))
-    return connected_components(close, feats.select("id")).select("id", F.col("component").alias("label"))
+    last = cut(done, "shift-last")
+    close = close_pairs(last.select("id", asking.alias("embedding")), last.select("id", asked.alias("embedding")), -merge * merge / 2 - 1e-12)
+    return connected_components(close, feats.select("id"), src="id", dst="nbr").select("id", F.col("component").alias("label"))
 
 
 def rank_order_distance(knn: DataFrame) -> DataFrame:
@@ -176,7 +233,7 @@ def chinese_whispers(edges: DataFrame, nodes: DataFrame, rounds: int = 10, seed:
     for i in range(rounds):
         votes = edges.join(label.select(F.col("id").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("id"), "label").agg(F.sum("w").alias("w"))
         best = votes.groupBy("id").agg(F.max_by("label", F.struct("w", -F.col("label"))).alias("new"))
-        moves = F.pmod(F.xxhash64("id", F.lit(seed + i)), F.lit(2)) == 0
+        moves = F.expr(f"shiftright((pmod(id, 4294967296) * 40503 + {seed + i} * 26543) % 4294967296, 15) % 2 = 0")
         label = cut(label.join(best, "id", "left").select("id", F.when(moves & F.col("new").isNotNull(), F.col("new")).otherwise(F.col("label")).alias("label")), "whispers")
     return label
 
@@ -197,9 +254,15 @@ def strongest_neighbour(edges: DataFrame, nodes: DataFrame, rounds: int = 10) ->
     return at
 
 
+def rank_order(feats: DataFrame, k: int, th: float = 0.0, knn: DataFrame | None = None, min_sim: float | None = None) -> DataFrame:
+    """From vectors, or from neighbours that are there already, to rank-order clusters; ``min_sim`` drops weak neighbours first."""
+    near = cut(knn_exact(feats, k), "aro-knn") if knn is None else knn
+    return rank_order_clusters(near if min_sim is None else filter_by_similarity(near, min_sim), feats, th)
+
+
 METHODS = {
     "kmeans": kmeans, "mini_batch_kmeans": mini_batch_kmeans, "spectral": spectral, "hierarchy": hierarchy, "fast_hierarchy": single_linkage, "dbscan": dbscan, "knn_dbscan": knn_dbscan,
-    "hdbscan": hdbscan, "meanshift": mean_shift, "aro": rank_order_clusters, "chinese_whispers": chinese_whispers, "chinese_whispers_fast": strongest_neighbour,
+    "hdbscan": hdbscan, "meanshift": mean_shift, "aro": rank_order, "knn_aro": rank_order_clusters, "chinese_whispers": chinese_whispers, "chinese_whispers_fast": strongest_neighbour,
 }
 
 

@@ -65,14 +65,12 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None, *, sr
         both = both.union(nodes.select(F.col("id").cast("long").alias("v"), F.col("id").cast("long").alias("r")))
     both = both.where("v is not null and r is not null")
     schema = "v long, r long"
-    stars = cut(both.mapInArrow(_stars, schema).repartition("v").mapInArrow(_stars, schema), "cc-stars")
-    first = stars.groupBy("v").agg(F.min("r").alias("m"), F.max("r").alias("most"))
-    label = cut(first, "cc-label")
-    if label.where("m <> most").isEmpty():
-        release(stars)
+    stars = both.mapInArrow(_stars, schema).repartition("v").mapInArrow(_stars, schema)
+    roots_of = stars.groupBy("v").agg(F.min("r").alias("m"), F.collect_set("r").alias("all"))  # a root a task at most
+    label = cut(roots_of.select("v", "m", F.array_remove("all", F.col("m")).alias("more")), "cc-label")
+    if label.where(F.size("more") > 0).isEmpty():
         return label.select(F.col("v").alias("id"), F.col("m").alias("component"))
-    tied = linked(stars.join(label.select("v", "m"), "v").where("r <> m").select(F.least("r", "m").alias("a"), F.greatest("r", "m").alias("b")))
-    release(stars)
+    tied = linked(label.select("m", F.explode("more").alias("r")).select(F.least("r", "m").alias("a"), F.greatest("r", "m").alias("b")))
     c = tied.withColumnRenamed("id", "m")
     return label.join(c, "m", "left").select(F.col("v").alias("id"), F.coalesce("component", "m").alias("component"))
 

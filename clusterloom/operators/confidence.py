@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from clusterloom.functions.numbering import numbered
 from clusterloom.operators.vectors import dot, group_mean
 
 
-
 def density(knn: DataFrame, nodes: DataFrame, radius: float, use_weight: bool = True) -> DataFrame:
     """``id, conf``: summed similarity (or number) of neighbours with ``dist < radius``; 0 without any."""
     value = (1 - F.col("dist")) if use_weight else F.lit(1.0)
@@ -87,10 +87,6 @@ def peak_accuracy(pred: DataFrame, true: DataFrame, labels: DataFrame) -> DataFr
 
 
 def ignore_set(conf: DataFrame, ratio: float, smallest: bool = True) -> DataFrame:
-    """``id`` of the floor(n * ratio) vertices of lowest (or highest) confidence; ties by id.
-
-    The cut value comes from one global sort; only its rank boundary is exchanged.
-    """
+    """``id`` of the floor(n * ratio) vertices of lowest (or highest) confidence; ties by id."""
     n = conf.count()
-    order = (F.col("conf").asc() if smallest else F.col("conf").desc(), F.col("id"))
-    return conf.orderBy(*order).limit(int(n * ratio)).select("id")
+    return numbered(conf.select("id", "conf"), F.col("conf").asc() if smallest else F.col("conf").desc(), "id").where(F.col("number") < int(n * ratio)).select("id")

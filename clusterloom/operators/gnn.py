@@ -15,21 +15,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from clusterloom.functions.scratch import cut
-from clusterloom.operators.confidence import ignore_set
 from clusterloom.operators.graph import row_normalize, symmetrize
 from clusterloom.operators.knn import to_edges
 from clusterloom.operators.proposals import analyze, induced_edges
-from clusterloom.operators.vectors import propagate
+from clusterloom.operators.vectors import dot, propagate, weighted_sum
 
 # ---- weights
 
 
 def formula_weights(shapes: dict[str, tuple[int, ...]]) -> dict[str, np.ndarray]:
-    """Weights by a fixed formula, for runs without training: sin(1 + i) / sqrt(inputs); biases 0, slopes 0.25."""
+    """Weights by a fixed formula, for runs without training: sin(1 + i) / sqrt(inputs); biases and means 0, variances 1, slopes 0.25."""
     out = {}
     for name, shape in shapes.items():
-        if name.endswith("bias"):
+        if name.endswith(("bias", "mean")):
             out[name] = np.zeros(shape)
+        elif name.endswith("var"):
+            out[name] = np.ones(shape)
         elif name.endswith("slope"):
             out[name] = np.full(shape, 0.25)
         else:
@@ -48,7 +49,7 @@ def weights_from_table(df: DataFrame) -> dict[str, np.ndarray]:
     out: dict[str, dict[int, list[float]]] = {}
     for r in df.collect():
         out.setdefault(r["param"], {})[r["row"]] = r["values"]
-    return {k: (np.array(v[0]) if k.endswith(("bias", "slope")) else np.array([v[i] for i in range(len(v))])) for k, v in out.items()}
+    return {k: (np.array(v[0]) if k.endswith(("bias", "slope", "mean", "var")) else np.array([v[i] for i in range(len(v))])) for k, v in out.items()}
 
 
 # ---- layers
@@ -133,6 +134,20 @@ def proposal_graphs(feats: DataFrame, props: DataFrame, knn: DataFrame) -> tuple
     return nodes, induced_edges(props, knn).select("proposal_id", "u", "v", (1 - F.col("dist")).alias("w"))
 
 
+def with_seed(nodes: DataFrame, edges: DataFrame, seed: int | None = None) -> DataFrame:
+    """``nodes`` with one more input component: 1 for the proposal's seed, 0 for the others."""
+    mark = seeds(nodes.select("proposal_id", F.col("id").alias("node")), edges, seed).select("proposal_id", F.col("seed").alias("id"), F.lit(1.0).alias("_s"))
+    return nodes.join(mark, ["proposal_id", "id"], "left").withColumn("embedding", F.concat("embedding", F.array(F.coalesce("_s", F.lit(0.0))))).drop("_s")
+
+
+def seeds(props: DataFrame, edges: DataFrame, seed: int | None = None) -> DataFrame:
+    """``proposal_id, seed``: the node of most inner edges (ties: smallest id), or one by a hash with ``seed``."""
+    ends = edges.select("proposal_id", F.col("u").alias("node")).unionByName(edges.select("proposal_id", F.col("v").alias("node"))).groupBy("proposal_id", "node").count()
+    rows = props.select("proposal_id", "node").join(ends, ["proposal_id", "node"], "left")
+    by = F.xxhash64("node", F.lit(seed)) if seed is not None else F.coalesce("count", F.lit(0))
+    return rows.groupBy("proposal_id").agg(F.max_by("node", F.struct(by, -F.col("node"))).alias("seed"))
+
+
 def gcn_shapes(dim: int, widths=(32, 32), classes: int = 1) -> dict:
     out, last = {}, dim
     for i, n in enumerate(widths):
@@ -176,14 +191,18 @@ def sgc_scores(nodes: DataFrame, edges: DataFrame, weights: dict, *, degree: int
     both = edges.select("proposal_id", F.col("u").alias("src"), F.col("v").alias("dst"), "w").unionByName(edges.select("proposal_id", F.col("v").alias("src"), F.col("u").alias("dst"), "w"))
     loops = nodes.select("proposal_id", F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(1.0).alias("w"))
     adj = both.unionByName(loops)
-    adj = adj.withColumn("w", F.col("w") / F.sum("w").over(Window.partitionBy("proposal_id", "src")))
-    x = nodes.select("proposal_id", F.col("id").alias("dst"), F.posexplode("embedding").alias("p", "x"))
+    adj = cut(adj.withColumn("w", F.col("w") / F.sum("w").over(Window.partitionBy("proposal_id", "src"))), "sgc-adjacency")
+    x = nodes.select("proposal_id", F.col("id").alias("dst"), "embedding")
     for _ in range(degree):
-        x = x.join(adj, ["proposal_id", "dst"]).groupBy("proposal_id", "src", "p").agg(F.sum(F.col("w") * F.col("x")).alias("x")).withColumnRenamed("src", "dst")
-    pooled = x.groupBy("proposal_id", "p").agg({"mean": F.avg, "sum": F.sum, "max": F.max}[pool]("x").alias("x"))
-    fc = nodes.sparkSession.createDataFrame([(i, float(v[0])) for i, v in enumerate(weights["fc"])], "p int, f double")
-    bias = float(np.atleast_1d(weights["fc_bias"])[0])
-    return pooled.join(F.broadcast(fc), "p").groupBy("proposal_id").agg((F.sum(F.col("x") * F.col("f")) + bias).alias("score"))  # fc: one row a feature
+        x = weighted_sum(x.join(adj, ["proposal_id", "dst"]), ["proposal_id", "src"]).withColumnRenamed("src", "dst")
+    fc, bias = F.array(*[F.lit(float(v[0])) for v in weights["fc"]]), float(np.atleast_1d(weights["fc_bias"])[0])
+    if pool == "max":  # the largest of each component
+        parts = x.select("proposal_id", F.posexplode("embedding").alias("p", "x")).groupBy("proposal_id", "p").agg(F.max("x").alias("x"))
+        pooled = parts.groupBy("proposal_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "x"))), lambda t: t["x"]).alias("embedding"))
+    else:  # the last component counts
+        pooled = weighted_sum(x.select("proposal_id", F.concat("embedding", F.array(F.lit(1.0))).alias("embedding"), F.lit(1.0).alias("w")), "proposal_id")
+    n = F.element_at("embedding", -1) if pool == "mean" else F.lit(1.0)
+    return pooled.select("proposal_id", (dot(F.slice("embedding", 1, len(weights["fc"])), fc) / n + bias).alias("score"))
 
 
 def detection_targets(props: DataFrame, labels: DataFrame, kind: str = "iou") -> DataFrame:
@@ -193,11 +212,9 @@ def detection_targets(props: DataFrame, labels: DataFrame, kind: str = "iou") ->
 
 def segmentation_targets(props: DataFrame, edges: DataFrame, labels: DataFrame, *, seed: int | None = None) -> DataFrame:
     """``proposal_id, node, is_seed, target``: membership in the class of the seed, the node of most inner edges (ties: smallest id) or a random one."""
-    ends = edges.select("proposal_id", F.col("u").alias("node")).unionByName(edges.select("proposal_id", F.col("v").alias("node"))).groupBy("proposal_id", "node").count()
-    rows = props.select("proposal_id", "node").join(ends, ["proposal_id", "node"], "left").join(labels.select(F.col("id").alias("node"), "label"), "node")
-    by = F.xxhash64("node", F.lit(seed)) if seed is not None else F.coalesce("count", F.lit(0))
-    first = rows.groupBy("proposal_id").agg(F.max_by(F.struct("node", "label"), F.struct(by, -F.col("node"))).alias("s"))
-    return rows.join(first, "proposal_id").select("proposal_id", "node", (F.col("node") == F.col("s.node")).alias("is_seed"), (F.col("label") == F.col("s.label")).cast("int").alias("target"))
+    rows = props.select("proposal_id", "node").join(labels.select(F.col("id").alias("node"), "label"), "node")
+    first = seeds(rows, edges, seed).join(labels.select(F.col("id").alias("seed"), F.col("label").alias("_s")), "seed")
+    return rows.join(first, "proposal_id").select("proposal_id", "node", (F.col("node") == F.col("seed")).alias("is_seed"), (F.col("label") == F.col("_s")).cast("int").alias("target"))
 
 
 # ---- edges to vertices of higher confidence
@@ -236,18 +253,23 @@ def _stack(x, a, p):
     return x
 
 
+def edge_graphs(feats: DataFrame, adj: DataFrame, candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``id, nbr, dist, embedding`` (relative to the vertex), and the links ``id, src, dst, w`` among a vertex's candidates."""
+    c = cut(candidates, "edge-candidates")
+    vec = feats.select(F.col("id").alias("nbr"), F.col("embedding").alias("_e"))
+    own = feats.select("id", F.col("embedding").alias("_o"))
+    nodes = c.join(vec, "nbr").join(own, "id").select("id", "nbr", "dist", F.zip_with("_e", "_o", lambda x, y: x - y).alias("embedding"))
+    a, b = c.select("id", F.col("nbr").alias("src")), c.select("id", F.col("nbr").alias("dst"))
+    return nodes, adj.join(a, "src").join(b, ["id", "dst"]).select("id", "src", "dst", "w")
+
+
 def edge_scores(feats: DataFrame, adj: DataFrame, candidates: DataFrame, weights: dict) -> DataFrame:
     """``id, nbr, dist, prob``: probability that a vertex and a candidate belong together.
 
     Features are relative to the vertex; the adjacency is induced on its candidates and normalised again.
     A group holds one vertex's candidates, at most the length of its neighbour list.
     """
-    c = cut(candidates, "edge-candidates")
-    vec = feats.select(F.col("id").alias("nbr"), F.col("embedding").alias("_e"))
-    own = feats.select("id", F.col("embedding").alias("_o"))
-    nodes = c.join(vec, "nbr").join(own, "id").select("id", "nbr", "dist", F.zip_with("_e", "_o", lambda x, y: x - y).alias("embedding"))
-    a, b = c.select("id", F.col("nbr").alias("src")), c.select(F.col("id").alias("_i"), F.col("nbr").alias("dst"))
-    inner = adj.join(a, "src").join(b, "dst").where("id = _i").select("id", "src", "dst", "w")
+    nodes, inner = edge_graphs(feats, adj, candidates)
     w = feats.sparkSession.sparkContext.broadcast(weights)
 
     def run(key, n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
@@ -265,7 +287,7 @@ def edge_scores(feats: DataFrame, adj: DataFrame, candidates: DataFrame, weights
 
 def select_edges(scored: DataFrame, direct: DataFrame, max_conn: int = 1, *, random_seed: int | None = None) -> DataFrame:
     """``src, dst, dist, conn_no``: the most probable ``max_conn`` links (ties to the nearest; or random ones), and the direct links."""
-    by = [F.rand(random_seed)] if random_seed is not None else [F.desc("prob"), F.col("dist"), F.col("nbr")]
+    by = [F.md5(F.concat_ws("|", F.lit(str(random_seed)), "id", "nbr"))] if random_seed is not None else [F.desc("prob"), F.col("dist"), F.col("nbr")]
     best = scored.withColumn("conn_no", F.row_number().over(Window.partitionBy("id").orderBy(*by))).where(F.col("conn_no") <= max_conn)
     one = direct.withColumn("conn_no", F.lit(1))
     return best.select("id", "nbr", "dist", "conn_no").unionByName(one).select(F.col("id").alias("src"), F.col("nbr").alias("dst"), "dist", "conn_no")
@@ -277,9 +299,14 @@ def edge_targets(candidates: DataFrame, labels: DataFrame) -> DataFrame:
     return candidates.join(a, "id").join(b, "nbr").select("id", "nbr", (F.col("_a") == F.col("_b")).cast("int").alias("target"))
 
 
-def low_confidence(conf: DataFrame, ratio: float) -> DataFrame:
-    """The vertices that edge scoring leaves out."""
-    return ignore_set(conf, ratio)
+def edge_accuracy(links: DataFrame, knn: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row: links, and the shares of all, of those to the nearest vertex of higher confidence (``conn_no`` 1 of ``knn``'s peaks) and of the others that stay within a label."""
+    a, b = labels.select(F.col("id").alias("src"), F.col("label").alias("_a")), labels.select(F.col("id").alias("dst"), F.col("label").alias("_b"))
+    near = knn.where("conn_no = 1").select("src", "dst", F.lit(True).alias("_near"))
+    rows = links.join(a, "src").join(b, "dst").join(near, ["src", "dst"], "left").withColumn("ok", (F.col("_a") == F.col("_b")).cast("double"))
+    is_near = F.coalesce("_near", F.lit(False))
+    share = lambda c: F.avg(F.when(c, F.col("ok")))
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.avg("ok").alias("accuracy"), F.sum(is_near.cast("long")).alias("n_nearest"), share(is_near).alias("nearest"), share(~is_near).alias("others"))
 
 
 # ---- ego networks
@@ -293,19 +320,42 @@ def ego_networks(knn: DataFrame, k1: int, k2: int, active: int) -> tuple[DataFra
     me = knn.select(F.col("id").alias("centre")).distinct().select("centre", F.col("centre").alias("node"), F.lit(0).alias("one_hop"))
     nodes = one.unionByName(two).unionByName(me).groupBy("centre", "node").agg(F.max("one_hop").alias("one_hop"))
     links = knn.where(F.col("rank") <= active).select(F.col("id").alias("src"), F.col("nbr").alias("dst"))
-    a, b = nodes.select("centre", F.col("node").alias("src")), nodes.select(F.col("centre").alias("_c"), F.col("node").alias("dst"))
-    inner = links.join(a, "src").join(b, "dst").where("centre = _c").select("centre", "src", "dst")
+    a, b = nodes.select("centre", F.col("node").alias("src")), nodes.select("centre", F.col("node").alias("dst"))
+    inner = links.join(a, "src").join(b, ["centre", "dst"]).select("centre", "src", "dst")
     both = inner.unionByName(inner.select("centre", F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
     return nodes, both
 
 
+def ego_inputs(feats: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``centre, node, one_hop, embedding``: features relative to the centre."""
+    vec, own = feats.select(F.col("id").alias("node"), F.col("embedding").alias("_e")), feats.select(F.col("id").alias("centre"), F.col("embedding").alias("_o"))
+    return nodes.join(vec, "node").join(own, "centre").select("centre", "node", "one_hop", F.zip_with("_e", "_o", lambda a, b: a - b).alias("embedding"))
+
+
+def ego_statistics(feats: DataFrame, nodes: DataFrame) -> dict[str, np.ndarray]:
+    """``in_mean, in_var`` of the inputs over all networks, for the weights of the linkage model."""
+    x = ego_inputs(feats, nodes).select(F.lit(0).alias("all"), F.concat("embedding", F.transform("embedding", lambda v: v * v), F.array(F.lit(1.0))).alias("embedding"), F.lit(1.0).alias("w"))
+    row = weighted_sum(x, "all").first()  # one row of twice the dimension
+    if row is None:
+        return {}
+    s = np.array(row["embedding"])
+    dim, n = len(s) // 2, s[-1]
+    mean = s[:dim] / n
+    return {"in_mean": mean, "in_var": np.maximum(s[dim : 2 * dim] / n - mean * mean, 0)}
+
+
+def standardised(x: np.ndarray, weights: dict) -> np.ndarray:
+    """Inputs by the stored statistics; weights without any leave them as they are."""
+    return (x - weights["in_mean"]) / np.sqrt(weights["in_var"] + 1e-5) if "in_mean" in weights else x
+
+
 def linkage_scores(feats: DataFrame, nodes: DataFrame, edges: DataFrame, weights: dict) -> DataFrame:
     """``u, v, score``: link probability of each centre with its one-hop neighbours.
 
-    Inputs are relative to the centre and standardised over its network; a group is one ego network (at most k1 * k2 nodes).
+    Inputs are relative to the centre and standardised by the mean and variance that are stored with the
+    weights (:func:`ego_statistics` measures them); a group is one ego network (at most k1 * k2 nodes).
     """
-    vec, own = feats.select(F.col("id").alias("node"), F.col("embedding").alias("_e")), feats.select(F.col("id").alias("centre"), F.col("embedding").alias("_o"))
-    x = nodes.join(vec, "node").join(own, "centre").select("centre", "node", "one_hop", F.zip_with("_e", "_o", lambda a, b: a - b).alias("embedding"))
+    x = ego_inputs(feats, nodes)
     w = feats.sparkSession.sparkContext.broadcast(weights)
 
     def run(key, n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
@@ -316,7 +366,7 @@ def linkage_scores(feats: DataFrame, nodes: DataFrame, edges: DataFrame, weights
         m = np.zeros((len(n), len(n)))
         m[[at[z] for z in e["src"]], [at[z] for z in e["dst"]]] = 1
         z = np.array(n["embedding"].tolist())
-        z = (z - z.mean(0)) / np.sqrt(z.var(0) + 1e-5)
+        z = standardised(z, w.value)
         hop = n["one_hop"].to_numpy() == 1
         prob = _edge_head(_stack(z, normalized(m), w.value)[hop], w.value)
         return pd.DataFrame({"u": n["centre"][hop], "v": n["node"][hop], "score": prob})
@@ -324,9 +374,12 @@ def linkage_scores(feats: DataFrame, nodes: DataFrame, edges: DataFrame, weights
     return x.groupBy("centre").cogroup(edges.toDF(*edges.columns).groupBy("centre")).applyInPandas(run, "u long, v long, score double")
 
 
+#: Models by name: scores, and the shapes of their weights.
+SHAPES = {"gcn": gcn_shapes, "sgc": lambda dim: {"fc": (dim, 1), "fc_bias": (1,)}, "gcn_v": vertex_shapes, "gcn_e": edge_shapes, "lgcn": lambda dim: edge_shapes(dim) | {"in_mean": (dim,), "in_var": (dim,)}}
 MODELS = {"gcn": gcn_scores, "sgc": sgc_scores, "gcn_v": vertex_confidence, "gcn_e": edge_scores, "lgcn": linkage_scores}
 
 
-def build(name: str):
-    """A model by name; unknown names raise ``KeyError``."""
-    return MODELS[name]
+def build(name: str, dim: int, weights: dict | None = None, **shape):
+    """A model by name for vectors of ``dim`` components, as a function of its tables; weights are given or made by formula. Unknown names raise ``KeyError``."""
+    score, p = MODELS[name], formula_weights(SHAPES[name](dim, **shape)) if weights is None else weights
+    return lambda *tables, **kw: score(*tables, p, **kw)

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from clusterloom.functions.scratch import cut
+from clusterloom.functions.numbering import numbered
+from clusterloom.functions.scratch import cut, release
 from clusterloom.operators.components import connected_components
 
 
@@ -29,7 +30,7 @@ def symmetrize(edges: DataFrame, self_loops: DataFrame | None = None) -> DataFra
 def dense_labels(labels: DataFrame) -> DataFrame:
     """Labels 0, 1, ... in order of each label's smallest id."""
     heads = labels.groupBy("label").agg(F.min("id").alias("head"))
-    number = heads.select(F.col("label"), (F.dense_rank().over(Window.orderBy("head")) - 1).cast("long").alias("_n"))
+    number = numbered(heads, "head", "label", into="_n").select("label", "_n")
     return labels.join(number, "label").select("id", F.col("_n").alias("label"))
 
 
@@ -76,12 +77,13 @@ def dynamic_threshold_clusters(pairs: DataFrame, max_size: int, step: float, *,
         if big.isEmpty():
             break
         if level >= max_iter:
-            left = big.withColumn("label", F.min("id").over(Window.partitionBy(F.lit(0))))
-            out = out.unionByName(left.select("id", "label"))
+            out = out.unionByName(big.crossJoin(big.agg(F.min("id").alias("label"))).select("id", "label"))  # one row on the right
             break
         # An edge between two components lies below the threshold, and stays below all later ones.
         a, b = big.select(F.col("id").alias("u"), F.col("component").alias("_cu")), big.select(F.col("id").alias("v"), F.col("component").alias("_cv"))
+        old = rest
         rest = cut(rest.join(a, "u").join(b, "v").where("_cu = _cv").select("u", "v", "score"), "dyn-rest")
+        release(old)
         th = th + (1 - th) * step
         use, level = th, level + 1
     if out is None:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
@@ -15,13 +16,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from clusterloom.operators.vectors import pair_similarity
+from clusterloom.functions.numbering import numbered
+from clusterloom.functions.scratch import cut
+from clusterloom.operators.vectors import matrix, pair_similarity
 
-BLOCK = 4096
+#: Rows of a block at most, on the side of the queries and on the side that is searched.
+Q_BLOCK, R_BLOCK = 16_384, 65_536
 
 
-def _blocks(queries: DataFrame, rows: DataFrame, block: int):
-    nq, nr = (max(1, -(-df.count() // block)) for df in (queries, rows))
+def _blocks(queries: DataFrame, rows: DataFrame, block: int | None):
+    """Both tables dealt into blocks, every pair of blocks a group. Blocks of queries are smaller where fewer pairs would not keep all cores busy."""
+    n_queries, n_rows = queries.count(), rows.count()
+    nr = max(1, -(-n_rows // (block or R_BLOCK)))
+    busy = -(-2 * queries.sparkSession.sparkContext.defaultParallelism // nr)
+    nq = max(1, -(-n_queries // block)) if block else max(1, -(-n_queries // Q_BLOCK), min(busy, -(-n_queries // 256)))
     deal = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = queries.select(deal(nq).alias("qb"), each(nr).alias("rb"), "id", "embedding")
@@ -34,48 +42,82 @@ def _top(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("id", "nbr", "rank", (1 - F.col("sim")).alias("dist"))
 
 
-def knn_exact(feats: DataFrame, k: int, *, queries: DataFrame | None = None, include_self: bool = False, block: int = BLOCK) -> DataFrame:
+_NOTHING = {"id": [], "nbr": [], "sim": []}
+
+
+def _lots(n_queries: int, n_rows: int):
+    """Ranges of queries whose similarities to all rows take at most 32 MB."""
+    lot = max(1, (1 << 22) // max(n_rows, 1))
+    return [(lo, min(n_queries, lo + lot)) for lo in range(0, n_queries, lot)]
+
+
+def _nearest(q: pd.DataFrame, r: pd.DataFrame, k: int, include_self: bool = False) -> pd.DataFrame:
+    """The ``k`` nearest rows of ``r`` for each row of ``q``."""
+    if not len(q) or not len(r):
+        return pd.DataFrame(_NOTHING)
+    x, ids, every, own_ids = np.array(r["embedding"].tolist()), r["id"].to_numpy(), np.array(q["embedding"].tolist()), q["id"].to_numpy()
+    out = []
+    for lo, hi in _lots(len(q), len(r)):
+        sim, own = every[lo:hi] @ x.T, own_ids[lo:hi]
+        if not include_self:
+            sim[own[:, None] == ids[None, :]] = -np.inf
+        top = min(k, len(r))
+        least = np.partition(sim, len(r) - top, axis=1)[:, len(r) - top]
+        a, b = np.nonzero((sim >= least[:, None]) & np.isfinite(sim))
+        order = np.lexsort((ids[b], -sim[a, b], a))
+        a, b = a[order], b[order]
+        first = np.searchsorted(a, np.arange(hi - lo))
+        keep = np.arange(len(a)) - first[a] < k
+        out.append(pd.DataFrame({"id": own[a[keep]], "nbr": ids[b[keep]], "sim": sim[a[keep], b[keep]]}))
+    return pd.concat(out)
+
+
+def knn_exact(feats: DataFrame, k: int, *, queries: DataFrame | None = None, include_self: bool = False, block: int | None = None) -> DataFrame:
     """The min(k, n) largest inner products of every query row."""
+    cell = lambda key, q, r: _nearest(q, r, k, include_self)
+    return _top(_blocks(feats if queries is None else queries, feats, block).applyInPandas(cell, "id long, nbr long, sim double"), k)
 
-    def cell(key, q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(r):
-            return pd.DataFrame({"id": [], "nbr": [], "sim": []})
-        x, ids = np.array(r["embedding"].tolist()), r["id"].to_numpy()
-        out = []
-        for lo in range(0, len(q), 256):
-            part = q.iloc[lo : lo + 256]
-            sim, own = np.array(part["embedding"].tolist()) @ x.T, part["id"].to_numpy()
-            if not include_self:
-                sim[own[:, None] == ids[None, :]] = -np.inf
-            top = min(k, len(r))
-            least = np.partition(sim, len(r) - top, axis=1)[:, len(r) - top]
-            a, b = np.nonzero((sim >= least[:, None]) & np.isfinite(sim))
-            order = np.lexsort((ids[b], -sim[a, b], a))
-            a, b = a[order], b[order]
-            first = np.searchsorted(a, np.arange(len(part)))
-            keep = np.arange(len(a)) - first[a] < k
-            out.append(pd.DataFrame({"id": own[a[keep]], "nbr": ids[b[keep]], "sim": sim[a[keep], b[keep]]}))
-        return pd.concat(out)
-
-    found = _blocks(feats if queries is None else queries, feats, block).applyInPandas(cell, "id long, nbr long, sim double")
-    return _top(found, k)
-
-
-def similar_pairs(feats: DataFrame, min_sim: float, block: int = BLOCK) -> DataFrame:
-    """``u, v, sim`` with u < v of all pairs with ``sim >= min_sim``."""
+
+def close_pairs(a: DataFrame, b: DataFrame, min_sim: float, block: int | None = None) -> DataFrame:
+    """``id, nbr, sim`` of all rows of ``a`` and ``b`` with ``sim >= min_sim``."""
 
     def cell(key, q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame(_NOTHING)]
+        if len(q) and len(r):
+            x, ids, every, own = np.array(r["embedding"].tolist()), r["id"].to_numpy(), np.array(q["embedding"].tolist()), q["id"].to_numpy()
+            for lo, hi in _lots(len(q), len(r)):
+                sim = every[lo:hi] @ x.T
+                i, j = np.nonzero(sim >= min_sim)
+                out.append(pd.DataFrame({"id": own[lo:hi][i], "nbr": ids[j], "sim": sim[i, j]}))
+        return pd.concat(out[1:] or out)
+
+    return _blocks(a, b, block).applyInPandas(cell, "id long, nbr long, sim double")
+
+
+def similar_pairs(feats: DataFrame, min_sim: float, block: int | None = None) -> DataFrame:
+    """``u, v, sim`` with u < v of all pairs with ``sim >= min_sim``; each pair of blocks is looked at once."""
+    n, cores = feats.count(), feats.sparkSession.sparkContext.defaultParallelism
+    nb = max(1, -(-n // block)) if block else max(1, -(-n // Q_BLOCK), min(int((4 * cores) ** 0.5) + 1, -(-n // 256)))
+    own, other = F.pmod(F.xxhash64("id"), F.lit(nb)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(nb - 1)))
+    dealt = feats.select("id", "embedding", own.alias("own"), other.alias("other"))
+    cells = dealt.select(F.least("own", "other").alias("s"), F.greatest("own", "other").alias("t"), (F.col("own") > F.col("other")).alias("second"), "id", "embedding")
+
+    def cell(key, rows: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame({"u": [], "v": [], "sim": []})]
+        q, r = (rows, rows) if key[0] == key[1] else (rows[~rows["second"]], rows[rows["second"]])
         if len(q) and len(r):
-            x, ids = np.array(r["embedding"].tolist()), r["id"].to_numpy()
-            for lo in range(0, len(q), 256):
-                part = q.iloc[lo : lo + 256]
-                sim, own = np.array(part["embedding"].tolist()) @ x.T, part["id"].to_numpy()
-                a, b = np.nonzero((sim >= min_sim) & (own[:, None] < ids[None, :]))
-                out.append(pd.DataFrame({"u": own[a], "v": ids[b], "sim": sim[a, b]}))
+            x, ids, every, mine = np.array(r["embedding"].tolist()), r["id"].to_numpy(), np.array(q["embedding"].tolist()), q["id"].to_numpy()
+            for lo, hi in _lots(len(q), len(r)):
+                sim = every[lo:hi] @ x.T
+                near = sim >= min_sim
+                if key[0] == key[1]:
+                    near &= mine[lo:hi, None] < ids[None, :]
+                i, j = np.nonzero(near)
+                a, b = mine[lo:hi][i], ids[j]
+                out.append(pd.DataFrame({"u": np.minimum(a, b), "v": np.maximum(a, b), "sim": sim[i, j]}))
         return pd.concat(out[1:] or out)
 
-    return _blocks(feats, feats, block).applyInPandas(cell, "u long, v long, sim double")
+    return cells.groupBy("s", "t").applyInPandas(cell, "u long, v long, sim double")
 
 
 def rerank(feats: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
@@ -83,8 +125,8 @@ def rerank(feats: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
     return _top(pair_similarity(feats, candidates.select("id", "nbr").where("id <> nbr").distinct()), k)
 
 
-def knn_ivf(feats: DataFrame, k: int, *, n_cells: int | None = None, n_probe: int | None = None, seed: int = 0, sample: int = 100_000) -> DataFrame:
-    """Inverted-file search: rows in cells of k-means centres, each query looks into its nearest cells, exact distances."""
+def _cells(feats: DataFrame, n_cells: int | None, n_probe: int | None, seed: int, sample: int) -> tuple[DataFrame, np.ndarray]:
+    """``id, embedding, cells`` (the nearest cells, nearest first) and the cells' centres."""
     n = feats.count()
     n_cells = n_cells or max(1, min(4096, int(8 * n**0.5), n // 39 or 1))
     n_probe = min(n_probe or 128, n_cells)
@@ -96,16 +138,93 @@ def knn_ivf(feats: DataFrame, k: int, *, n_cells: int | None = None, n_probe: in
     def probe(batches):
         c = shared.value
         half = (c * c).sum(1) / 2
-        for pdf in batches:
-            if len(pdf):
-                score = np.array(pdf["embedding"].tolist()) @ c.T - half
-                near = np.argsort(-score, axis=1, kind="stable")[:, :n_probe]
-                yield pd.DataFrame({"id": pdf["id"], "cells": near.astype(np.int32).tolist()})
+        for b in batches:
+            if b.num_rows:
+                score = matrix(b.column(1)) @ c.T - half
+                near = np.argsort(-score, axis=1, kind="stable")[:, :n_probe].astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, near.size + 1, near.shape[1], dtype=np.int32)), pa.array(near.ravel()))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists], ["id", "embedding", "cells"])
 
-    cells = feats.mapInPandas(probe, "id long, cells array<int>")
-    home = cells.select(F.col("id").alias("nbr"), F.col("cells")[0].alias("cell"))
-    asked = cells.select("id", F.explode("cells").alias("cell"))
-    return rerank(feats, asked.join(home, "cell").select("id", "nbr"), k)
+    return cut(feats.select("id", "embedding").mapInArrow(probe, "id long, embedding array<double>, cells array<int>"), "ivf-cells"), centres
+
+
+def _probed(cells: DataFrame, *carried: str):
+    """Queries and rows by cell; a cell of more than ``R_BLOCK`` rows is dealt into several groups, each of which its queries visit."""
+    sizes = cells.groupBy(F.col("cells")[0].alias("cell")).agg(F.ceil(F.count(F.lit(1)) / R_BLOCK).cast("int").alias("parts"))
+    home = cells.select(F.col("cells")[0].alias("cell"), "id", *carried).join(sizes, "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    asked = cells.select("id", "embedding", F.explode("cells").alias("cell")).join(sizes, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    home = home.select("cell", "part", "id", *carried)
+    return asked.select("cell", "part", "id", "embedding").groupBy("cell", "part").cogroup(home.toDF(*home.columns).groupBy("cell", "part"))
+
+
+def knn_ivf(feats: DataFrame, k: int, *, n_cells: int | None = None, n_probe: int | None = None, seed: int = 0, sample: int = 100_000) -> DataFrame:
+    """Inverted-file search: rows in cells of k-means centres, each query looks into its nearest cells and keeps its best k of each, by exact distance."""
+    cells, _ = _cells(feats, n_cells, n_probe, seed, sample)
+    return _top(_probed(cells, "embedding").applyInPandas(lambda key, q, r: _nearest(q, r, k), "id long, nbr long, sim double"), k)
+
+
+def train_codebooks(x: np.ndarray, parts: int = 8, codes: int = 256, rounds: int = 10, seed: int = 0) -> np.ndarray:
+    """Product quantiser [part, code, components] by k-means in each part of the components; the rows are a bounded sample."""
+    rng = np.random.default_rng(seed)
+    x = np.pad(x, ((0, 0), (0, -x.shape[1] % parts))).reshape(len(x), parts, -1)
+    books = x[rng.choice(len(x), codes, replace=len(x) < codes)].transpose(1, 0, 2).copy()
+    for _ in range(rounds):
+        for p in range(parts):
+            near = (x[:, p] @ books[p].T - (books[p] ** 2).sum(1) / 2).argmax(1)
+            n = np.bincount(near, minlength=codes)
+            total = np.zeros_like(books[p])
+            np.add.at(total, near, x[:, p])
+            books[p][n > 0] = total[n > 0] / n[n > 0, None]
+    return books
+
+
+def quantise(x: np.ndarray, books: np.ndarray) -> np.ndarray:
+    """Code of each row in each part."""
+    x = np.pad(x, ((0, 0), (0, books.shape[0] * books.shape[2] - x.shape[1]))).reshape(len(x), books.shape[0], -1)
+    return np.stack([(x[:, p] @ b.T - (b**2).sum(1) / 2).argmax(1) for p, b in enumerate(books)], 1).astype(np.uint8)
+
+
+def knn_ivf_pq(feats: DataFrame, k: int, *, n_cells: int | None = None, n_probe: int | None = None, parts: int = 8, refine: int = 8, seed: int = 0, sample: int = 20_000) -> DataFrame:
+    """Inverted-file search over product-quantised residuals; the best ``refine * k`` of each query by code tables get exact distances.
+
+    Cells hold codes (a byte for each part) in place of vectors, so that is what a search ships.
+    """
+    cells, centres = _cells(feats, n_cells, n_probe, seed, 5 * sample)
+    drawn = cells.select("embedding", F.col("cells")[0].alias("cell")).orderBy(F.xxhash64("id", F.lit(seed))).limit(sample).toPandas()
+    books = train_codebooks(np.array(drawn["embedding"].tolist()) - centres[drawn["cell"].to_numpy()], parts, seed=seed)
+    shared = feats.sparkSession.sparkContext.broadcast((books, centres))
+
+    def code(batches):
+        books, centres = shared.value
+        for b in batches:
+            if b.num_rows:
+                home = b.column(2).flatten().to_numpy().reshape(b.num_rows, -1)[:, 0]
+                codes = quantise(matrix(b.column(1)) - centres[home], books)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([c.tobytes() for c in codes], pa.binary())], ["id", "embedding", "cells", "codes"])
+
+    coded = cells.mapInArrow(code, "id long, embedding array<double>, cells array<int>, codes binary")
+    keep = refine * k
+
+    def nominate(key, q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(r):
+            return pd.DataFrame(_NOTHING)
+        books, centres = shared.value
+        codes, ids, x, own = np.frombuffer(b"".join(r["codes"]), np.uint8).reshape(len(r), -1), r["id"].to_numpy(), np.array(q["embedding"].tolist()), q["id"].to_numpy()
+        out = []
+        for lo, hi in _lots(len(q), len(r)):
+            part = np.pad(x[lo:hi], ((0, 0), (0, books.shape[0] * books.shape[2] - x.shape[1]))).reshape(hi - lo, books.shape[0], -1)
+            sim = np.repeat((x[lo:hi] @ centres[key[0]])[:, None], len(r), 1)  # the centre's share, and a table look-up for each part
+            for p in range(len(books)):
+                sim += (part[:, p] @ books[p].T)[:, codes[:, p]]
+            sim[own[lo:hi, None] == ids[None, :]] = -np.inf
+            top = min(keep, len(r))
+            near = np.argpartition(-sim, top - 1, axis=1)[:, :top]
+            out.append(pd.DataFrame({"id": np.repeat(own[lo:hi], top), "nbr": ids[near].ravel(), "sim": np.take_along_axis(sim, near, 1).ravel()}))
+        out = pd.concat(out)
+        return out[np.isfinite(out["sim"])]
+
+    found = _probed(coded, "codes").applyInPandas(nominate, "id long, nbr long, sim double")
+    return rerank(feats, _top(found, keep), k)
 
 
 def knn_lsh(feats: DataFrame, k: int, *, max_dist: float = 1.3, tables: int = 8, bucket: float = 2.0, seed: int = 0) -> DataFrame:
@@ -142,7 +261,7 @@ def to_edges(knn: DataFrame, th: float = 0.0, *, use_sim: bool = True, fill: flo
 
 def induced(knn: DataFrame, ids: DataFrame) -> DataFrame:
     """``src, dst, w`` among ``ids``, renumbered from 0 in id order."""
-    number = ids.select("id").distinct().withColumn("_n", F.row_number().over(Window.orderBy("id")).cast("long") - 1)
+    number = numbered(ids.select("id").distinct(), "id", into="_n")
     a, b = number.select("id", F.col("_n").alias("src")), number.select(F.col("id").alias("nbr"), F.col("_n").alias("dst"))
     return knn.join(a, "id").join(b, "nbr").select("src", "dst", (1 - F.col("dist")).alias("w"))
 
@@ -157,6 +276,10 @@ def knn_recall(knn: DataFrame, labels: DataFrame) -> DataFrame:
 
 def same_edges(a: DataFrame, b: DataFrame) -> DataFrame:
     """One row: whether two edge tables hold the same non-zero entries."""
+    return edge_difference(a, b).agg((F.count(F.lit(1)) == 0).alias("same"))
+
+
+def edge_difference(a: DataFrame, b: DataFrame) -> DataFrame:
+    """``src, dst, w, side``: non-zero entries that only the first (side 1) or only the second table (side 2) holds, as often as they are missing."""
     a, b = (x.where("w <> 0").select("src", "dst", "w") for x in (a, b))
-    apart = a.exceptAll(b).unionAll(b.exceptAll(a))
-    return apart.agg((F.count(F.lit(1)) == 0).alias("same"))
+    return a.exceptAll(b).withColumn("side", F.lit(1)).unionAll(b.exceptAll(a).withColumn("side", F.lit(2)))

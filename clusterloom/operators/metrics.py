@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -62,3 +62,22 @@ METRICS = {"pairwise": pairwise, "bcubed": bcubed, "nmi": nmi}
 def evaluate(gt: DataFrame, pred: DataFrame, metric: str = "pairwise") -> DataFrame:
     """A metric by name; unknown names raise ``KeyError``."""
     return METRICS[metric](gt, pred)
+
+
+def evaluate_files(spark: SparkSession, gt_path: str, pred_path: str, metric: str = "pairwise") -> DataFrame:
+    """A metric by name of two label files with one integer a line; files of different length raise ``ValueError``."""
+    from clusterloom.sources.io import read_labels
+
+    gt, pred = read_labels(spark, gt_path), read_labels(spark, pred_path)
+    if gt.count() != pred.count():
+        raise ValueError("the label files differ in length")
+    return evaluate(gt, pred, metric)
+
+
+def clustering_report(labels: DataFrame, pred: DataFrame, singles: bool = True) -> DataFrame:
+    """One row: clusters, ids in them, share of ids covered (by clusters of two or more, unless ``singles``), and all three metrics over the covered ids."""
+    size = pred.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    kept = pred if singles else pred.join(size.where("n > 1").select("label"), "label", "left_semi")
+    one = kept.agg(F.countDistinct("label").alias("n_clusters"), F.count(F.lit(1)).alias("n_ids")).crossJoin(labels.agg(F.count(F.lit(1)).alias("total")))  # tables of one row
+    p, b = (m(labels, kept).toDF(*(f"{name}_{c}" for c in ("precision", "recall", "f"))) for name, m in (("pairwise", pairwise), ("bcubed", bcubed)))
+    return one.withColumn("coverage", F.col("n_ids") / F.col("total")).drop("total").crossJoin(p).crossJoin(b).crossJoin(nmi(labels, kept))

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from clusterloom.functions.scratch import cut
+from clusterloom.functions.numbering import numbered
+from clusterloom.functions.scratch import cut, release
 from clusterloom.operators.graph import dense_labels, dynamic_threshold_clusters
 from clusterloom.operators.knn import knn_exact, undirected_pairs
 from clusterloom.operators.vectors import group_mean
@@ -45,15 +45,16 @@ def fill_labels(labels: DataFrame, n: int, ignore: int | None = None) -> DataFra
     dense = dense_labels(known)
     most = dense.agg(F.coalesce(F.max("label") + 1, F.lit(0)).alias("_m"))
     missing = labels.sparkSession.range(n).join(dense, "id", "left_anti")
-    fresh = missing.crossJoin(most).select("id", (F.col("_m") + F.row_number().over(Window.orderBy("id")) - 1).cast("long").alias("label"))
+    fresh = numbered(missing.select("id"), "id", into="_n").crossJoin(most).select("id", (F.col("_m") + F.col("_n")).alias("label"))  # one row on the right
     return dense.unionByName(fresh)
 
 
-def induced_edges(props: DataFrame, knn: DataFrame) -> DataFrame:
-    """``proposal_id, u, v, dist``: neighbour links inside each proposal, once for each pair."""
-    a, b = props.select("proposal_id", F.col("node").alias("id")), props.select(F.col("proposal_id").alias("_q"), F.col("node").alias("nbr"))
-    rows = knn.where("id <> nbr").join(a, "id").join(b, "nbr").where("proposal_id = _q")
-    return rows.groupBy("proposal_id", F.least("id", "nbr").alias("u"), F.greatest("id", "nbr").alias("v")).agg(F.min_by("dist", F.struct("id", "rank")).alias("dist"))
+def induced_edges(props: DataFrame, knn: DataFrame, key=("proposal_id",)) -> DataFrame:
+    """``key, u, v, dist``: neighbour links inside each proposal, once for each pair."""
+    key = list(key)
+    a, b = props.select(*key, F.col("node").alias("id")), props.select(*key, F.col("node").alias("nbr"))
+    rows = knn.where("id <> nbr").join(a, "id").join(b, [*key, "nbr"])
+    return rows.groupBy(*key, F.least("id", "nbr").alias("u"), F.greatest("id", "nbr").alias("v")).agg(F.min_by("dist", F.struct("id", "rank")).alias("dist"))
 
 
 def overlaps(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -124,7 +125,9 @@ def suppressed(props: DataFrame, order: DataFrame, th: float, max_rounds: int =
         state = cut(state.join(done, "proposal_id", "left_anti"), "nms-state")
         if state.isEmpty():
             return kept
+        old = over
         over = cut(over.join(state.select(F.col("proposal_id").alias("pa")), "pa", "left_semi").join(state.select(F.col("proposal_id").alias("pb")), "pb", "left_semi"), "nms-pairs")
+        release(old)
     raise RuntimeError("suppression did not settle")
 
 
@@ -145,7 +148,7 @@ def deoverlap(props: DataFrame, scores: DataFrame, *, th_pos: float = -1.0, th_i
     With ``probs`` each proposal loses its outliers; the clusters of outliers come after all others.
     """
     good = scores.where(F.col("score") >= th_pos)
-    ranked = good.select("proposal_id", (F.row_number().over(Window.orderBy(F.desc("score"), "proposal_id")) - 1).cast("long").alias("rank"))
+    ranked = numbered(good.select("proposal_id", "score"), F.desc("score"), "proposal_id", into="rank").select("proposal_id", "rank")
     live = props.join(good.select("proposal_id"), "proposal_id", "left_semi")
     if probs is not None:
         parts = split_outliers(live, probs, th_outlier)

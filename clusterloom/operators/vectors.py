@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,10 +37,58 @@ def is_normalized(df: DataFrame, col="embedding", eps: float = 1e-4) -> DataFram
     return df.agg((F.coalesce(F.max(F.abs(dot(F.col(col), F.col(col)) - 1)), F.lit(0.0)) < eps).alias("is_normalized"), F.count(F.lit(1)).alias("n"))
 
 
-def weighted_sum(rows: DataFrame, key: str, vec="embedding", weight="w") -> DataFrame:
-    """Sum of weighted vectors by key, component by component, so that partial sums combine before the shuffle."""
-    parts = rows.select(key, F.col(weight).alias("_w"), F.posexplode(vec).alias("_p", "_x")).groupBy(key, "_p").agg(F.sum(F.col("_w") * F.col("_x")).alias("_s"))
-    return parts.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", "_s"))), lambda t: t["_s"]).alias(vec))
+def matrix(column) -> np.ndarray:
+    """An Arrow list column of equal lengths as rows of doubles."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
+def vector_column(x: np.ndarray) -> pa.Array:
+    """Rows of doubles as an Arrow list column."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, max(x.shape[1], 1), dtype=np.int32)), pa.array(np.ascontiguousarray(x).ravel()))
+
+
+def _sums(batches, names: list[str], weighted: bool, ordered: bool):
+    """Sums of the vectors of equal keys, batch by batch; ``ordered``: keys ascend, and one that goes over batches is summed up whole."""
+    k, held = len(names), None
+
+    def batch(keys, x):
+        return pa.RecordBatch.from_arrays([*[pa.array(c) for c in keys], vector_column(x)], [*names, "v"])
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys, x = [b.column(i).to_numpy() for i in range(k)], matrix(b.column(k))
+        if weighted:
+            x = x * b.column(k + 1).to_numpy()[:, None]
+        if not ordered:
+            order = np.lexsort(keys[::-1])
+            keys, x = [c[order] for c in keys], x[order]
+        fresh = np.ones(len(x), bool)
+        fresh[1:] = np.any([c[1:] != c[:-1] for c in keys], axis=0)
+        at = np.flatnonzero(fresh)
+        keys, x = [c[at] for c in keys], np.add.reduceat(x, at, axis=0)
+        if ordered:
+            if held is not None:
+                if all(c[0] == h for c, h in zip(keys, held[0], strict=True)):
+                    x[0] += held[1]
+                else:
+                    yield batch([np.array([h]) for h in held[0]], held[1][None])
+            held = [c[-1] for c in keys], x[-1]
+            keys, x = [c[:-1] for c in keys], x[:-1]
+        if len(x):
+            yield batch(keys, x)
+    if held is not None:
+        yield batch([np.array([h]) for h in held[0]], held[1][None])
+
+
+def weighted_sum(rows: DataFrame, key, vec="embedding", weight="w") -> DataFrame:
+    """Sum of weighted vectors (of one length) by integer key or keys. Each batch is summed before the shuffle, so a key on very many rows costs one row a batch."""
+    keys = [key] if isinstance(key, str) else list(key)
+    schema = ", ".join(f"{c} long" for c in keys) + ", v array<double>"
+    cast = [F.col(c).cast("long").alias(c) for c in keys]
+    parts = rows.select(*cast, as_double(F.col(vec)).alias("v"), F.col(weight).cast("double").alias("_w")).mapInArrow(lambda b: _sums(b, keys, True, False), schema)
+    whole = parts.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lambda b: _sums(b, keys, False, True), schema)
+    return whole.withColumnRenamed("v", vec)
 
 
 def propagate(feats: DataFrame, edges: DataFrame, times: int = 1) -> DataFrame:
@@ -71,6 +121,6 @@ def pair_similarity(feats: DataFrame, pairs: DataFrame, src="id", dst="nbr") ->
 
 
 def argmax_ties(df: DataFrame, key: str, item: str, value: str, seed: int | None = None) -> DataFrame:
-    """The item of largest value by key; ties at random by ``seed``, or to the smallest item."""
-    tie = F.rand(seed) if seed is not None else -F.col(item)
+    """The item of largest value by key; ties by a hash with ``seed``, or to the smallest item."""
+    tie = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"), F.col(item).cast("string"))) if seed is not None else -F.col(item)
     return df.groupBy(key).agg(F.max_by(item, F.struct(F.col(value), tie)).alias(item))

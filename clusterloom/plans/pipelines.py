@@ -18,13 +18,13 @@ def detection(feats: DataFrame, weights: dict, *, k=10, th=0.3, step=0.05, max_s
 
 
 def segmentation(feats: DataFrame, labels: DataFrame, det_weights: dict, seg_weights: dict, *, k=10, th=0.3, step=0.05, max_size=50, low=0.0, high=1.0, th_outlier=0.5, split=True) -> DataFrame:
-    """As :func:`detection`, for proposals whose IoP lies in a range, with outliers split off."""
+    """As :func:`detection`, for proposals whose IoP lies in a range, with outliers split off. The model of the nodes has the seed's mark as one more input."""
     near = cut(knn.knn_exact(feats, k), "seg-knn")
     props = proposals.basic_proposals(feats, k=k, th=th, step=step, max_size=max_size, min_size=2, knn=near)
     props = cut(proposals.iop_range(props, proposals.analyze(props, labels).select("proposal_id", "iop"), low, high), "seg-props")
     nodes, edges = gnn.proposal_graphs(feats, props, near)
     scores = cut(gnn.gcn_scores(nodes, edges, det_weights), "seg-scores")
-    probs = cut(gnn.gcn_scores(nodes, edges, seg_weights, pool="none"), "seg-probs") if split else None
+    probs = cut(gnn.gcn_scores(gnn.with_seed(nodes, edges), edges, seg_weights, pool="none"), "seg-probs") if split else None
     return proposals.deoverlap(props, scores, probs=probs, th_outlier=th_outlier)
 
 
@@ -38,14 +38,14 @@ def vertex_pipeline(feats: DataFrame, weights: dict, *, k=10, tau0=0.3, tau=None
     return graph.peaks_to_labels(confidence.peaks(knn.knn_exact(hidden, k), scored, max_conn), tau, feats)
 
 
-def edge_pipeline(feats: DataFrame, conf: DataFrame, weights: dict, *, k=10, tau=0.3, ignore_ratio=0.0, max_conn=1) -> DataFrame:
-    """``id, label``: candidates of higher confidence, edge scores, best links, components."""
+def edge_pipeline(feats: DataFrame, conf: DataFrame, weights: dict, *, k=10, tau=0.3, ignore_ratio=0.0, max_conn=1, random_seed: int | None = None) -> DataFrame:
+    """``id, label``: candidates of higher confidence, edge scores, best links (or random ones), components."""
     near = cut(knn.knn_exact(feats, k), "gcne-knn")
     conf = cut(conf, "gcne-conf")
     skip = confidence.ignore_set(conf, ignore_ratio) if ignore_ratio else None
     ask, direct = gnn.candidate_sets(near, conf, skip)
     scored = gnn.edge_scores(feats, gnn.vertex_graph(near, feats), ask, weights)
-    return graph.peaks_to_labels(gnn.select_edges(scored, direct, max_conn), tau, feats)
+    return graph.peaks_to_labels(gnn.select_edges(scored, direct, max_conn, random_seed=random_seed), tau, feats)
 
 
 def linkage_pipeline(feats: DataFrame, weights: dict, *, k1=10, k2=5, active=5, max_size=50, step=0.6, pool="avg") -> DataFrame:

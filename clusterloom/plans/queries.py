@@ -5,6 +5,7 @@ Parameters suit vectors whose nearest similarities are 0.3 to 0.6: ten neighbour
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from clusterloom.functions.scratch import cut, scratch_path, table
@@ -97,6 +98,17 @@ def _(i):
     return i.spark.read.parquet(path).select("id", F.size("embedding").cast("long").alias("dim"), r6(F.col("embedding")[0]).alias("first"))
 
 
+@query("s1_binary_features", "SELECT i AS id, j AS p, round(sin(1 + i * 8 + j)::FLOAT::DOUBLE, 5) AS x FROM (SELECT unnest(range(1500)) AS i), (SELECT unnest(range(8)) AS j)", "")
+def _(i):
+    """A headerless matrix in the shared folder, by a formula."""
+    path = scratch_path(i.spark, "features") + ".bin"
+    p = i.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(i.spark.sparkContext._jsc.hadoopConfiguration()).create(p)
+    out.write(bytearray(np.sin(1 + np.arange(1500 * 8)).astype("<f4").tobytes()))
+    out.close()
+    return io.read_features_bin(i.spark, path, 8, rows_a_read=200).select("id", F.posexplode("embedding").alias("p", "x")).select("id", F.col("p").cast("long").alias("p"), F.round("x", 5).alias("x"))
+
+
 @query("s2_inverse_labels", "SELECT label, count(*) AS n, min(id) AS first, sum(id)::BIGINT AS total FROM e GROUP BY label")
 def _(i):
     inv = io.inverse_labels(i.labels)
@@ -283,10 +295,22 @@ def _(i):
     return knn.knn_exact(i.feats, K).select("id", "nbr", F.col("rank").cast("long").alias("rank"), r6(F.sqrt(2 * F.col("dist"))).alias("d"))
 
 
-@query("k14_same_edges", "SELECT true AS same")
+@query("k14_edge_difference", "SELECT src, dst, round(w, 6) AS w, 1 AS side, false AS same FROM edges WHERE w >= 0.3 AND w < 0.33 UNION ALL SELECT src + 1000000, dst, round(w, 6), 2, false FROM edges WHERE w >= 0.5")
+def _(i):
+    a = knn.to_edges(i.knn, 0.3)
+    b = knn.to_edges(i.knn, 0.33).unionByName(knn.to_edges(i.knn, 0.5).withColumn("src", F.col("src") + 1_000_000)).unionByName(a.withColumn("w", F.lit(0.0)))  # zeros do not count
+    return knn.edge_difference(a, b).select("src", "dst", r6("w").alias("w"), "side").crossJoin(knn.same_edges(a, b))  # one row
+
+
+@query("k14_same_edges", "SELECT count(*) FILTER (WHERE w >= 0.3) AS n, true AS same FROM edges")
 def _(i):
     e = knn.to_edges(i.knn, 0.3)
-    return knn.same_edges(e, e.orderBy(F.desc("dst")))
+    return e.agg(F.count(F.lit(1)).alias("n")).crossJoin(knn.same_edges(e, e.orderBy(F.desc("dst"))))  # one row
+
+
+@query("k4_knn_ivf_pq")
+def _(i):
+    return _knn_out(knn.knn_ivf_pq(i.feats, K, n_cells=16))
 
 
 # ---- graph
@@ -321,19 +345,24 @@ def _(i):
     return graph.constrained_components(i.pairs(0.30), 20, 0.35).join(i.groups().select(F.col("node").alias("id")), "id", "left_semi")
 
 
-def _dynamic(levels=7, max_size=50, step=0.05, th=0.30):
-    """Levels written out; every level's threshold moves from the smallest score."""
-    sql = BASE + pairs_sql("d0", th) + """,
-t0 AS (SELECT min(score) AS th FROM d0), n0 AS (SELECT u AS id FROM d0 UNION SELECT v FROM d0)"""
+def dynamic_sql(name, pairs, levels=7, max_size=50, step=0.05):
+    """Levels written out; every level's threshold moves from the smallest score of the table ``pairs(u, v, score)``. CTEs, and the select of the labels."""
+    sql = f""",
+{name}d0 AS MATERIALIZED (SELECT u, v, score FROM {pairs}), {name}t0 AS (SELECT min(score) AS th FROM {name}d0), {name}n0 AS (SELECT u AS id FROM {name}d0 UNION SELECT v FROM {name}d0)"""
     for j in range(levels):
-        keep = "true" if j == 0 else f"score >= (SELECT th FROM t{j})"
-        sql += components_sql(f"c{j}", f"SELECT u, v FROM d{j} WHERE {keep}", f"SELECT id FROM n{j}")
+        keep = "true" if j == 0 else f"score >= (SELECT th FROM {name}t{j})"
+        sql += components_sql(f"{name}c{j}", f"SELECT u, v FROM {name}d{j} WHERE {keep}", f"SELECT id FROM {name}n{j}")
         sql += f""",
-s{j} AS MATERIALIZED (SELECT id, component, count(*) OVER (PARTITION BY component) AS n FROM c{j}),
-n{j + 1} AS MATERIALIZED (SELECT id, component FROM s{j} WHERE n > {max_size}),
-d{j + 1} AS MATERIALIZED (SELECT u, v, score FROM d{j} JOIN n{j + 1} a ON a.id = u JOIN n{j + 1} b ON b.id = v WHERE a.component = b.component),
-t{j + 1} AS (SELECT th + (1 - th) * {step} AS th FROM t{j})"""
-    return sql, " UNION ALL ".join(f"SELECT id, component AS label FROM s{j} WHERE n <= {max_size}" for j in range(levels))
+{name}s{j} AS MATERIALIZED (SELECT id, component, count(*) OVER (PARTITION BY component) AS n FROM {name}c{j}),
+{name}n{j + 1} AS MATERIALIZED (SELECT id, component FROM {name}s{j} WHERE n > {max_size}),
+{name}d{j + 1} AS MATERIALIZED (SELECT u, v, score FROM {name}d{j} JOIN {name}n{j + 1} a ON a.id = u JOIN {name}n{j + 1} b ON b.id = v WHERE a.component = b.component),
+{name}t{j + 1} AS (SELECT th + (1 - th) * {step} AS th FROM {name}t{j})"""
+    return sql, " UNION ALL ".join(f"SELECT id, component AS label FROM {name}s{j} WHERE n <= {max_size}" for j in range(levels))
+
+
+def _dynamic():
+    sql, labels = dynamic_sql("", "p30")
+    return BASE + pairs_sql("p30", 0.30) + sql, labels
 
 
 _DYN, _DYN_LABELS = _dynamic()
@@ -443,13 +472,28 @@ def _(i):
 # ---- proposals
 
 
-@query("p3_iterated_proposals")
+def iterated_sql(name, k, th, max_size):
+    """Base groups ``{name}b(label, id)`` of small size, their mean vectors' neighbours, and the groups of groups ``{name}i(proposal_id, node)``."""
+    base, labels = dynamic_sql(f"{name}x", f"{name}p", 12, max_size)
+    more, groups = dynamic_sql(f"{name}y", f"{name}q", 14, 8)
+    return f""",
+{name}p AS MATERIALIZED (SELECT least(id, nbr) AS u, greatest(id, nbr) AS v, arg_min(sim, id * 100 + rank) AS score FROM knn WHERE rank <= {k} AND sim >= {th} GROUP BY ALL){base},
+{name}b AS MATERIALIZED ({labels}),
+{name}m AS MATERIALIZED (SELECT label AS id, list(x ORDER BY p) AS v FROM (SELECT label, p, avg(x) AS x FROM (SELECT b.label, unnest(e.v) AS x, unnest(range(64)) AS p FROM {name}b b JOIN e USING (id)) GROUP BY ALL) GROUP BY ALL),
+{name}k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, nbr) AS rank FROM (SELECT a.id, b.id AS nbr, list_dot_product(a.v, b.v) AS sim FROM {name}m a, {name}m b WHERE a.id <> b.id)),
+{name}q AS MATERIALIZED (SELECT least(id, nbr) AS u, greatest(id, nbr) AS v, arg_min(sim, id * 100 + rank) AS score FROM {name}k WHERE rank <= 5 AND sim >= 0.2 GROUP BY ALL){more},
+{name}g AS MATERIALIZED ({groups}),
+{name}w AS (SELECT g.label AS proposal_id, b.id AS node FROM {name}g g JOIN {name}b b ON b.label = g.id WHERE (SELECT count(*) FROM {name}g z WHERE z.label = g.label) >= 2),
+{name}i AS MATERIALIZED (SELECT proposal_id, node FROM {name}w w WHERE (SELECT count(*) FROM {name}w z WHERE z.proposal_id = w.proposal_id) BETWEEN 3 AND 500)"""
+
+
+@query("p3_iterated_proposals", "SELECT * FROM ai", BASE + iterated_sql("a", 10, 0.30, 20))
 def _(i):
     base = proposals.basic_proposals(i.feats, k=K, th=0.30, step=0.05, max_size=20, knn=i.knn)
     return proposals.iterate_proposals(i.feats, base, k=5, th=0.2, step=0.05)
 
 
-@query("p4_generated_proposals")
+@query("p4_generated_proposals", f", l AS ({_DYN_LABELS}) SELECT 'k10_th0.3_step0.05_max50_iter0' AS proposal_set, label AS proposal_id, id AS node FROM l WHERE (SELECT count(*) FROM l x WHERE x.label = l.label) >= 3 UNION ALL SELECT 'k5_th0.32_step0.05_max20_iter1', proposal_id, node FROM ai", _DYN + iterated_sql("a", 5, 0.32, 20))
 def _(i):
     more = [{"k": 5, "th": 0.2, "step": 0.05}]
     return proposals.generate_proposals(i.feats, [{"k": K, "th": 0.3, "step": 0.05, "max_size": 50, "min_size": 3}, {"k": 5, "th": 0.32, "step": 0.05, "max_size": 20, "iterations": more, "iter0": False}])
@@ -460,10 +504,14 @@ def _(i):
     return proposals.induced_edges(i.groups(), i.knn).select("proposal_id", "u", "v", r6("dist").alias("dist"))
 
 
-@query("p6_set_names", "SELECT 10::BIGINT AS k, 0.35::DOUBLE AS th")
+@query("p6_set_names", ", s AS (SELECT k, th / 100.0 AS th FROM (SELECT unnest(range(5, 35, 5)) AS k), (SELECT unnest(range(30, 60, 5)) AS th)) SELECT k, th::DOUBLE AS th, (SELECT count(*) FROM knn WHERE rank <= k AND sim >= th) AS n FROM s")
 def _(i):
-    p = io.parse_set_name(io.set_name({"k": K, "th": 0.35}))
-    return i.spark.createDataFrame([(p["k"], p["th"])], "k long, th double")
+    """Proposal sets of many settings go by name; the names are read back and used."""
+    names = [(io.set_name({"k": k, "th": th / 100}),) for k in range(5, 35, 5) for th in range(30, 60, 5)]
+    rows = [(n, *(io.parse_set_name(n)[x] for x in ("k", "th"))) for (n,) in names]
+    s = i.spark.createDataFrame(rows, "name string, k long, th double")  # 36 settings
+    links = i.knn.join(F.broadcast(s), (F.col("rank") <= F.col("k")) & (1 - F.col("dist") >= F.col("th")))
+    return s.join(links.groupBy("name").agg(F.count(F.lit(1)).alias("n")), "name", "left").select("k", "th", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 @query("p7_size_filter", "SELECT proposal_id, node FROM g JOIN sz USING (proposal_id) WHERE size BETWEEN 3 AND 20", GROUPS)
@@ -593,21 +641,27 @@ def _all(i, df):
 for _name, _run in {
     "b1_kmeans": lambda i: baselines.kmeans(i.feats, 10),
     "b2_mini_batch_kmeans": lambda i: baselines.mini_batch_kmeans(i.feats, 10),
-    "b3_spectral": lambda i: baselines.spectral(i.knn, 8),
-    "b4_spectral_rbf": lambda i: baselines.spectral(i.knn, 8, gamma=1.0),
+    "b3_spectral": lambda i: baselines.spectral(i.knn, 8, nodes=i.feats),
+    "b4_spectral_rbf": lambda i: baselines.spectral(i.knn, 8, gamma=1.0, nodes=i.feats),
     "b5_hierarchy": lambda i: baselines.hierarchy(i.feats, 10),
     "b9_hdbscan": lambda i: baselines.hdbscan(i.feats, 3, 5, 10, 6),
-    "b10_meanshift": lambda i: baselines.mean_shift(i.feats, 1.1, 2),
-    "b14_chinese_whispers": lambda i: baselines.chinese_whispers(graph.symmetrize(knn.to_edges(i.knn, 0.3)), i.feats, 6),
-    "l17_detection": lambda i: pipelines.detection(i.feats, gnn.formula_weights(gnn.gcn_shapes(64)), neighbours=i.knn),
-    "l18_segmentation": lambda i: pipelines.segmentation(i.feats, i.labels, gnn.formula_weights(gnn.gcn_shapes(64)), gnn.formula_weights(gnn.gcn_shapes(64, classes=2))),
-    "l7_vertex_pipeline": lambda i: pipelines.vertex_pipeline(i.feats, gnn.formula_weights(gnn.vertex_shapes(64)), tau=0.5),
-    "l10_edge_pipeline": lambda i: pipelines.edge_pipeline(i.feats, _dens(i), gnn.formula_weights(gnn.edge_shapes(64)), ignore_ratio=0.1),
-    "l3_linkage_pipeline": lambda i: pipelines.linkage_pipeline(i.feats, gnn.formula_weights(gnn.edge_shapes(64))),
+    "b10_meanshift": lambda i: baselines.mean_shift(i.feats, 1.1),
 }.items():
     query(_name)(lambda i, f=_run: _all(i, f(i)))
 
 
+_SYM30 = ", s30 AS MATERIALIZED (SELECT src, dst, max(w) AS w FROM (SELECT * FROM edges WHERE w >= 0.3 UNION ALL SELECT dst, src, w FROM edges WHERE w >= 0.3) GROUP BY ALL), w0 AS (SELECT id, id AS label FROM e)"
+for _k in range(6):
+    _SYM30 += f""", v{_k} AS (SELECT src AS id, label, sum(w) AS w FROM s30 JOIN w{_k} ON w{_k}.id = dst GROUP BY ALL),
+x{_k} AS (SELECT id, label AS best FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY w DESC, label) AS r FROM v{_k}) WHERE r = 1),
+w{_k + 1} AS MATERIALIZED (SELECT id, CASE WHEN (id * 40503 + {_k} * 26543) % 4294967296 // 32768 % 2 = 0 THEN coalesce(best, label) ELSE label END AS label FROM w{_k} LEFT JOIN x{_k} USING (id))"""
+
+
+@query("b14_chinese_whispers", _SYM30 + " SELECT id, label FROM w6")
+def _(i):
+    return baselines.chinese_whispers(graph.symmetrize(knn.to_edges(i.knn, 0.3)), i.feats, 6)
+
+
 _PAIRS = "SELECT a.id AS u, b.id AS v FROM e a JOIN e b ON a.id < b.id WHERE list_dot_product(a.v, b.v) >= {}"
 
 
@@ -649,6 +703,11 @@ def _(i):
     return baselines.rank_order_clusters(i.knn, i.feats)
 
 
+@query("b13_rank_order_from_vectors", "SELECT id, component AS label FROM cc", BASE + _ARO + components_sql("cc", "SELECT id AS u, nbr AS v FROM rod WHERE d <= 1", "SELECT id FROM e"))
+def _(i):
+    return baselines.cluster("aro", i.feats, K)
+
+
 @query("b15_strongest_neighbour", ", b AS (SELECT id, nbr FROM knn WHERE rank = 1), h2 AS (SELECT b.id, c.nbr FROM b JOIN b c ON c.id = b.nbr), h4 AS (SELECT b.id, c.nbr FROM h2 b JOIN h2 c ON c.id = b.nbr), h5 AS (SELECT h4.id, b.nbr FROM h4 JOIN b ON b.id = h4.nbr) SELECT id, nbr AS label FROM h5")
 def _(i):
     return baselines.strongest_neighbour(knn.to_edges(i.knn, -1.0), i.feats, 5)
@@ -685,9 +744,31 @@ def _(i):
     return out.select("id", r6(F.aggregate(e, F.lit(0.0), lambda s, x: s + x)).alias("total"), r6(vectors.dot(e, e)).alias("square"))
 
 
-def _dense_sql(out, x, w_rows, w_cols, start="1"):
-    """One dense layer in long form: ``x(id, p, x)`` times formula weights."""
-    return f", {out} AS (SELECT id, c AS p, sum(x * sin(1 + p * {w_cols} + c) / sqrt({w_rows})) AS x FROM {x}, (SELECT unnest(range({w_cols})) AS c) GROUP BY ALL)"
+def _dense_sql(out, x, w_rows, w_cols, keys="id"):
+    """One dense layer in long form: ``x(keys, p, x)`` times formula weights."""
+    return f", {out} AS MATERIALIZED (SELECT {keys}, c_ AS p, sum(x * sin(1 + p * {w_cols} + c_) / sqrt({w_rows})) AS x FROM {x}, (SELECT unnest(range({w_cols})) AS c_) GROUP BY ALL)"
+
+
+def stack_sql(name, links, key, widths, dim=64):
+    """Convolutions over ``{name}(key, n, p, x)`` along ``links(key, s, d, w)``, and ``{name}prob(key, n, prob)`` of the head."""
+    sql, now, keys = "", name, f"{key}, n"
+    for i, n in enumerate(widths):
+        sql += f""", {name}m{i} AS (SELECT l.{key}, l.s AS n, p + {dim} AS p, sum(l.w * x) AS x FROM {links} l JOIN {now} t ON t.{key} = l.{key} AND t.n = l.d GROUP BY l.{key}, l.s, p),
+{name}c{i} AS (SELECT {keys}, p, x FROM {now} UNION ALL SELECT {keys}, p, x FROM {name}m{i})"""
+        sql += _dense_sql(f"{name}z{i}", f"{name}c{i}", 2 * dim, n, keys) + f", {name}h{i} AS MATERIALIZED (SELECT {keys}, p, greatest(x, 0) AS x FROM {name}z{i})"
+        now, dim = f"{name}h{i}", n
+    sql += _dense_sql(f"{name}f", now, dim, dim, keys) + f", {name}r AS (SELECT {keys}, p, CASE WHEN x > 0 THEN x ELSE 0.25 * x END AS x FROM {name}f)" + _dense_sql(f"{name}o", f"{name}r", dim, 2, keys)
+    return sql + f", {name}prob AS MATERIALIZED (SELECT {keys}, 1 / (1 + exp(sum(CASE WHEN p = 0 THEN x ELSE -x END))) AS prob FROM {name}o GROUP BY ALL)"
+
+
+def gcn_sql(name, links, widths, dim):
+    """Stacked graph convolutions over ``{name}(proposal_id, n, p, x)``: ``{name}out(proposal_id, n, p, x)`` are the last features. Every node has features; the outer join keeps the engine from an endless join order."""
+    sql, now = "", name
+    for i, n in enumerate(widths):
+        sql += _dense_sql(f"{name}w{i}", now, dim, n, "proposal_id, n")
+        sql += f", {name}g{i} AS MATERIALIZED (SELECT l.proposal_id, l.s AS n, p, greatest(sum(l.w * x), 0) AS x FROM {links} l LEFT JOIN {name}w{i} t ON t.proposal_id = l.proposal_id AND t.n = l.d GROUP BY l.proposal_id, l.s, p)"
+        now, dim = f"{name}g{i}", n
+    return sql + f", {name}out AS (SELECT * FROM {now})"
 
 
 _GCNV = (
@@ -708,16 +789,75 @@ def _(i):
 _CAND = _DENSITY + ", up AS MATERIALIZED (SELECT k.id, nbr, dist, count(*) OVER (PARTITION BY k.id) AS n FROM knn k JOIN dens a ON a.id = k.id JOIN dens b ON b.id = k.nbr WHERE b.conf > a.conf)"
 
 
+#: Hidden features, their neighbours, and the nearest one of higher confidence.
+_VERTEX = _GCNV.replace(_dense_sql("y0", "cat", 128, 16), _dense_sql("y0", "cat", 128, 32)).replace(_dense_sql("y1", "h0", 16, 16), _dense_sql("y1", "h0", 32, 32)).replace(_dense_sql("y2", "h1", 16, 1), _dense_sql("y2", "h1", 32, 1)) + """,
+hv AS MATERIALIZED (SELECT id, list(x / greatest(nrm, 1e-300) ORDER BY p) AS v FROM (SELECT *, sqrt(sum(x * x) OVER (PARTITION BY id)) AS nrm FROM h0) GROUP BY id),
+hk AS MATERIALIZED (SELECT id, nbr, 1 - sim AS dist FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, nbr) AS r FROM (SELECT a.id, b.id AS nbr, list_dot_product(a.v, b.v) AS sim FROM hv a, hv b WHERE a.id <> b.id)) WHERE r <= 10),
+hp AS (SELECT k.id AS src, nbr AS dst, dist, row_number() OVER (PARTITION BY k.id ORDER BY dist, nbr) AS r FROM hk k JOIN y2 a ON a.id = k.id JOIN y2 b ON b.id = k.nbr WHERE b.x > a.x)"""
+
+
+@query("l7_vertex_pipeline", _VERTEX + components_sql("cc", "SELECT src AS u, dst AS v FROM hp WHERE r = 1 AND dist < 0.5", "SELECT id FROM e") + _DENSE)
+def _(i):
+    return _all(i, pipelines.vertex_pipeline(i.feats, gnn.formula_weights(gnn.vertex_shapes(64)), tau=0.5))
+
+
+@query("l16_built_model", _GCNV + " SELECT id, round(x, 6) AS conf FROM y2")
+def _(i):
+    model = gnn.build("gcn_v", 64, hidden=16)
+    return model(i.feats, gnn.vertex_graph(i.knn, i.feats, -1.0)).select("id", r6("conf").alias("conf"))
+
+
 @query("l8_candidate_sets", _CAND + " SELECT id, nbr, n = 1 AS direct FROM up")
 def _(i):
     ask, direct = gnn.candidate_sets(i.knn, _dens(i))
     return ask.select("id", "nbr", F.lit(False).alias("direct")).unionByName(direct.select("id", "nbr", F.lit(True).alias("direct")))
 
 
-@query("l9_edge_scores")
+_WIDTHS = (16, 8)
+
+
+def _edge_sql(asked):
+    """Probabilities ``xprob(id, n, prob)`` of the candidates ``asked(id, nbr, dist)``."""
+    return _ADJ + f""", q AS MATERIALIZED ({asked}), la AS (SELECT a.id, src AS s, dst AS d, w FROM adj JOIN q a ON a.nbr = src JOIN q b ON b.id = a.id AND b.nbr = dst), ln AS MATERIALIZED (SELECT id, s, d, w / sum(w) OVER (PARTITION BY id, s) AS w FROM la),
+x AS MATERIALIZED (SELECT q.id, q.nbr AS n, unnest(range(64)) AS p, unnest(b.v) - unnest(a.v) AS x FROM q JOIN e a ON a.id = q.id JOIN e b ON b.id = q.nbr)""" + stack_sql("x", "ln", "id", _WIDTHS)
+
+
+def _edge_weights():
+    return gnn.formula_weights(gnn.edge_shapes(64, _WIDTHS))
+
+
+@query("l9_edge_scores", _CAND + _edge_sql("SELECT id, nbr, dist FROM up WHERE n > 1") + " SELECT q.id, nbr, round(dist, 6) AS dist, round(prob, 6) AS prob FROM q JOIN xprob ON xprob.id = q.id AND xprob.n = nbr")
 def _(i):
     ask, _ = gnn.candidate_sets(i.knn, _dens(i))
-    return gnn.edge_scores(i.feats, gnn.vertex_graph(i.knn, i.feats), ask, gnn.formula_weights(gnn.edge_shapes(64)))
+    return gnn.edge_scores(i.feats, gnn.vertex_graph(i.knn, i.feats, -1.0), ask, _edge_weights()).select("id", "nbr", r6("dist").alias("dist"), r6("prob").alias("prob"))
+
+
+#: A tenth of the vertices, those of lowest confidence, and single candidates take their nearest link.
+_LINKS = """, sk AS (SELECT id FROM (SELECT id, row_number() OVER (ORDER BY conf, id) AS r FROM dens) WHERE r <= (SELECT floor(count(*) * 0.1) FROM e)),
+ur AS MATERIALIZED (SELECT up.*, row_number() OVER (PARTITION BY id ORDER BY dist, nbr) AS r, n = 1 OR id IN (SELECT id FROM sk) AS direct FROM up)"""
+_BEST = """, sel AS MATERIALIZED (SELECT id AS src, nbr AS dst, dist FROM (SELECT q.*, row_number() OVER (PARTITION BY q.id ORDER BY {}) AS r FROM q JOIN xprob ON xprob.id = q.id AND xprob.n = nbr) WHERE r = 1
+UNION ALL SELECT id, nbr, dist FROM ur WHERE direct AND r = 1)"""
+_ASK = _CAND + _LINKS + _edge_sql("SELECT id, nbr, dist FROM ur WHERE NOT direct")
+
+
+@query("l10_edge_pipeline", _ASK + _BEST.format("prob DESC, dist, nbr") + components_sql("cc", "SELECT src AS u, dst AS v FROM sel WHERE dist < 0.7", "SELECT id FROM e") + _DENSE)
+def _(i):
+    return _all(i, pipelines.edge_pipeline(i.feats, _dens(i), _edge_weights(), ignore_ratio=0.1))
+
+
+@query("l10_random_links", _ASK + _BEST.format("md5('5|' || q.id || '|' || nbr)") + components_sql("cc", "SELECT src AS u, dst AS v FROM sel WHERE dist < 0.7", "SELECT id FROM e") + _DENSE)
+def _(i):
+    return _all(i, pipelines.edge_pipeline(i.feats, _dens(i), _edge_weights(), ignore_ratio=0.1, random_seed=5))
+
+
+@query("l10_edge_accuracy", _ASK + _BEST.format("prob DESC, dist, nbr") + """, j AS (SELECT (a.label = b.label)::INT::DOUBLE AS ok, EXISTS (SELECT 1 FROM ur WHERE ur.id = src AND ur.nbr = dst AND r = 1) AS near FROM sel JOIN e a ON a.id = src JOIN e b ON b.id = dst)
+SELECT count(*) AS n, round(avg(ok), 6) AS accuracy, count(*) FILTER (WHERE near) AS n_nearest, round(avg(ok) FILTER (WHERE near), 6) AS nearest, round(avg(ok) FILTER (WHERE NOT near), 6) AS others FROM j""")
+def _(i):
+    conf = _dens(i)
+    ask, direct = gnn.candidate_sets(i.knn, conf, confidence.ignore_set(conf, 0.1))
+    links = gnn.select_edges(gnn.edge_scores(i.feats, gnn.vertex_graph(i.knn, i.feats, -1.0), ask, _edge_weights()), direct)
+    r = gnn.edge_accuracy(links, confidence.peaks(i.knn, conf), i.labels)
+    return r.select("n", r6("accuracy").alias("accuracy"), "n_nearest", r6("nearest").alias("nearest"), r6("others").alias("others"))
 
 
 @query("l10_edge_targets", _CAND + " SELECT up.id, nbr, (a.label = b.label)::INT AS target FROM up JOIN e a ON a.id = up.id JOIN e b ON b.id = nbr WHERE n > 1")
@@ -749,9 +889,57 @@ def _(i):
     return gnn.gcn_scores(nodes, edges, gnn.formula_weights(gnn.gcn_shapes(64, (8,)))).select("proposal_id", r6("score").alias("score"))
 
 
-@query("l2_linkage_scores")
+def _ego_sql(k1, k2, active):
+    """Link probabilities ``zprob(c, n, prob)`` of ego networks with nodes ``en`` and one-hop neighbours ``one``."""
+    return f""", one AS (SELECT id AS c, nbr AS n FROM knn WHERE rank <= {k1}), en AS MATERIALIZED (SELECT c, n FROM one UNION SELECT one.c, k.nbr FROM one JOIN knn k ON k.id = one.n AND k.rank <= {k2} UNION SELECT id, id FROM e),
+ed AS (SELECT a.c, k.id AS s, k.nbr AS d FROM knn k JOIN en a ON a.n = k.id JOIN en b ON b.c = a.c AND b.n = k.nbr WHERE rank <= {active}), eb AS (SELECT * FROM ed UNION SELECT c, d, s FROM ed),
+el AS MATERIALIZED (SELECT c, s, d, 1.0::DOUBLE / count(*) OVER (PARTITION BY c, s) AS w FROM eb),
+z AS MATERIALIZED (SELECT c, n, unnest(range(64)) AS p, (unnest(b.v) - unnest(a.v)) / sqrt(1.00001) AS x FROM en JOIN e a ON a.id = c JOIN e b ON b.id = n)""" + stack_sql("z", "el", "c", _WIDTHS)
+
+
+def _ego_weights():
+    """Stored input statistics: means 0, variances 1."""
+    return gnn.formula_weights(gnn.edge_shapes(64, _WIDTHS) | {"in_mean": (64,), "in_var": (64,)})
+
+
+@query("l2_linkage_scores", _ego_sql(10, 3, 3) + " SELECT one.c AS u, one.n AS v, round(prob, 6) AS score FROM one JOIN zprob USING (c, n)")
+def _(i):
+    return gnn.linkage_scores(i.feats, *gnn.ego_networks(i.knn, K, 3, 3), _ego_weights()).select("u", "v", r6("score").alias("score"))
+
+
+_L3, _L3_LABELS = dynamic_sql("k", "lk", 5, 50, 0.05)
+
+
+@query("l3_linkage_pipeline", _ego_sql(10, 5, 5) + ", lk AS MATERIALIZED (SELECT least(c, n) AS u, greatest(c, n) AS v, avg(prob) AS score FROM one JOIN zprob USING (c, n) GROUP BY ALL)" + _L3 + f", ll AS ({_L3_LABELS}) SELECT e.id, coalesce(ll.label, e.id) AS label FROM e LEFT JOIN ll USING (id)")
+def _(i):
+    return _all(i, pipelines.linkage_pipeline(i.feats, _ego_weights(), step=0.05))
+
+
+#: Proposals whose size is not limited are components; the models of proposals and of their nodes.
+_DET = _PG + """,
+x AS MATERIALIZED (SELECT proposal_id, node AS n, unnest(range(64)) AS p, unnest(v) AS x FROM g JOIN e ON e.id = node)""" + gcn_sql("x", "pw", (8, 4), 64) + """,
+ds AS MATERIALIZED (SELECT proposal_id, sum(x * sin(1 + p) / 2) AS score FROM (SELECT proposal_id, p, avg(x) AS x FROM xout GROUP BY ALL) GROUP BY ALL)"""
+_WHOLE = {"th": 0.35, "max_size": 10**6}
+_SEG = _DET + """, dg AS (SELECT g.proposal_id, node, count(u) AS n FROM g LEFT JOIN ie ON ie.proposal_id = g.proposal_id AND (u = node OR v = node) GROUP BY ALL),
+sd AS (SELECT proposal_id, node AS seed FROM (SELECT *, row_number() OVER (PARTITION BY proposal_id ORDER BY n DESC, node) AS r FROM dg) WHERE r = 1),
+y AS MATERIALIZED (SELECT proposal_id, n, p, x FROM x UNION ALL SELECT proposal_id, node, 64, (node = seed)::INT::DOUBLE FROM g JOIN sd USING (proposal_id))""" + gcn_sql("y", "pw", (8, 4), 65) + _dense_sql("yl", "yout", 4, 2, "proposal_id, n") + """,
+yp AS (SELECT proposal_id, n, 1 / (1 + exp(sum(CASE WHEN p = 0 THEN x ELSE -x END))) <= 0.5 AS outlier FROM yl GROUP BY ALL)"""
+
+
+@query("l17_detection", _DET + ", rk AS (SELECT proposal_id, row_number() OVER (ORDER BY score DESC, proposal_id) AS rank FROM ds WHERE score >= 0.0), " + _ASSIGN.format(o="g", rk="rk"), GROUPS)
+def _(i):
+    return _all(i, pipelines.detection(i.feats, gnn.formula_weights(gnn.gcn_shapes(64, (8, 4))), th_pos=0.0, neighbours=i.knn, **_WHOLE))
+
+
+@query("l18_segmentation", _SEG + ", pt AS (SELECT proposal_id, outlier, min(n) AS head FROM yp GROUP BY ALL), pn AS (SELECT *, row_number() OVER (ORDER BY head) - 1 AS label FROM pt) SELECT n AS id, label FROM yp JOIN pn USING (proposal_id, outlier)", GROUPS)
+def _(i):
+    return _all(i, pipelines.segmentation(i.feats, i.labels, gnn.formula_weights(gnn.gcn_shapes(64, (8, 4))), gnn.formula_weights(gnn.gcn_shapes(65, (8, 4), 2)), **_WHOLE))
+
+
+@query("l18_node_probabilities", _SEG + " SELECT proposal_id, n AS node, round(1 / (1 + exp(sum(CASE WHEN p = 0 THEN x ELSE -x END))), 6) AS prob FROM yl GROUP BY ALL", GROUPS)
 def _(i):
-    return gnn.linkage_scores(i.feats, *gnn.ego_networks(i.knn, K, 3, 3), gnn.formula_weights(gnn.edge_shapes(64)))
+    nodes, edges = gnn.proposal_graphs(i.feats, i.groups(), i.knn)
+    return gnn.gcn_scores(gnn.with_seed(nodes, edges), edges, gnn.formula_weights(gnn.gcn_shapes(65, (8, 4), 2)), pool="none").select("proposal_id", "node", r6("prob").alias("prob"))
 
 
 @query("l11_proposal_graph", _PG + " SELECT proposal_id, s AS src, d AS dst, round(w, 6) AS w FROM pw", GROUPS)
@@ -784,21 +972,32 @@ def _(i):
     return i.spark.read.parquet(path).select("param", "row", r6(F.col("values")[0]).alias("value"))
 
 
-@query("l20_ranges", "SELECT count(*) AS n, count(*) AS n_in_order FROM e")
+@query("l20_samplers", "SELECT id, row_number() OVER (ORDER BY md5('0|1|' || id), id) - 1 AS place, ((row_number() OVER (ORDER BY id) - 1) * 4 // count(*) OVER ())::INT AS part FROM e")
 def _(i):
-    rows = training.ranges(training.shuffled(i.feats, 1), 4)
-    from pyspark.sql.window import Window
+    return training.ranges(training.shuffled(i.feats, 1), 4).select("id", "place", "part")
+
 
-    rows = rows.select("id", "part", F.max("part").over(Window.orderBy("id").rowsBetween(Window.unboundedPreceding, 0)).alias("m"))
-    return rows.agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("part") == F.col("m")).cast("long")).alias("n_in_order"))
+def _losses(i, name, trained):
+    return i.spark.createDataFrame([(name, k, v) for k, v in enumerate(trained[1])], "model string, step int, loss double")
 
 
 @query("l21_training")
 def _(i):
-    adj = cut(gnn.vertex_graph(i.knn, i.feats), "train-adj")
-    goal = confidence.s_nbr(i.knn, i.labels)
-    _, losses = training.train_vertex_model(i.feats, adj, goal, gnn.formula_weights(gnn.vertex_shapes(64, 16)), steps=6)
-    return i.spark.createDataFrame(list(enumerate(losses)), "step int, loss double")
+    """Losses of all five models."""
+    g, conf, adj = i.groups(), _dens(i), cut(gnn.vertex_graph(i.knn, i.feats), "train-adj")
+    w = gnn.formula_weights
+    runs = {
+        "vertex": lambda: training.train_vertex_model(i.feats, adj, confidence.s_nbr(i.knn, i.labels), w(gnn.vertex_shapes(64, 16)), steps=4),
+        "detection": lambda: training.train_detection(i.feats, g, i.knn, i.labels, w(gnn.gcn_shapes(64, (8,))), steps=4),
+        "segmentation": lambda: training.train_segmentation(i.feats, g, i.knn, i.labels, w(gnn.gcn_shapes(65, (8,), 2)), steps=4),
+        "edge": lambda: training.train_edges(i.feats, adj, gnn.candidate_sets(i.knn, conf)[0], i.labels, w(gnn.edge_shapes(64, (8,))), steps=4),
+        "linkage": lambda: training.train_linkage(i.feats, gnn.ego_networks(i.knn, 5, 3, 3), i.labels, w(gnn.edge_shapes(64, (8,))), steps=4),
+    }
+    out = None
+    for name, run in runs.items():
+        df = _losses(i, name, run())
+        out = df if out is None else out.unionByName(df)
+    return out
 
 
 # ---- metrics
@@ -835,6 +1034,25 @@ def _(i):
     return _prf(metrics.evaluate(i.labels, i.predicted(), "pairwise"))
 
 
+@query("s11_m8_evaluate_files", f", {_PW} SELECT round(precision, 6) AS precision, round(recall, 6) AS recall, round(2 * precision * recall / (precision + recall), 6) AS f FROM pr", PRED)
+def _(i):
+    """Both labelings go through files of one integer a line."""
+    paths = [scratch_path(i.spark, f"labels-{k}") for k in range(2)]
+    n = i.labels.count()
+    for labels, path in zip((i.labels, i.predicted()), paths, strict=True):
+        io.write_labels(labels, path, n)
+    return _prf(metrics.evaluate_files(i.spark, *paths))
+
+
+@query("m9_clustering_report", f""", {_PW}, b AS (SELECT sum(n * n / pn) / sum(n) AS bp, sum(n * n / gn) / sum(n) AS br FROM ct JOIN pn USING (p) JOIN gn USING (g)), t AS (SELECT sum(n) AS nn FROM ct)
+SELECT (SELECT count(*) FROM pn) AS n_clusters, nn::BIGINT AS n_ids, 1.0::DOUBLE AS coverage, round(precision, 6) AS pairwise_precision, round(recall, 6) AS pairwise_recall, round(2 * precision * recall / (precision + recall), 6) AS pairwise_f,
+ round(bp, 6) AS bcubed_precision, round(br, 6) AS bcubed_recall, round(2 * bp * br / (bp + br), 6) AS bcubed_f,
+ round(2 * (SELECT sum(n / nn * ln(n * nn / (pn * gn))) FROM ct JOIN pn USING (p) JOIN gn USING (g)) / ((SELECT sum(-pn / nn * ln(pn / nn)) FROM pn) + (SELECT sum(-gn / nn * ln(gn / nn)) FROM gn)), 6) AS nmi FROM pr, b, t""", PRED)
+def _(i):
+    r = metrics.clustering_report(i.labels, i.predicted())
+    return r.select("n_clusters", "n_ids", *[r6(c).alias(c) for c in r.columns if c not in ("n_clusters", "n_ids")])
+
+
 def flagship(spark, sf_dir):
     """Neighbours, pairs, components and pairwise quality."""
     return QUERIES["m1_pairwise"](spark, sf_dir)

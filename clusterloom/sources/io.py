@@ -9,12 +9,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from clusterloom.functions.numbering import numbered
 from clusterloom.functions.scratch import shared_dir
 from clusterloom.operators.knn import knn_exact
 from clusterloom.operators.proposals import fill_labels, induced_edges
-from clusterloom.operators.vectors import l2_normalize
+from clusterloom.operators.vectors import l2_normalize, vector_column
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -22,17 +22,31 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def read_features_bin(spark: SparkSession, path: str, dim: int, dtype: str = "float32") -> DataFrame:
-    """``id, embedding`` of a headerless row-major matrix; rows are read as fixed-length records in parallel splits."""
-    width = dim * np.dtype(dtype).itemsize
-    raw = spark.sparkContext.binaryRecords(path, width).zipWithIndex().map(lambda t: (t[1], bytearray(t[0])))
-
-    def parse(batches):
-        for b in batches:
-            x = np.frombuffer(b"".join(b.column(1).to_pylist()), dtype).astype(np.float64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(np.arange(0, len(x) + 1, dim, dtype=np.int32)), pa.array(x))], ["id", "embedding"])
+def read_features_bin(spark: SparkSession, path: str, dim: int, dtype: str = "float32", rows_a_read: int = 16_384) -> DataFrame:
+    """``id, embedding`` of a headerless row-major matrix.
 
-    return spark.createDataFrame(raw, "id long, raw binary").mapInArrow(parse, "id long, embedding array<double>")
+    The file is split into records of as many whole rows as divide it evenly, at most ``rows_a_read``, and
+    each record becomes an Arrow batch. A file that is no whole number of rows raises ``ValueError``.
+    """
+    width = dim * np.dtype(dtype).itemsize
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    size = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).getLen()
+    if size % width:
+        raise ValueError(f"{size} bytes are no whole number of rows of {width}")
+    n = size // width
+    many = max((d for d in range(1, rows_a_read + 1) if n % d == 0), default=1)
+    raw = spark.read.format("binaryFile").load(path).select("content") if n <= many else None
+
+    def parse(first, block):
+        x = np.frombuffer(block, dtype).astype(np.float64).reshape(-1, dim)
+        return pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + len(x))), vector_column(x)], ["id", "embedding"])
+
+    schema = "id long, embedding array<double>"
+    if raw is not None:
+        return raw.mapInArrow(lambda batches: (parse(0, c) for b in batches for c in b.column(0).to_pylist() if c), schema)
+    records = spark.createDataFrame(spark.sparkContext.binaryRecords(path, many * width).zipWithIndex().map(lambda t: (t[1], bytearray(t[0]))), "block long, raw binary")
+    return records.mapInArrow(lambda batches: (parse(i * many, c) for b in batches for i, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)), schema)
 
 
 def write_features(df: DataFrame, path: str, force: bool = False) -> None:
@@ -40,9 +54,9 @@ def write_features(df: DataFrame, path: str, force: bool = False) -> None:
 
 
 def read_labels(spark: SparkSession, path: str, start: int = 0) -> DataFrame:
-    """``id, label`` of a text file with one integer a line; ids count lines from ``start``."""
-    rows = spark.sparkContext.textFile(path).zipWithIndex().map(lambda t: (t[1] + start, int(t[0])))
-    return spark.createDataFrame(rows, "id long, label long")
+    """``id, label`` of a text file (or a folder of part files) with one integer a line; ids count lines from ``start``."""
+    lines = spark.read.text(path).select(F.col("value").cast("long").alias("label"), F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_m"))
+    return numbered(lines, "_f", "_b", "_m", into="id").select((F.col("id") + start).alias("id"), "label")
 
 
 def inverse_labels(labels: DataFrame) -> DataFrame:
@@ -103,16 +117,10 @@ def cached_knn(feats: DataFrame, k: int, name: str, *, rebuild: bool = False, me
 
 
 def save_proposals(props: DataFrame, knn: DataFrame, path: str, force: bool = False) -> None:
-    """Nodes and inner edges of ``proposal_set, proposal_id, node``, a folder for each set."""
+    """Nodes and inner edges of ``proposal_set, proposal_id, node``, a folder for each set. With ``force`` both tables are replaced whole."""
     mode = "overwrite" if force else "ignore"
     props.write.mode(mode).partitionBy("proposal_set").parquet(f"{path}/nodes")
-    sets = [r[0] for r in props.select("proposal_set").distinct().collect()]  # one name a parameter setting
-    edges = None
-    for s in sets:
-        e = induced_edges(props.where(F.col("proposal_set") == s), knn).withColumn("proposal_set", F.lit(s))
-        edges = e if edges is None else edges.unionByName(e)
-    if edges is not None:
-        edges.write.mode(mode).partitionBy("proposal_set").parquet(f"{path}/edges")
+    induced_edges(props, knn, ["proposal_set", "proposal_id"]).write.mode(mode).partitionBy("proposal_set").parquet(f"{path}/edges")
 
 
 def read_proposals(spark: SparkSession, path: str, proposal_set: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -133,8 +141,3 @@ def set_name(params: dict) -> str:
 
 def parse_set_name(name: str) -> dict:
     return json.loads(name)
-
-
-def id_ranks(df: DataFrame) -> DataFrame:
-    """``id, position``: rows numbered from 0 in id order."""
-    return df.select("id", (F.row_number().over(Window.orderBy("id")) - 1).cast("long").alias("position"))

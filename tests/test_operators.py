@@ -3,9 +3,11 @@
 import numpy as np
 import pytest
 from helpers import DATA, tidy
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from clusterloom.functions import scratch
+from clusterloom.functions.numbering import numbered
 from clusterloom.operators import baselines, components, confidence, gnn, graph, knn, metrics, proposals, training, vectors
 from clusterloom.operators.components import connected_components
 from clusterloom.plans.queries import ORACLES, QUERIES
@@ -100,7 +102,7 @@ def test_fresh_labels_for_missing_ids(spark):
     assert dict(map(tuple, got.collect())) == {0: 0, 1: 0, 2: 1, 3: 1, 4: 2, 5: 3}
 
 
-@pytest.mark.parametrize("name", ["k2_knn_lsh", "k4_knn_ivf", "k5_approximate_reranked"])
+@pytest.mark.parametrize("name", ["k2_knn_lsh", "k4_knn_ivf", "k4_knn_ivf_pq", "k5_approximate_reranked"])
 def test_recall_of_approximate_search(spark, name):
     data = DATA.replace("sf0.001", "sf0.1")
     e = spark.read.parquet(f"{data}/embeddings.parquet").toPandas()
@@ -173,11 +175,168 @@ def test_noise_and_borders(spark):
     t = np.array([0, 0.05, 0.1, 0.16, 1.5])
     f = spark.createDataFrame([(i, [float(np.cos(x)), float(np.sin(x))]) for i, x in enumerate(t)], "id long, embedding array<double>")
     assert clusters(baselines.dbscan(f, 0.07, 3)) == [[0, 1, 2, 3], [4]]
-    assert clusters(baselines.mean_shift(f, 0.3, 3)) == [[0, 1, 2, 3], [4]]
+    assert clusters(baselines.mean_shift(f, 0.3)) == [[0, 1, 2, 3], [4]]
     with pytest.raises(KeyError):
         baselines.cluster("none", f)
 
 
+def blobs(spark, n=12, lonely=True):
+    """Four tight groups of ``n`` mixed by id, and a far point."""
+    rng = np.random.default_rng(3)
+    centres = np.array([[1, 0, 0, 0], [0, 1, 0, 0], [0, 0, 1, 0], [0, 0, 0, 1.0]])
+    x = np.concatenate([centres[np.arange(4 * n) % 4] + rng.normal(0, 0.02, (4 * n, 4)), [[-1, -1, -1, -1.0]] if lonely else np.zeros((0, 4))])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    f = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, embedding array<double>")
+    return f, [list(range(k, 4 * n, 4)) for k in range(4)] + ([[4 * n]] if lonely else [])
+
+
+def test_tight_groups_come_apart(spark):
+    f, want = blobs(spark)
+    assert clusters(baselines.hdbscan(f, 3, 5, 10, 8)) == sorted(want)
+    assert clusters(baselines.mean_shift(f, 0.4)) == sorted(want)
+    assert clusters(baselines.dbscan(f, 0.3, 3)) == sorted(want)
+    near = knn.filter_by_similarity(knn.knn_exact(f, 5), 0.5)
+    got = clusters(baselines.spectral(near, 4, nodes=f))
+    assert [48] in got and sum(map(len, got)) == 49 and all(len({i % 4 for i in g}) == 1 for g in got if len(g) < 13)
+    f, want = blobs(spark, lonely=False)
+    assert clusters(baselines.kmeans(f, 4)) == sorted(want)
+    assert clusters(baselines.hierarchy(f.where("id % 4 < 2"), 2)) == sorted(want)[:2]
+
+
+def test_nested_densities(spark):
+    """Two dense groups within a looser one, and a third far away: the dense ones are chosen, not what holds them."""
+    rng = np.random.default_rng(1)
+    angle = np.concatenate([rng.normal(0.0, 0.004, 15), rng.normal(0.12, 0.004, 15), rng.normal(1.5, 0.004, 15)])
+    f = spark.createDataFrame([(i, [float(np.cos(t)), float(np.sin(t))]) for i, t in enumerate(angle)], "id long, embedding array<double>")
+    got = clusters(baselines.hdbscan(f, 3, 5, 20, 12))
+    assert [g for g in got if len(g) > 1] == [list(range(15)), list(range(15, 30)), list(range(30, 45))]
+
+
+def test_mini_batches_follow_the_rule(spark):
+    """Centres against the same rule in arrays: rows of each round move their centre by their share of all it has met."""
+    f, _ = blobs(spark, lonely=False)
+    rows = {r["id"]: np.array(r["embedding"]) for r in f.collect()}
+    h = {r["id"]: r for r in f.selectExpr("id", "xxhash64(id, 4) AS first", *[f"pmod(xxhash64(id, 4, {i}), 1073741824) AS d{i}" for i in range(3)]).collect()}
+    centres = np.array([rows[i] for i in sorted(rows, key=lambda i: (h[i]["first"], i))[:5]])
+    met = np.zeros(5)
+    near = lambda x: int(np.argmax(centres @ x - (centres**2).sum(1) / 2))
+    for i in range(3):
+        part = [(near(x), x) for k, x in rows.items() if h[k][f"d{i}"] < int(0.5 * 2**30)]
+        for c in range(5):
+            own = [x for k, x in part if k == c]
+            if own:
+                met[c] += len(own)
+                centres[c] += (np.sum(own, 0) - len(own) * centres[c]) / met[c]
+    got = dict(map(tuple, baselines.mini_batch_kmeans(f, 5, 0.5, 3, seed=4).collect()))
+    assert got == {i: near(x) for i, x in rows.items()}
+
+
+def test_whispers_and_settling(spark):
+    edges = spark.createDataFrame([(a, b, 1.0) for g in (range(5), range(5, 10)) for a in g for b in g if a != b] + [(4, 5, 0.1), (5, 4, 0.1)], "src long, dst long, w double")
+    nodes = spark.range(11)
+    assert clusters(baselines.chinese_whispers(edges, nodes, 12)) == [list(range(5)), list(range(5, 10)), [10]]
+    with pytest.raises(RuntimeError):
+        baselines.mean_shift(blobs(spark)[0], 0.4, max_rounds=1, tolerance=1e-12)
+
+
+def test_sums_of_vectors(spark):
+    """Keys over many batches, two keys, one key on most rows."""
+    rng = np.random.default_rng(2)
+    k = np.where(rng.random(3000) < 0.6, 7, rng.integers(0, 40, 3000))
+    x, w = rng.normal(size=(3000, 3)), rng.random(3000)
+    df = spark.createDataFrame([(int(a), int(a) % 3, v.tolist(), float(b)) for a, v, b in zip(k, x, w, strict=True)], "a long, b long, embedding array<double>, w double").repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        got = {(r["a"], r["b"]): r["embedding"] for r in vectors.weighted_sum(df, ["a", "b"]).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == len(set(k))
+    for (a, _), v in got.items():
+        assert np.allclose(v, (w[k == a, None] * x[k == a]).sum(0))
+    assert vectors.weighted_sum(df.limit(0), "a").count() == 0
+
+
+def test_row_numbers(spark):
+    rng = np.random.default_rng(3)
+    values = [(int(i), float(v)) for i, v in enumerate(rng.integers(0, 9, 500))]
+    df = spark.createDataFrame(values, "id long, v double").repartition(7)
+    got = {r["id"]: r["number"] for r in numbered(df, F.desc("v"), "id").collect()}
+    assert got == {i: n for n, (i, _) in enumerate(sorted(values, key=lambda t: (-t[1], t[0])))}
+    assert numbered(df.limit(0), "id").count() == 0
+
+
+def test_pairs_of_blocks(spark):
+    """Close pairs within a table and between two, by any dealing into blocks."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(90, 4))
+    f = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, embedding array<double>")
+    want = sorted((i, j) for i in range(90) for j in range(i + 1, 90) if x[i] @ x[j] >= 2)
+    for block in (None, 20, 1000):
+        assert sorted((r["u"], r["v"]) for r in knn.similar_pairs(f, 2.0, block).collect()) == want
+    got = sorted((r["id"], r["nbr"]) for r in knn.close_pairs(f.where("id < 30"), f.where("id >= 30"), 2.0, 25).collect())
+    assert got == [(i, j) for i in range(30) for j in range(30, 90) if x[i] @ x[j] >= 2]
+
+
+def numeric(f, p, name, at, eps=1e-6):
+    q = {k: v.copy() for k, v in p.items()}
+    q[name].flat[at] += eps
+    up = f(q)
+    q[name].flat[at] -= 2 * eps
+    return (up - f(q)) / (2 * eps)
+
+
+@pytest.mark.parametrize("kind", ["detection", "segmentation", "link"])
+def test_gradients(kind):
+    rng = np.random.default_rng(5)
+    x, a = rng.normal(size=(6, 3)), gnn.normalized(np.triu(rng.random((6, 6)) < 0.5).astype(float) + np.eye(6))
+    if kind == "link":
+        shapes, f = gnn.edge_shapes(3, (5, 4)) | {"in_mean": (3,), "in_var": (3,)}, training.link_gradients
+    else:
+        shapes, f = gnn.gcn_shapes(3, (5, 4), 1 if kind == "detection" else 2), training.detection_gradients if kind == "detection" else training.segmentation_gradients
+    p = {k: v + 0.01 * rng.normal(size=v.shape) if not k.startswith("in_") else v for k, v in gnn.formula_weights(shapes).items()}
+    y, m = rng.integers(0, 2, 6).astype(float), np.array([1, 0, 1, 1, 0, 1.0])
+    _, g, n = f(x, a, y, m, p)
+    assert n == {"detection": 1, "segmentation": 6, "link": 4}[kind]
+    for name, value in g.items():
+        for at in range(0, value.size, max(1, value.size // 5)):
+            assert abs(numeric(lambda q: f(x, a, y, m, q)[0], p, name, at) - value.flat[at]) < 1e-5, name
+
+
+def test_all_models_learn(spark):
+    f, want = blobs(spark)
+    labels = spark.createDataFrame([(i, k) for k, g in enumerate(want) for i in g], "id long, label long")
+    near = knn.knn_exact(f, 6).cache()
+    props = spark.createDataFrame([(p, n) for p in range(8) for n in range(p * 6, p * 6 + 6)], "proposal_id long, node long")
+    w = gnn.formula_weights
+    ask = near.select("id", "nbr", "dist")
+    runs = [
+        training.train_detection(f, props, near, labels, w(gnn.gcn_shapes(4, (6,))), steps=6, rate=0.2),
+        training.train_segmentation(f, props, near, labels, w(gnn.gcn_shapes(5, (6,), 2)), steps=6, rate=0.2),
+        training.train_edges(f, gnn.vertex_graph(near, f, -9.0), ask, labels, w(gnn.edge_shapes(4, (6,))), steps=6, rate=0.2),
+        training.train_linkage(f, gnn.ego_networks(near, 5, 3, 3), labels, w(gnn.edge_shapes(4, (6,))), steps=6, rate=0.2),
+    ]
+    for p, losses in runs:
+        assert losses[-1] < losses[0] and all(np.isfinite(v).all() for v in p.values())
+    assert {"in_mean", "in_var"} <= set(runs[-1][0])
+
+
+def test_seed_is_an_input(spark):
+    nodes = spark.createDataFrame([(1, i, [0.5]) for i in range(4)], "proposal_id long, id long, embedding array<double>")
+    edges = spark.createDataFrame([(1, 2, 0, 1.0), (1, 2, 1, 1.0), (1, 2, 3, 1.0)], "proposal_id long, u long, v long, w double")
+    assert {r["id"]: r["embedding"] for r in gnn.with_seed(nodes, edges).collect()} == {0: [0.5, 0.0], 1: [0.5, 0.0], 2: [0.5, 1.0], 3: [0.5, 0.0]}
+
+
+def test_pools_of_the_proposal_model(spark):
+    nodes = spark.createDataFrame([(1, 0, [1.0, 0.0]), (1, 1, [0.0, 3.0])], "proposal_id long, id long, embedding array<double>")
+    edges = spark.createDataFrame([(1, 0, 1, 1.0)], "proposal_id long, u long, v long, w double")
+    fc = {"fc": np.array([[1.0], [1.0]]), "fc_bias": np.zeros(1)}
+    mixed = np.array([[0.5, 1.5], [0.5, 1.5]])  # one propagation over two nodes with self-loops
+    for pool, want in (("mean", mixed.mean(0)), ("sum", mixed.sum(0)), ("max", mixed.max(0))):
+        assert abs(gnn.sgc_scores(nodes, edges, fc, pool=pool).first()["score"] - want.sum()) < 1e-12
+        eye = {"gc0": np.eye(2), "gc0_bias": np.zeros(2)} | fc
+        assert abs(gnn.gcn_scores(nodes, edges, eye, pool=pool).first()["score"] - want.sum()) < 1e-12
+
+
 def test_vertex_training_lowers_the_loss(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(60, 4))
@@ -198,4 +357,13 @@ def test_files(spark, tmp_path):
     io.write_labels(labels, str(tmp_path / "out"), 5)
     lines = [x for p in sorted((tmp_path / "out").glob("part-*")) for x in p.read_text().split()]
     assert lines == ["0", "0", "1", "0", "2"]
+    assert {r["id"]: r["embedding"] for r in io.read_features_bin(spark, str(tmp_path / "f.bin"), 3, rows_a_read=2).collect()} == dict(got)
+    with pytest.raises(ValueError):
+        io.read_features_bin(spark, str(tmp_path / "f.bin"), 5)
+    (tmp_path / "p.meta").write_text("1\n2\n2\n1\n")
+    assert metrics.evaluate_files(spark, str(tmp_path / "l.meta"), str(tmp_path / "l.meta")).first()["f"] == 1.0
+    assert metrics.evaluate_files(spark, str(tmp_path / "l.meta"), str(tmp_path / "p.meta")).first()["recall"] == 1 / 3
+    (tmp_path / "q.meta").write_text("1\n")
+    with pytest.raises(ValueError):
+        metrics.evaluate_files(spark, str(tmp_path / "l.meta"), str(tmp_path / "q.meta"))
     assert io.Dataset.from_files(spark, str(tmp_path / "f.bin"), 3, str(tmp_path / "l.meta")).info().first()[:] == (4, 3, 2)
