@@ -21,6 +21,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -46,9 +47,10 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 class Encoder:
     """Ids of whole texts as little-endian 32-bit integers.
 
-    A piece is remembered once two batches have held it, up to ``_REMEMBER`` of them. The others
-    are encoded again in each batch, all in one call: they are joined by a sign that is one
-    token and that no piece among them holds.
+    A piece is remembered once two batches have held it, up to ``_REMEMBER`` of them. Of the others,
+    words of plain Latin letters, which the tokenizer's rules only write in lower case and leave in one
+    part, go to its model as they are; so does such a word before punctuation, whose ids
+    follow. All else is encoded in one call: joined by a sign that is one token and that no piece among them holds.
     """
 
     SIGN = "\u2605"
@@ -62,9 +64,35 @@ class Encoder:
         self.met: set[str] = set()
         ids = self.tokenizer.encode(self.SIGN, add_special_tokens=False).ids
         self.sign = ids[0] if len(ids) == 1 else None
+        self.model = self.tokenizer.model
+        # The model reads bytes as letters, as the tokenizer's last rule writes them; only where that holds words go straight to it.
+        self.letters = _byte_letters()
+        probe = ["Éaß", "word", "ÿĀſµ"]
+        self.direct = [list(self.word(w)) for w in probe] == [list(np.array(e.ids, "<u4").tobytes()) for e in self.tokenizer.encode_batch(probe, add_special_tokens=False)]
+        self.tails: dict[str, bytes] = {}
+
+    def word(self, word: str) -> bytes:
+        """Ids of a word of plain letters."""
+        word = word.lower()
+        return array("I", [t.id for t in self.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(self.letters))]).tobytes()
 
     def encode(self, pieces: list[str]) -> dict[str, bytes]:
         out: dict[str, bytes] = {}
+        if self.direct:
+            rest, get = [], self.known.get
+            for p in pieces:
+                if _plain(p):
+                    out[p] = self.word(p)
+                elif (m := _TAIL.fullmatch(p)) and _plain(m[1]):
+                    tail = self.tails.get(m[2])
+                    if tail is None:
+                        tail = np.array(self.tokenizer.encode(m[2], add_special_tokens=False).ids, "<u4").tobytes()
+                        if len(self.tails) < 10_000:
+                            self.tails[m[2]] = tail
+                    out[p] = (get(m[1]) or out.get(m[1]) or self.word(m[1])) + tail
+                else:
+                    rest.append(p)
+            pieces = rest
         plain = [p for p in pieces if self.SIGN not in p and "<" not in p] if self.sign is not None else []
         for lo in range(0, len(plain), 20_000):
             lot = plain[lo : lo + 20_000]
@@ -104,6 +132,22 @@ class Encoder:
         return out
 
 
+def _plain(piece: str) -> bool:
+    """Whether a piece is letters below U+0180 only, whose lower case and composed form nobody disputes."""
+    return piece.isalpha() and (piece.isascii() or (max(piece) < "\u0180" and "\u0130" not in piece))
+
+
+#: Letters, and a run of other signs that no rule of the tokenizer breaks up or ties to letters.
+_TAIL = re.compile(r"([^\W\d_]+)([!\"#$%&()*+,./:;=?@\[\]^_`{|}~-]+)")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte: itself if it can be seen, else the next one from U+0100 on."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in seen]
+    return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 def encoder(path: str) -> Encoder:
     """This worker's encoder; it outlives a task."""
     if path not in _state:

@@ -335,6 +335,24 @@ def test_op3_files(spark, make, tmp_path):
     assert meta.has_column_index and meta.has_offset_index
 
 
+def test_words_that_go_straight_to_the_model():
+    """The same ids as the whole tokenizer gives, for letters of all kinds, signs and mixtures."""
+    from tokenizers import Tokenizer
+
+    tk, enc = Tokenizer.from_file(tokens.vocabulary_path()), tokens.Encoder(tokens.vocabulary_path())
+    assert enc.direct
+    rng = random.Random(4)
+    signs = "!\"#$%&()*+,./:;=?@[]^_`{|}~-'<>★"
+    letters = "abcXYZéÉßñÿĀſµªºŉİıĲ" + "ƀΣςд日e\u0301"
+    every = ["".join(rng.choices(letters, k=rng.randint(1, 6))) + "".join(rng.choices(signs, k=rng.randint(0, 3))) + "".join(rng.choices(letters + "12", k=rng.choice((0, 0, 2)))) for _ in range(4000)]
+    every += ["don't", "it's.", "we'll,", "a_b", "_", "x" * 300 + ".", "É", "word.", "word", "Word...", "<|endoftext|>", "end<|endoftext|>.", "\u212a", "ŉ'", "a--", "a—b"]
+    for lo in range(0, len(every), 50):
+        lot = every[lo : lo + 50]
+        text = " ".join(lot)
+        want = np.array(tk.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert enc([text])[0] == want, lot
+
+
 def test_op3_query(spark):
     from tokenizers import Tokenizer
 
