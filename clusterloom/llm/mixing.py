@@ -161,8 +161,10 @@ def sample_mix(docs: DataFrame, **settings) -> DataFrame:
     names = docs.columns
     plain = [f"c{i}" for i in range(len(names))]  # no column of the input has a name of this function
     of = lambda name: F.col(plain[names.index(name)])
-    rows = cut(docs.toDF(*plain).withColumn("row", F.monotonically_increasing_id()), "mix-rows")  # once stored, a row keeps its number
-    sized = cut(rows.select("row", of("doc_id").alias("doc_id"), of("source").alias("source"), words(of("text")).alias("size"), F.xxhash64(of("text")).alias("h")), "mix-sizes")
+    counted = docs.toDF(*plain).withColumns({"row": F.monotonically_increasing_id(), "size": words(of("text")), "h": F.xxhash64(of("text"))})
+    rows = cut(counted, "mix-rows")  # once stored, a row keeps its number
+    sized = rows.select("row", of("doc_id").alias("doc_id"), of("source").alias("source"), "size", "h")
+    rows = rows.drop("size", "h")
     whole = F.struct(F.lit(0).cast("long").alias("start"), F.col("size").alias("end"))
     copies = F.concat(F.array_repeat(whole, F.when(F.col("size") == 0, 1).otherwise(F.col("passes")).cast("int")), F.col("pieces"))
     taken = allocate(sized, tie=("h", "row"), **settings).select("row", "size", F.explode(copies).alias("p"))

@@ -222,10 +222,10 @@ def told_apart(sketched: DataFrame) -> DataFrame:
     Half of the fingerprint names a set; the few sets that share it get names of their own.
     """
     shared = sketched.groupBy("cid").agg(F.min("cid2").alias("lo"), F.max("cid2").alias("hi")).where("lo <> hi").select("cid")
-    shared = cut(sketched.join(shared, "cid", "left_semi").select("cid", "cid2").distinct(), "near-shared")
     if shared.isEmpty():
         return sketched
-    new = shared.select("cid", "cid2", F.xxhash64("cid", "cid2").alias("new"))
+    pairs = cut(sketched.join(shared, "cid", "left_semi").select("cid", "cid2").distinct(), "near-shared")
+    new = pairs.select("cid", "cid2", F.xxhash64("cid", "cid2").alias("new"))
     return sketched.join(new, ["cid", "cid2"], "left").withColumn("cid", F.coalesce("new", "cid")).drop("new")
 
 

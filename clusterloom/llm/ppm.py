@@ -89,7 +89,7 @@ class Model:
         return out
 
 
-def fit(texts: dict[str, list[str]], order: int = 4, min_count: int = 8, max_bytes: int = 1 << 29) -> Model:
+def fit(texts: dict[str, list[str]], order: int = 4, min_count: int = 80, max_bytes: int = 1 << 29) -> Model:
     """A model of the given texts. A language's contexts are those that its own texts meet at least ``min_count`` times.
 
     A table of more than ``max_bytes`` raises ``ValueError``.

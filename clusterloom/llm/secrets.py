@@ -92,10 +92,12 @@ def unseen(at: DataFrame, ledger: DataFrame | None, rules=RULES) -> DataFrame:
 
 def scan_unseen(docs: DataFrame, ledger: DataFrame | None = None, rules=RULES, *, id_col="doc_id", text_col="text", at: DataFrame | None = None) -> DataFrame:
     """New ledger rows: each (blob, rule version) of ``docs`` that ``ledger`` lacks, with its findings. ``at``: the stored addresses of ``docs``, if known."""
-    at = cut(addresses(docs, id_col=id_col, text_col=text_col), "secret-addresses") if at is None else at
-    todo = cut(unseen(at, ledger, rules), "secret-todo")
-    if todo.isEmpty():
-        return docs.sparkSession.createDataFrame([], LEDGER)
+    at = addresses(docs, id_col=id_col, text_col=text_col) if at is None else at
+    todo = unseen(at, ledger, rules)
+    if ledger is not None:
+        todo = cut(todo, "secret-todo")
+        if todo.isEmpty():  # no text is read
+            return docs.sparkSession.createDataFrame([], LEDGER)
     text = F.coalesce(F.col(text_col), F.lit(""))
     a, b = docs.select(F.col(id_col).alias("path"), text.alias("text")).withColumn("h", F.xxhash64("text")).alias("a"), todo.alias("b")
     fresh = a.join(b, F.col("a.path").eqNullSafe(F.col("b.path")) & (F.col("a.h") == F.col("b.h"))).select("b.blob", "a.text", "b.todo")

@@ -336,6 +336,15 @@ def test_stages_with_odd_rows(make, spark, stage):
     assert run(spark, gone, DATA).count() == (0 if stage == "language" else 1)
 
 
+def test_language_stage_keeps_numbers_and_drops_strange_letters(make, spark):
+    import corpus_pipeline
+
+    prose = "the cat sat on the mat and the dog ran to the house, it was a long day at 4451718024887799 "
+    rows = [(i, prose * 60, "en") for i in range(30)] + [(100, "4451718024887799 27.65.93.188 Arnold +1 (863) 555-9426"), (101, "слово и дело, дом и сад " * 4, None), (102, "日本語の文章です。" * 5, None), (103, "42 x")]
+    kept = {r["doc_id"] for r in corpus_pipeline.language(spark, make(rows), DATA).collect()}
+    assert kept == {*range(30), 100, 103}
+
+
 def test_last_stage_with_odd_rows(make, spark):
     import corpus_pipeline
 
