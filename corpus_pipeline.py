@@ -17,8 +17,8 @@ from clusterloom.llm.common import cut, release, table
 ORACLE_SQL = None
 
 
-#: A text that no learned language codes in fewer bits than its bytes have fits none of them.
-RAW_BITS = 8.0
+#: A text that every learned language needs twice its bits for (as for letters that none has met) is in none of them. Numbers and names stay below.
+MOST_BITS = 16.0
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +32,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     plain = docs.toDF(*[f"_{i}" for i in range(len(names))])  # no column of the input has a name of the result
     text, model = plain.columns[names.index("text")], ppm.train(docs)
     found = ppm.identify(plain, model, text_col=text)
-    fits = (F.col("lang_pred") != ppm.UND) & (F.col("bits_per_byte") < RAW_BITS) if model.langs else ppm.lettered(F.col(text))
+    fits = (F.col("lang_pred") != ppm.UND) & (F.col("bits_per_byte") < MOST_BITS) if model.langs else ppm.lettered(F.col(text))
     lang = lambda c: F.coalesce(c, F.when(F.col("lang_pred") != ppm.UND, F.col("lang_pred")))
     return found.where(fits).select(*[(lang(c) if name == "lang" else F.col(c)).alias(name) for c, name in zip(plain.columns, names, strict=True)])
 
