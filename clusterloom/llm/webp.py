@@ -642,6 +642,10 @@ def code_lengths(counts: list[int], most: int = 15) -> list[int]:
 #: Code of the code lengths: 4 bits for lengths up to 12, 5 for the others and for runs.
 _LENGTH_CODE = [4] * 13 + [5] * 6
 _LENGTH_BITS = reversed_codes(_LENGTH_CODE).tolist()
+#: A normal code: 19 lengths of the lengths' code follow.
+_HEAD = 15 << 1 | sum(_LENGTH_CODE[s] << (5 + 3 * i) for i, s in enumerate(LENGTH_ORDER))
+#: A normal code whose first 256 symbols have 8 bits each.
+_EVEN_HEAD = 15 << 1 | sum(int(s == 8) << (5 + 3 * i) for i, s in enumerate(LENGTH_ORDER)) | (1 | 3 << 1 | 254 << 4) << 62
 
 
 def put_code(w: Writer, lengths: list[int]) -> None:
@@ -652,10 +656,7 @@ def put_code(w: Writer, lengths: list[int]) -> None:
         for s in used:
             w.put(s, 8)
         return
-    w.put(0, 1)
-    w.put(15, 4)
-    for s in LENGTH_ORDER:
-        w.put(_LENGTH_CODE[s], 3)
+    w.put(_HEAD, 62)
     body, at, marks, gap = 0, 0, 0, 0
     for i in range(used[-1] + 1):
         if not lengths[i]:
@@ -914,11 +915,7 @@ def _put_small(w: Writer, argb: np.ndarray) -> None:
     live = [(flat[:, k] != flat[0, k]).any() for k in (2, 1, 3, 0)]
     for k, varies in zip((2, 1, 3, 0), live, strict=True):
         if varies:  # 256 codes of 8 bits, so that the code of the lengths has one symbol and takes no bits
-            w.put(0, 1)
-            w.put(15, 4)
-            for s in LENGTH_ORDER:
-                w.put(int(s == 8), 3)
-            w.put(1 | 3 << 1 | 254 << 4, 12)
+            w.put(_EVEN_HEAD, 74)
         else:
             w.put(1 | 1 << 2 | int(flat[0, k]) << 3, 11)
     w.put(1 | 1 << 2, 11)
