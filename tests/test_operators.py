@@ -1,5 +1,8 @@
 """Hand-made cases, and all queries' SQL on the smallest input."""
 
+import inspect
+from collections import Counter
+
 import numpy as np
 import pytest
 from helpers import DATA, tidy
@@ -9,7 +12,7 @@ import __spark_entry__ as entry
 from clusterloom.functions import scratch
 from clusterloom.functions.numbering import numbered
 from clusterloom.operators import baselines, components, confidence, gnn, graph, knn, metrics, proposals, training, vectors
-from clusterloom.operators.components import connected_components
+from clusterloom.operators.components import connected_components, roots
 from clusterloom.plans.queries import ORACLES, QUERIES
 from clusterloom.sources import io
 
@@ -367,3 +370,23 @@ def test_files(spark, tmp_path):
     with pytest.raises(ValueError):
         metrics.evaluate_files(spark, str(tmp_path / "l.meta"), str(tmp_path / "q.meta"))
     assert io.Dataset.from_files(spark, str(tmp_path / "f.bin"), 3, str(tmp_path / "l.meta")).info().first()[:] == (4, 3, 2)
+
+
+@pytest.mark.parametrize("block", [None, 30])
+def test_projection_search_is_exact_within_its_buckets(spark, monkeypatch, block):
+    """Rows that share a bucket and are near enough against brute force, in small groups too."""
+    if block:
+        monkeypatch.setattr(knn, "Q_BLOCK", block)
+        monkeypatch.setattr(knn, "R_BLOCK", block)
+    x = np.random.default_rng(9).normal(size=(120, 4))
+    x[100:] = x[0]  # copies
+    f = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, embedding array<double>")
+    along = np.random.default_rng(3).normal(size=(4, 3))
+    codes = np.floor(x @ (along / np.linalg.norm(along, axis=0)) / 0.5)
+    want = []
+    for i in range(120):
+        ok = [j for j in range(120) if j != i and (codes[i] == codes[j]).any() and np.linalg.norm(x[i] - x[j]) < 2.0]
+        want += [(i, j, r) for r, j in enumerate(sorted(ok, key=lambda j: (-round(x[i] @ x[j], 9), j))[:5], 1)]
+    got = knn.knn_lsh(f, 5, max_dist=2.0, tables=3, bucket=0.5, seed=3).collect()
+    assert sorted((r["id"], r["nbr"], r["rank"]) for r in got) == sorted(want)
+    assert "approxSimilarityJoin" not in inspect.getsource(knn.knn_lsh)
