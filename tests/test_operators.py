@@ -372,6 +372,44 @@ def test_files(spark, tmp_path):
     assert io.Dataset.from_files(spark, str(tmp_path / "f.bin"), 3, str(tmp_path / "l.meta")).info().first()[:] == (4, 3, 2)
 
 
+def dynamic_by_hand(pairs, max_size, step, max_iter):
+    """The rule level by level."""
+    th, out, level = min(s for *_, s in pairs), {}, 0
+    use, rest = None, pairs
+    while rest:
+        root = {i: i for u, v, _ in rest for i in (u, v)}
+
+        def top(i):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        for u, v, s in rest:
+            if use is None or s >= use:
+                a, b = sorted((top(u), top(v)))
+                root[b] = a
+        size = Counter(map(top, root))
+        big = [i for i in root if size[top(i)] > max_size]
+        out |= {i: top(i) for i in root if size[top(i)] <= max_size}
+        if level >= max_iter:
+            return out | {i: min(big) for i in big}
+        rest = [(u, v, s) for u, v, s in rest if top(u) == top(v) and size[top(u)] > max_size]
+        th = use = th + (1 - th) * step
+        level += 1
+    return out
+
+
+@pytest.mark.parametrize("whole", [0, 40, 1 << 18])
+def test_levels_in_one_task(spark, monkeypatch, whole):
+    """Components finished in one task, in several rounds, or both, against the rule; copies (score 1) stay together to the last level."""
+    monkeypatch.setattr(graph, "_WHOLE_EDGES", whole)
+    rng = np.random.default_rng(8)
+    pairs = {tuple(sorted(rng.choice(60, 2, replace=False).tolist())) for _ in range(70)} | {(a, b) for a in range(100, 112) for b in range(a + 1, 112)}
+    pairs = [(int(u), int(v), 1.0 if u >= 100 else float(rng.random())) for u, v in sorted(pairs)]
+    got = dict(map(tuple, graph.dynamic_threshold_clusters(spark.createDataFrame(pairs, PAIRS), 4, 0.2, max_iter=6).collect()))
+    assert got == dynamic_by_hand(pairs, 4, 0.2, 6)
+
+
 @pytest.mark.parametrize("block", [None, 30])
 def test_projection_search_is_exact_within_its_buckets(spark, monkeypatch, block):
     """Rows that share a bucket and are near enough against brute force, in small groups too."""
