@@ -372,6 +372,31 @@ def test_files(spark, tmp_path):
     assert io.Dataset.from_files(spark, str(tmp_path / "f.bin"), 3, str(tmp_path / "l.meta")).info().first()[:] == (4, 3, 2)
 
 
+def test_proposals_of_any_size_in_the_model(spark):
+    """Scores and node probabilities by joins against dense arrays; no proposal is held by one task."""
+    rng = np.random.default_rng(6)
+    nodes = [(p, p * 100 + i, rng.normal(size=3).tolist()) for p, n in ((1, 7), (2, 1), (3, 40)) for i in range(n)]
+    edges = sorted({(p, *sorted(rng.choice([i for q, i, _ in nodes if q == p], 2, replace=False).tolist())) for p in (1, 3) for _ in range(30)})
+    edges = [(*e, float(rng.random())) for e in edges]
+    n_df = spark.createDataFrame(nodes, "proposal_id long, id long, embedding array<double>")
+    e_df = spark.createDataFrame(edges, "proposal_id long, u long, v long, w double")
+    one, two = gnn.formula_weights(gnn.gcn_shapes(3, (5, 4))), gnn.formula_weights(gnn.gcn_shapes(3, (5, 4), 2))
+    plan = gnn.gcn_scores(n_df, e_df, one)._jdf.queryExecution().toString()
+    assert "FlatMapCoGroups" not in plan
+    got = {pool: {r["proposal_id"]: r["score"] for r in gnn.gcn_scores(n_df, e_df, one, pool=pool).collect()} for pool in ("mean", "sum", "max")}
+    prob = {r["node"]: r["prob"] for r in gnn.gcn_scores(n_df, e_df, two, pool="none").collect()}
+    for p in (1, 2, 3):
+        ids = [i for q, i, _ in nodes if q == p]
+        x, a = np.array([v for q, _, v in nodes if q == p]), np.eye(len(ids))
+        for q, u, v, w in edges:
+            if q == p:
+                a[ids.index(u), ids.index(v)] = a[ids.index(v), ids.index(u)] = w
+        h, k = training._gcn_back(x, gnn.normalized(a), one)[0], training._gcn_back(x, gnn.normalized(a), two)[0]
+        for pool, y in (("mean", h.mean(0)), ("sum", h.sum(0)), ("max", h.max(0))):
+            assert abs(got[pool][p] - (y @ one["fc"])[0]) < 1e-9
+        assert np.allclose([prob[i] for i in ids], gnn._softmax(k @ two["fc"] + two["fc_bias"])[:, 1])
+
+
 def dynamic_by_hand(pairs, max_size, step, max_iter):
     """The rule level by level."""
     th, out, level = min(s for *_, s in pairs), {}, 0
