@@ -453,3 +453,12 @@ def test_projection_search_is_exact_within_its_buckets(spark, monkeypatch, block
     got = knn.knn_lsh(f, 5, max_dist=2.0, tables=3, bucket=0.5, seed=3).collect()
     assert sorted((r["id"], r["nbr"], r["rank"]) for r in got) == sorted(want)
     assert "approxSimilarityJoin" not in inspect.getsource(knn.knn_lsh)
+
+
+def test_copies_take_few_steps(spark, monkeypatch):
+    """Twelve copies stay together through all hundred levels, but not through hundreds of tables."""
+    tables = []
+    monkeypatch.setattr(graph, "cut", lambda df, name="cut": tables.append(name) or scratch.cut(df, name))
+    pairs = spark.createDataFrame([(a, b, 0.2 if a == 0 else 1.0) for a in range(12) for b in range(a + 1, 12)], PAIRS)
+    assert clusters(graph.dynamic_threshold_clusters(pairs, 4, 0.05)) == [[0], list(range(1, 12))]
+    assert len(tables) < 10
