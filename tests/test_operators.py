@@ -455,6 +455,25 @@ def test_projection_search_is_exact_within_its_buckets(spark, monkeypatch, block
     assert "approxSimilarityJoin" not in inspect.getsource(knn.knn_lsh)
 
 
+def test_shifted_sets_are_summed_in_blocks(spark):
+    """Dense neighbourhoods against the rule in arrays; rounds hand on no pairs."""
+    rng = np.random.default_rng(10)
+    x = np.concatenate([rng.normal(size=(80, 3)) * 0.5, rng.normal(size=(40, 3)) * 0.3 + 4, [[9.0, 9.0, 9.0]]])
+    f = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, embedding array<double>")
+    assert "close_pairs" not in inspect.getsource(baselines.mean_shift)
+    at, open_ = x.copy(), np.ones(len(x), bool)
+    while open_.any():
+        near = (np.linalg.norm(at[open_, None] - x[None], axis=2) <= 2.0).astype(float)
+        new = near @ x / near.sum(1, keepdims=True)
+        rests = np.linalg.norm(new - at[open_], axis=1) < 2e-3
+        at[open_] = new
+        open_[np.flatnonzero(open_)[rests]] = False
+    i, j = np.nonzero(np.linalg.norm(at[:, None] - at[None], axis=2) <= 1.0)
+    root = roots(len(x), i, j)
+    assert dict(map(tuple, baselines.mean_shift(f, 2.0).collect())) == dict(enumerate(root.tolist()))
+    assert baselines.mean_shift(f.limit(0), 1.0).count() == 0
+
+
 def test_copies_take_few_steps(spark, monkeypatch):
     """Twelve copies stay together through all hundred levels, but not through hundreds of tables."""
     tables = []
