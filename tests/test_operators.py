@@ -506,3 +506,44 @@ def test_copies_take_few_steps(spark, monkeypatch):
     pairs = spark.createDataFrame([(a, b, 0.2 if a == 0 else 1.0) for a in range(12) for b in range(a + 1, 12)], PAIRS)
     assert clusters(graph.dynamic_threshold_clusters(pairs, 4, 0.05)) == [[0], list(range(1, 12))]
     assert len(tables) < 10
+
+
+def test_settings_share_one_search(spark, monkeypatch):
+    """Two sets of proposals search the vectors once and write few tables, with the rows of a search for each."""
+    x = np.random.default_rng(11).normal(size=(150, 6))
+    f = spark.createDataFrame([(i, (r / np.linalg.norm(r)).tolist()) for i, r in enumerate(x)], "id long, embedding array<double>")
+    first, second, more = {"k": 6, "th": 0.3, "step": 0.05, "max_size": 20, "min_size": 3}, {"k": 3, "th": 0.5, "step": 0.05, "max_size": 8}, {"k": 4, "th": 0.2, "step": 0.05}
+    base = proposals.basic_proposals(f, **second)
+    want = {("k6_th0.3_step0.05_max20_iter0", *r) for r in proposals.basic_proposals(f, **first).collect()} | {("k3_th0.5_step0.05_max8_iter1", *r) for r in proposals.iterate_proposals(f, base, **more).collect()}
+    searched, tables = [], []
+    search, keep = proposals.knn_exact, lambda df, name="cut": tables.append(name) or scratch.cut(df, name)
+    monkeypatch.setattr(proposals, "knn_exact", lambda feats, k: searched.append(k) or search(feats, k))
+    for m in (graph, proposals, components):
+        monkeypatch.setattr(m, "cut", keep)
+    got = proposals.generate_proposals(f, [first, {**second, "iter0": False, "iterations": [more]}])
+    rows = list(map(tuple, got.collect()))
+    assert len(rows) == len(set(rows)) and set(rows) == want and len({r[0] for r in rows}) == 2
+    assert searched == [6, 4] and len(tables) < 12
+
+
+def test_large_tables_keep_the_edges_that_thresholds_need(spark, monkeypatch):
+    """Thinned edges connect, at every threshold, what all do; equal, null and NaN scores among them. A table of many edges takes one task then, and few tables."""
+    rng = np.random.default_rng(12)
+    scores = [None, float("nan"), 0.25, 0.5, 0.75, 1.0]
+    edges = [(int(a), int(b), scores[rng.integers(len(scores))]) for a in range(40) for b in range(a + 1, 40) if rng.random() < 0.7]
+    monkeypatch.setattr(graph, "_WHOLE_EDGES", 60)
+    monkeypatch.setattr(graph, "_HELD", 100)
+    rest, n = graph._thinned(spark.createDataFrame(edges, PAIRS).repartition(3), len(edges))
+    thin = [tuple(r) for r in rest.collect()]
+    known = {(u, v): repr(s) for u, v, s in edges}
+    assert n == len(thin) <= 60 < len(edges) and all(known[u, v] == repr(s) for u, v, s in thin)
+    for th in (None, 0.25, 0.5, 0.75, 1.0):
+        live = lambda s: th is None or s is not None and (s != s or s >= th)  # noqa: B023, E731
+        whole, few = (roots(40, *(np.array([e[i] for e in t if live(e[2])], int) for i in (0, 1))) for t in (edges, thin))
+        assert whole.tolist() == few.tolist()
+    tables = []
+    monkeypatch.setattr(graph, "cut", lambda df, name="cut": tables.append(name) or scratch.cut(df, name))
+    pairs = [(u, v, float(rng.random())) for u, v, _ in edges]
+    got = dict(map(tuple, graph.dynamic_threshold_clusters(spark.createDataFrame(pairs, PAIRS), 4, 0.05).collect()))
+    assert got == dynamic_by_hand(pairs, 4, 0.05, 100)
+    assert tables.count("dyn-done") == 1 and "dyn-level" not in tables
