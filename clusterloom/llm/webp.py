@@ -70,7 +70,7 @@ class Bits:
 @functools.lru_cache(16)
 def _mirrored(n: int) -> np.ndarray:
     """The numbers below 2**n with their n bits turned round."""
-    out = np.zeros(1, np.int32)
+    out = np.zeros(1, np.int64)
     for k in range(n):
         out = np.concatenate([2 * out, 2 * out + 1])
     return out
@@ -98,13 +98,13 @@ class Code:
             raise ValueError("a prefix code has no symbol")
         self.single = int(order[0]) if len(order) == 1 else -1
         if self.single >= 0:
-            self.bits, self.array = 0, np.array([self.single << 4], np.int32)
+            self.bits, self.array = 0, np.array([self.single << 4])
             return
-        own = lengths[order].astype(np.int32)
+        own = lengths[order].astype(np.int64)
         n = self.bits = int(own[-1])
         if n > 15:
             raise ValueError("a code is too long")
-        table = np.repeat(order.astype(np.int32) << 4 | own, 1 << (n - own))
+        table = np.repeat(order << 4 | own, 1 << (n - own))
         if len(table) != 1 << n:
             raise ValueError("a prefix code is not complete")
         self.array = table[_mirrored(n)]
@@ -127,6 +127,11 @@ def _simple(marks: tuple[int, ...], alphabet: int) -> Code:
 
 
 def _read_code(bits: Bits, alphabet: int) -> Code:
+    p, data = bits.pos, bits.data
+    head = int.from_bytes(data[p >> 3 : (p >> 3) + 3], "little") >> (p & 7) & 2047
+    if head & 7 == 5 and p + 11 <= 8 * len(data) and head >> 3 < alphabet:  # one symbol of 8 bits
+        bits.pos = p + 11
+        return _simple((head >> 3,), alphabet)
     if bits.read(1):
         two, wide = bits.read(1), bits.read(1)
         marks = [bits.read(8 if wide else 1)] + ([bits.read(8)] if two else [])
@@ -171,18 +176,15 @@ def _read_code(bits: Bits, alphabet: int) -> Code:
 _WINDOW = 1 << 15
 #: Below so many pixels the loop is done before the arrays are set up.
 _FEW = 512
-
-
-def _extra(symbol: np.ndarray) -> np.ndarray:
-    """Extra bits after a prefix symbol."""
-    return np.where(symbol < 4, 0, (symbol - 2) >> 1)
-
-
-def _amount(symbol: np.ndarray, at: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Number that a prefix symbol and the extra bits at ``at`` stand for, and the place after these."""
-    extra = _extra(symbol)
-    more = windows[at] & ((np.uint32(1) << extra.astype(np.uint32)) - np.uint32(1))
-    return np.where(symbol < 4, symbol, ((2 + (symbol & 1)) << extra) + more) + 1, at + extra
+#: Bytes after a window in which no symbol begins but bits of one may lie.
+_OVER = 16
+_PLACES = np.arange(8 * (_WINDOW + _OVER))
+#: Of each prefix symbol: its extra bits, their mask, and the number that it stands for when they are 0.
+_EXTRA = np.array([max(0, (s - 2) >> 1) for s in range(40)])
+_EXTRA_MASK = (1 << _EXTRA) - 1
+_BASE = np.array([s + 1 if s < 4 else ((2 + (s & 1)) << ((s - 2) >> 1)) + 1 for s in range(40)])
+#: Of each symbol of the first code: its extra bits, and 128 for a reference.
+_FIRST_EXTRA = np.concatenate([np.zeros(256, np.int64), 128 + _EXTRA[:24]])
 
 
 def _read_arrays(bits: Bits, codes: list[Code], width: int, height: int) -> np.ndarray | None:
@@ -200,54 +202,64 @@ def _read_arrays(bits: Bits, codes: list[Code], width: int, height: int) -> np.n
     pixels = np.frombuffer(out, kind)
     data, done, position = np.frombuffer(bits.data, np.uint8), 0, bits.pos
     green, distance = codes[GREEN], codes[DISTANCE]
-    symbol = green.array >> 4
-    is_ref = symbol >= 256
-    hop = ((green.array & 15) + np.where(is_ref, _extra(symbol - 256), 0) + 128 * is_ref).astype(np.uint8)  # bits of a symbol and its extra ones; 128 marks a reference
-    far_hop = ((distance.array & 15) + _extra(distance.array >> 4)).astype(np.uint8)
-    green_mask, far_mask = np.uint32((1 << green.bits) - 1), np.uint32((1 << distance.bits) - 1)
+    hop = ((green.array & 15) + _FIRST_EXTRA[green.array >> 4]).astype(np.uint8)  # bits of a symbol and its extra ones; 128 marks a reference
+    far_hop = ((distance.array & 15) + _EXTRA[distance.array >> 4]).astype(np.uint8)
+    green_mask, far_mask = (1 << green.bits) - 1, (1 << distance.bits) - 1
     while done < n:
         first = position >> 3
         part = data[first : first + min(_WINDOW, 8 * (n - done) + 1)]  # a pixel takes at most 60 bits
         if not len(part):
             raise ValueError("the file ends early")
-        x = np.zeros(len(part) + 19, np.uint32)
+        x = np.zeros(len(part) + _OVER + 3, np.uint8)
         tail = data[first : first + len(x)]
         x[: len(tail)] = tail
-        words = x[:-3] | (x[1:-2] << np.uint32(8)) | (x[2:-1] << np.uint32(16)) | (x[3:] << np.uint32(24))
+        words = np.ndarray(len(part) + _OVER, "<u4", x.data, 0, (1,)).astype(np.int64)
         windows = (words[:, None] >> _EIGHT).ravel()
-        m = 8 * len(part)  # symbols begin in the part; their last bits may lie in the 16 bytes after it
+        m = 8 * len(part)  # symbols begin in the part; their last bits may lie in the bytes after it
         index = windows[:m] & green_mask
         step = hop[index]
         ref = np.flatnonzero(step > 127)
         if rest:
-            ends = np.arange(m) + (step & 127)
+            ends = _PLACES[:m] + (step & 127)
             for code, _ in rest:
-                ends += code.array[windows[ends] & np.uint32((1 << code.bits) - 1)] & 15
+                ends += code.array[windows[ends] & ((1 << code.bits) - 1)] & 15
             literal = step < 128
-            step[literal] = (ends - np.arange(m))[literal]
+            step[literal] = (ends - _PLACES[:m])[literal]
         if len(ref):
             half = step[ref] & 127
             step[ref] = half + far_hop[windows[ref + half] & far_mask]
         if not step.all():
             return None
-        raw, p, places = step.tobytes(), position & 7, []
+        # The place after one symbol, after two and after four; places after the part stay.
+        one = _PLACES[: 8 * len(words)].copy()
+        one[:m] += step
+        two = one[one]
+        four = two[two]
+        after, p, places = four.data, position & 7, []
         add = places.append
         while p < m:
             add(p)
-            p += raw[p]
+            p = after[p]
         places = np.array(places)
+        for jump in (two, one):
+            places = np.stack([places, jump[places]], 1).ravel()
+        places = places[: np.searchsorted(places, m)]
+        p = int(one[places[-1]])
         e = green.array[index[places]]
         symbol, at = e >> 4, places + (e & 15)
         size, gap = np.ones(len(places), np.int64), np.zeros(len(places), np.int64)
         ref = np.flatnonzero(symbol >= 256)
         if len(ref):
-            size[ref], far = _amount(symbol[ref] - 256, at[ref], windows)
+            number, far = symbol[ref] - 256, at[ref]
+            size[ref] = _BASE[number] + (windows[far] & _EXTRA_MASK[number])
+            far += _EXTRA[number]
             e = distance.array[windows[far] & far_mask]
-            gap[ref], _ = _amount(e >> 4, far + (e & 15), windows)
+            number = e >> 4
+            gap[ref] = _BASE[number] + (windows[far + (e & 15)] & _EXTRA_MASK[number])
         ends = done + np.cumsum(size)
         last = int(np.searchsorted(ends, n))
         if last < len(places):  # what follows the image's last symbol are other bits
-            p = int(places[last]) + raw[places[last]]
+            p = int(one[places[last]])
             symbol, at, size, gap, ends = (v[: last + 1] for v in (symbol, at, size, gap, ends))
             ref = ref[: np.searchsorted(ref, last + 1)]
             if ends[-1] > n:
@@ -257,10 +269,10 @@ def _read_arrays(bits: Bits, codes: list[Code], width: int, height: int) -> np.n
         literal = np.flatnonzero(gap == 0)
         value = symbol[literal]
         if rest:
-            at, value = at[literal], value.astype(np.int64) << 8 | fixed
+            at, value = at[literal], value << 8 | fixed
             for code, shift in rest:
-                e = code.array[windows[at] & np.uint32((1 << code.bits) - 1)]
-                value |= (e >> 4).astype(np.int64) << shift
+                e = code.array[windows[at] & ((1 << code.bits) - 1)]
+                value |= e >> 4 << shift
                 at = at + (e & 15)
         pixels[ends[literal] - 1] = value.astype(kind)
         gap, size = gap[ref], size[ref]
@@ -283,7 +295,7 @@ def _read_arrays(bits: Bits, codes: list[Code], width: int, height: int) -> np.n
     return (pixels.astype("<u4") << 16 | (fixed >> 24 | (fixed >> 16 & 255) << 8 | (fixed & 255) << 24)).astype("<u4").view(np.uint8).reshape(height, width, 4)
 
 
-_EIGHT = np.arange(8, dtype=np.uint32)[None, :]
+_EIGHT = np.arange(8)[None, :]
 
 
 @functools.lru_cache(16)
@@ -563,6 +575,9 @@ def _decode_argb(body: bytes) -> np.ndarray:
             n = bits.read(8) + 1
             table = np.cumsum(_read_image(bits, n, 1, False)[0], axis=0, dtype=np.uint8)
             pack = 3 if n <= 2 else 2 if n <= 4 else 1 if n <= 16 else 0
+            if undo and undo[-1][0] is _add_green:  # colour by colour, so it can be done in the palette
+                undo.pop()
+                table = _add_green(table[None])[0]
             undo.append((invert_palette, (table, pack, width)))
             width = -(-width >> pack)
     img = _read_image(bits, width, height, True)
@@ -593,12 +608,13 @@ class Writer:
         ends = np.cumsum(lengths, dtype=np.int64) + odd
         total = int(ends[-1]) if len(ends) else odd
         at = ends - lengths
-        wide = np.bincount(at >> 3, weights=values << (at & 7), minlength=(total >> 3) + 4).astype(np.int64)
+        wide = np.bincount(at >> 3, weights=values << (at & 7), minlength=(total >> 3) + 4).astype("<u4")
         wide[0] |= left
-        flat = wide & 255
+        four = wide.view(np.uint8).reshape(-1, 4)
+        flat = four[:, 0].copy()
         for k in (1, 2, 3):  # values of different places never share a bit, so the sums have no carry
-            flat[k:] |= (wide[:-k] >> 8 * k) & 255
-        self.done.append(flat[: total >> 3].astype(np.uint8).tobytes())
+            flat[k:] |= four[:-k, k]
+        self.done.append(flat[: total >> 3].tobytes())
         self.value, self.n = int(flat[total >> 3]) & ((1 << (total & 7)) - 1), total & 7
 
     def bytes(self) -> bytes:
@@ -746,7 +762,8 @@ def references(px: np.ndarray, least: int, flat: bool = False) -> tuple[np.ndarr
         order = order[np.argsort(high[order], kind="stable")]
     sorted_key = key[order]
     same = sorted_key[1:] == sorted_key[:-1]
-    here, back = order[1:][same], order[:-1][same]
+    same = np.flatnonzero(same)
+    here, back = order[same + 1], order[same]
     if not flat:  # equal keys may hide different pixels
         ok = np.ones(len(here), bool)
         for k in range(least):
@@ -759,10 +776,9 @@ def references(px: np.ndarray, least: int, flat: bool = False) -> tuple[np.ndarr
         return none, none, none
     gap = np.zeros(m + 1, np.int32)
     gap[here] = here - back
-    turn = np.flatnonzero(gap[1:] != gap[:-1]) + 1
-    start = np.concatenate([[0], turn])
-    live = gap[start] > 0
-    start, stop = start[live], (np.concatenate([turn, [m]]) + (least - 1))[live]  # a run's last place still holds ``least`` equal pixels
+    bounds = np.concatenate([[0], np.flatnonzero(gap[1:] != gap[:-1]) + 1, [m]])
+    live = np.flatnonzero(gap[bounds[:-1]])
+    start, stop = bounds[live], bounds[live + 1] + (least - 1)  # a run's last place still holds ``least`` equal pixels
     distance = gap[start]
     grow = np.arange(len(start))
     for _ in range(_REACH):  # a nearer place may have ended the run, but not the match
@@ -781,16 +797,15 @@ def references(px: np.ndarray, least: int, flat: bool = False) -> tuple[np.ndarr
             stop[grow] += 1
     # Greedy: from each place the first run that still has ``least`` pixels to give.
     begin, end, out, at = start.tolist(), stop.tolist(), [], 0
-    add = out.append
     for r, z in enumerate(end):
         if z - at >= least:
             a = begin[r]
             if a < at:
                 a = at
             if z - a >= least:
-                add((a, z, r))
+                out += a, z, r
                 at = z
-    a, z, r = np.array(out, np.int64).T
+    a, z, r = np.array(out, np.int64).reshape(-1, 3).T
     times = -(-(z - a) // LONGEST)
     if times.max() > 1:  # longer ones in pieces
         piece = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
@@ -804,37 +819,47 @@ _REACH = 4
 _LEAST = 6
 
 
-_NOTHING = np.zeros(256, np.int64)
+@functools.lru_cache(16)
+def _gap_prefixes(width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`_prefix` of the codes of all distances below 8192; none is at 0."""
+    near = _near_codes(width)
+    code = np.arange(1 << 13) + 120
+    code[: len(near)] = near[: 1 << 13]
+    return tuple(x.astype(np.int32) for x in _prefixes(code))
+
+
+def _gap_prefix(gap: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    if not len(gap) or gap.max() < 1 << 13:
+        return tuple(x[gap] for x in _gap_prefixes(width))
+    near = _near_codes(width)
+    return _prefix(np.where(gap < len(near), near[np.minimum(gap, len(near) - 1)], gap + 120))
 
 
 class Parsed:
     """An image's symbols: literals, references and cache hits, with their counts. ``flat``: only green varies."""
 
     def __init__(self, px: np.ndarray, width: int, refs, cache_bits: int, flat: bool = False):
-        self.px, self.cache_bits = px, cache_bits
+        self.cache_bits = cache_bits
         at, size, gap = refs
-        n = len(px)
-        mark = np.zeros(n + 1, np.int8)
-        if len(at):
-            mark[at] += 1
-            np.add.at(mark, at + size, -1)
-        single = np.flatnonzero(np.cumsum(mark[:-1], dtype=np.int8) == 0)
-        hit = np.zeros(len(single), bool)
+        n, ends = len(px), at + size
+        self.between = np.append(at, n)  # single pixels before each reference, and after the last
+        self.between[1:] -= ends
+        single = np.repeat(np.append(0, np.cumsum(size)), self.between)
+        single += np.arange(len(single))
+        self.lit, self.hit = px[single], None
         if cache_bits:
             slot = ((px.astype(np.uint64) * np.uint64(CACHE_FACTOR) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - cache_bits)).astype(np.int64)
             order = np.argsort(slot, kind="stable")
             known = np.zeros(n, bool)  # the last pixel of this slot is the same
             known[order[1:]] = (slot[order[1:]] == slot[order[:-1]]) & (px[order[1:]] == px[order[:-1]])
-            hit = known[single]
-            self.slots = slot[single[hit]]
-        self.hit_at, self.lit = single[hit], px[single[~hit]]
-        self.lit_at, self.ref_at = single[~hit], at
-        self.length = _prefix(size)
-        near = _near_codes(width)
-        self.distance = _prefix(np.where(gap < len(near), near[np.minimum(gap, len(near) - 1)], gap + 120))
-        alphabet = 280 + ((1 << cache_bits) if cache_bits else 0)
-        symbols = [(self.lit >> np.uint32(8)) & np.uint32(255), 256 + self.length[0]] + ([280 + self.slots] if cache_bits else [])
-        green = np.bincount(np.concatenate(symbols), minlength=alphabet)
+            self.hit = known[single]
+            self.lit, self.slots = self.lit[~self.hit], slot[single[self.hit]]
+        self.green = self.lit.astype(np.int64) >> 8 & 255
+        self.length, self.distance = _prefix(size), _gap_prefix(gap, width)
+        green = np.bincount(self.green, minlength=280 + ((1 << cache_bits) if cache_bits else 0))
+        green[256:280] += np.bincount(self.length[0], minlength=24)
+        if cache_bits:
+            green[280:] += np.bincount(self.slots, minlength=1 << cache_bits)
         self.flat = flat and len(self.lit) > 0
         if self.flat:
             other = [np.array([len(self.lit)])] * 3  # no bits are spent on them
@@ -857,42 +882,39 @@ class Parsed:
             w.put(self.cache_bits, 4)
         if main:
             w.put(0, 1)  # one code group
-        codes, sizes = [], []
+        codes = []  # of each symbol: code << 8 | length
         for k, c in enumerate(self.counts):
             if self.flat and k in (RED, BLUE, ALPHA):
                 w.put(1 | 1 << 2 | (int(self.lit[0]) >> (16, 0, 24)[k - 1] & 255) << 3, 11)
-                own = _NOTHING
-            else:
-                lengths = code_lengths(c.tolist())
-                put_code(w, lengths)
-                own = np.array(lengths, np.int64)
-                if np.count_nonzero(own) == 1:
-                    own = np.zeros_like(own)
-            codes.append(reversed_codes(own))
-            sizes.append(own)
-        at = np.concatenate([self.lit_at, self.hit_at, self.ref_at])
-        several = any(s.any() for s in sizes[1:4])
-        per = np.concatenate([np.full(len(self.lit_at), 4 if several else 1), np.ones(len(self.hit_at), np.int64), np.full(len(self.ref_at), 4)])
-        order = np.argsort(at, kind="stable")
-        place = np.empty(len(at), np.int64)
-        place[order] = np.cumsum(per[order]) - per[order]
-        values, lengths = np.zeros(int(per.sum()), np.int64), np.zeros(int(per.sum()), np.int64)
-
-        def put(p, symbol, k):
-            values[p], lengths[p] = codes[k][symbol], sizes[k][symbol]
-
-        lit, hit, ref = np.split(place, [len(self.lit_at), len(self.lit_at) + len(self.hit_at)])
-        put(lit, (self.lit >> 8) & 255, GREEN)
+                codes.append(None)
+                continue
+            lengths = code_lengths(c.tolist())
+            put_code(w, lengths)
+            own = np.array(lengths, np.int64)
+            codes.append(reversed_codes(own) << 8 | own if np.count_nonzero(own) > 1 else np.zeros_like(own))
+        several = not self.flat and any(c.any() for c in codes[1:4])
+        # Each symbol has its fields: a literal 1 or 4, a cache hit 1, a reference 4.
+        count = len(self.between) - 1
+        total = len(self.lit) if self.hit is None else len(self.hit)
+        if self.hit is None:
+            place = np.arange(total + 1) * (4 if several else 1)
+        else:
+            place = np.append(0, np.cumsum(np.where(self.hit, 1, 4 if several else 1)))
+        ref = place[np.cumsum(self.between)[:-1]] + 4 * np.arange(count)
+        fields = np.zeros(int(place[-1]) + 4 * count, np.int64)
+        lit = place[:-1] + np.repeat(4 * np.arange(count + 1), self.between)
+        if self.hit is not None:
+            fields[lit[self.hit]] = codes[GREEN][280 + self.slots]
+            lit = lit[~self.hit]
+        fields[lit] = codes[GREEN][self.green]
         if several:
             for k, s in ((RED, 16), (BLUE, 0), (ALPHA, 24)):
-                put(lit + k, (self.lit >> s) & 255, k)
-        if len(hit):
-            put(hit, 280 + self.slots, GREEN)
-        put(ref, 256 + self.length[0], GREEN)
-        values[ref + 1], lengths[ref + 1] = self.length[2], self.length[1]
-        put(ref + 2, self.distance[0], DISTANCE)
-        values[ref + 3], lengths[ref + 3] = self.distance[2], self.distance[1]
-        w.put_all(values, lengths)
+                fields[lit + k] = codes[k][(self.lit >> s) & 255]
+        fields[ref] = codes[GREEN][256 + self.length[0]]
+        fields[ref + 1] = self.length[2] << 8 | self.length[1]
+        fields[ref + 2] = codes[DISTANCE][self.distance[0]]
+        fields[ref + 3] = self.distance[2] << 8 | self.distance[1]
+        w.put_all(fields >> 8, fields & 255)
 
 
 def _pixels(argb: np.ndarray) -> np.ndarray:
@@ -912,7 +934,8 @@ def _put_small(w: Writer, argb: np.ndarray) -> None:
     """An image of transform parameters or palette steps: channels that vary are written as bytes of 8 bits."""
     w.put(0, 1)  # no cache
     flat = argb.reshape(-1, 4)
-    live = [(flat[:, k] != flat[0, k]).any() for k in (2, 1, 3, 0)]
+    differ = (flat != flat[0]).any(0).tolist()
+    live = [differ[k] for k in (2, 1, 3, 0)]
     for k, varies in zip((2, 1, 3, 0), live, strict=True):
         if varies:  # 256 codes of 8 bits, so that the code of the lengths has one symbol and takes no bits
             w.put(_EVEN_HEAD, 74)
@@ -938,7 +961,8 @@ def _palette_form(argb: np.ndarray, colours: np.ndarray, index: np.ndarray):
         index = np.pad(index, ((0, 0), (0, short))).reshape(height, -1, 1 << pack)
         index = np.bitwise_or.reduce(index << (np.arange(1 << pack, dtype=np.uint8) * per), axis=2).astype(np.uint8)
     samples = colours.astype(">u4").view(np.uint8).reshape(k, 4)
-    steps = np.diff(samples, axis=0, prepend=np.zeros((1, 4), np.uint8)).astype(np.uint8)
+    steps = samples.copy()
+    steps[1:] -= samples[:-1]
 
     def head(w):
         w.put(1 | 3 << 1, 3)

@@ -257,6 +257,49 @@ def test_stored_texts_hold_references():
     assert len(webp.encode_bytes(text * 30)) < 0.1 * 30 * len(text)
 
 
+def calls(f, *args):
+    """What ``f`` returns, and how many functions it calls, built in or not."""
+    import sys
+
+    seen = []
+    sys.setprofile(lambda frame, event, arg: seen.append(event) if event in ("call", "c_call") else None)
+    try:
+        out = f(*args)
+    finally:
+        sys.setprofile(None)
+    return out, len(seen)
+
+
+def test_steps_of_a_text(monkeypatch):
+    """No step for each symbol in reading, and few in writing; the loop over single pixels reads the same."""
+    rng = random.Random(6)
+    words = ["".join(rng.choices("etaoinshrdlucmfwyp", k=rng.randint(2, 9))) for _ in range(500)]
+    text = padded(" ".join(rng.choice(words) for _ in range(3000)).encode())
+    webp.describe(webp.encode_bytes(text))  # tables that are made once
+    media, writing = calls(webp.encode_bytes, text)
+    row, reading = calls(webp.describe, media)
+    lit, refs = len(text), webp.references(np.frombuffer(text, np.uint8).astype(np.uint32) << 8, 6)
+    symbols = lit - int(refs[1].sum()) + len(refs[0])
+    assert symbols > 4000 and reading < symbols / 2 and writing < 1200, (symbols, reading, writing)
+    monkeypatch.setattr(webp, "_FEW", 1 << 30)
+    assert webp.describe(media) == row and row[1] == hashlib.sha256(text).hexdigest()
+
+
+@pytest.mark.parametrize("n", [511, 2000, 70_000])
+def test_symbols_of_any_length(monkeypatch, n):
+    """Codes of 1 to 15 bits, references near and far, images of one and of four channels, in one window and in several."""
+    rng = np.random.default_rng(n)
+    grey = np.minimum(rng.geometric(0.4, n), 255).astype(np.uint8)
+    grey[n // 2 :] = np.where(rng.random(n - n // 2) < 0.99, grey[: n - n // 2], grey[n // 2 :])
+    media = webp.encode_bytes(padded(grey.tobytes()))
+    coloured = rng.integers(0, 256, (-(-n // 64), 64, 4)).astype(np.uint8)
+    coloured[len(coloured) // 2 :, :50] = coloured[: len(coloured) - len(coloured) // 2, :50]
+    picture = webp.encode(coloured)
+    for few in (webp._FEW, 1, 1 << 30):
+        monkeypatch.setattr(webp, "_FEW", few)
+        assert webp.decode_bytes(media).tobytes() == padded(grey.tobytes()) and (webp.decode(picture) == coloured).all()
+
+
 def test_features():
     samples = np.array([3] * 70 + [250] * 58, np.uint8)
     s = webp.Summary()
